@@ -76,7 +76,48 @@ def affine_udf(kinds: Sequence[float | None]):
                 out[f"a{i}"], out[f"b{i}"], out[f"n{i}"] = a_run, b_run, count
             yield pd.DataFrame(out)
 
-    return F.pandas_udf(run, T.StructType(fields), F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return F.pandas_udf(run, T.StructType(fields)).asNondeterministic()
+
+
+def recurrence_udf(kinds: Sequence[tuple[float, int] | None]):
+    """Recurrences over whole keys, as values: one Arrow pass, one output field per recurrence.
+
+    ``kinds[i]`` is (weight, warm-up) of an exponential average seeded by its first value, or None for
+    an explicit recurrence of a step and an offset column.
+    """
+    schema = T.StructType([T.StructField(f"y{i}", T.DoubleType()) for i in range(len(kinds))])
+
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        state = [(0.0, 0)] * len(kinds)
+        for batch in batches:
+            start = batch[0].to_numpy(dtype=bool)
+            out, position = {}, 1
+            for i, kind in enumerate(kinds):
+                x = batch[position].to_numpy(dtype=float)
+                offset = x if kind else batch[position + 1].to_numpy(dtype=float)
+                position += 1 if kind else 2
+                seen = ~(np.isnan(x) | np.isnan(offset))
+                if not len(x):
+                    out[f"y{i}"] = x
+                    continue
+                value, before = state[i]
+                count = running_count(start, seen, before)
+                if kind:
+                    weight, warmup = kind
+                    a, b = np.where(seen, 1.0 - weight, 1.0), np.where(seen, weight * np.nan_to_num(x), 0.0)
+                    first = seen & (count == 1)
+                    a[first], b[first] = 0.0, x[first]
+                    shown = seen & (count >= warmup)
+                else:
+                    a, b, shown = np.where(seen, x, 1.0), np.where(seen, offset, 0.0), seen
+                a[start] = 0.0
+                b[0] += a[0] * value
+                y = prefix_compose(a, b)[1]
+                state[i] = (float(y[-1]), int(count[-1]))
+                out[f"y{i}"] = np.where(shown, y, np.nan)
+            yield pd.DataFrame(out)
+
+    return F.pandas_udf(run, schema).asNondeterministic()
 
 
 def _compose_units(a, b, start, a_prev, b_prev):
@@ -131,4 +172,4 @@ def stateful_udf(kernel: Callable, inputs: int, outputs: Sequence[str], state_si
                 result.append((*values, *kept))
             yield pd.DataFrame(result, columns=names, dtype=float)
 
-    return F.pandas_udf(run, schema, F.PandasUDFType.SCALAR_ITER).asNondeterministic()
+    return F.pandas_udf(run, schema).asNondeterministic()

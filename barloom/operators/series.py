@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import layout as lay
 from barloom.operators.layout import Layout, gather, plan_layout, spread
-from barloom.operators.scans import affine_udf, stateful_udf
+from barloom.operators.scans import affine_udf, recurrence_udf, stateful_udf
 from barloom.schema import FIELDS, finite
 
 Number = float | int
@@ -316,6 +316,8 @@ class Series:
         base = self.df.columns
         df = spread(self.df, self.layout, self._halo)
         depth = max([0, *(s[0] for s in self._windows), *self._scans])
+        if self._scans and not self.layout.cut:
+            df = self._marked(df)
         for level in range(depth + 1):
             if level in self._scans:
                 df = self._run_scans(df, self._scans[level])
@@ -337,15 +339,21 @@ class Series:
         self._refs[key] = Ref(self, key, F.col(column), stage, back)
         self._halo = max(self._halo, back)
 
-    def _sorted(self, df: DataFrame) -> DataFrame:
-        """Mark unit starts; the window behind the flag is what sorts the partition for the pass."""
+    def _marked(self, df: DataFrame) -> DataFrame:
+        """Flag unit starts; the window behind the flag sorts the partitions for an Arrow pass.
+
+        Uncut tables are flagged once: an Arrow pass keeps rows where they are, and every later window
+        sorts again. Cut tables lose their order in the carry joins, so they are flagged each time.
+        """
         layout = self.layout
+        if not layout.cut and "_start" in df.columns:
+            return df
         unit = Window.partitionBy(*layout.partition).orderBy(layout.order)
         if layout.cut:
             flag = F.coalesce(F.lag(lay.CELL).over(unit) != F.col(lay.CELL), F.lit(True))
         else:
             flag = F.row_number().over(unit) == 1
-        return df.withColumn("_start", flag).sortWithinPartitions(*layout.partition, layout.order)
+        return df.withColumn("_start", flag)
 
     def _run_scans(self, df: DataFrame, scans: list[tuple]) -> DataFrame:
         base = df.columns
@@ -362,32 +370,25 @@ class Series:
         return df.select(*base, *(column.alias(name) for name, column in kept.items()))
 
     def _linear(self, df: DataFrame, linear: list[tuple], kept: dict[str, Column]) -> DataFrame:
-        kinds, arguments, seeds = [], [], {}
-        for i, (spec, inputs, _) in enumerate(linear):
-            kinds.append(spec[1] if spec[0] == "ewm" else None)
-            arguments += inputs
-            if spec[0] == "ewm":
-                seeds[f"_seed{i}"] = inputs[0]
         token = self._new_name()
-        df = self._sorted(df).withColumn(token, affine_udf(kinds)(F.col("_start"), *arguments))
-        if self.layout.cut:
-            df = self._enter_cells(df, token, linear, seeds)
-        else:
-            # The state before a key is its own first value, which makes the first average that value.
-            firsts = {
-                f"{token}{name}": F.first(column, ignorenulls=True).over(self.layout.running()) for name, column in seeds.items()
-            }
-            df = df.withColumns(firsts) if firsts else df
+        arguments = [column for _, inputs, _ in linear for column in inputs]
+        if not self.layout.cut:
+            kinds = [spec[1:] if spec[0] == "ewm" else None for spec, _, _ in linear]
+            df = df.withColumn(token, recurrence_udf(kinds)(F.col("_start"), *arguments))
+            for i, (_, _, names) in enumerate(linear):
+                kept[names[0]] = F.col(f"{token}.y{i}")
+            return df
+        seeds = {f"_seed{i}": inputs[0] for i, (spec, inputs, _) in enumerate(linear) if spec[0] == "ewm"}
+        kinds = [spec[1] if spec[0] == "ewm" else None for spec, _, _ in linear]
+        df = self._marked(df).withColumn(token, affine_udf(kinds)(F.col("_start"), *arguments))
+        df = self._enter_cells(df, token, linear, seeds)
         for i, (spec, inputs, names) in enumerate(linear):
             step, offset, seen = (F.col(f"{token}.{x}{i}") for x in "abn")
-            if self.layout.cut:
-                entry = F.coalesce(F.col(f"{token}_entry{i}"), F.lit(0.0))
-                seen = seen + F.coalesce(F.col(f"{token}_before{i}"), F.lit(0))
-            else:
-                entry = F.col(f"{token}_seed{i}") if spec[0] == "ewm" else F.lit(0.0)
+            entry = F.coalesce(F.col(f"{token}_entry{i}"), F.lit(0.0))
+            seen = seen + F.coalesce(F.col(f"{token}_before{i}"), F.lit(0))
             present = inputs[0].isNotNull() if spec[0] == "ewm" else (inputs[0].isNotNull() & inputs[1].isNotNull())
-            warm = {"ewm": lambda: present & (seen >= spec[2]), "affine": lambda: present, "hold": lambda: seen > 0}[spec[0]]()
-            kept[names[0]] = F.when(warm, step * entry + offset)
+            shown = {"ewm": lambda: present & (seen >= spec[2]), "affine": lambda: present, "hold": lambda: seen > 0}[spec[0]]()
+            kept[names[0]] = F.when(shown, step * entry + offset)
         return df
 
     def _enter_cells(self, df: DataFrame, token: str, linear: list[tuple], seeds: dict[str, Column]) -> DataFrame:
@@ -448,7 +449,7 @@ class Series:
         token = self._new_name()
         if not self.layout.cut:
             cold = [F.lit(None).cast("double")] * size
-            df = self._sorted(df).withColumn(token, udf(F.col("_start"), *cold, *inputs))
+            df = df.withColumn(token, udf(F.col("_start"), *cold, *inputs))
         else:
             df = self._settle_blocks(df, udf, token, inputs, size)
         for i, name in enumerate(names):
