@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import layout as lay
 from barloom.operators.layout import Layout, gather, plan_layout, spread
+from barloom.operators.quantiles import key_quantiles
 from barloom.operators.scans import affine_udf, recurrence_udf, stateful_udf
 from barloom.schema import FIELDS, finite
 
@@ -252,6 +253,12 @@ class Series:
 
         return self.window(f"{label}{first}:{last}", build, x, -first)
 
+    # --- whole-sample thresholds ---------------------------------------------------------------
+
+    def threshold(self, x: Ref, probability: float, sample: Sequence[str]) -> Ref:
+        """A quantile of ``x`` over all rows that share the ``sample`` columns (the whole table if none)."""
+        return self._scan(f"quantile{probability!r}:{','.join(sample)}", ("quantile", probability, tuple(sample)), [x])[0]
+
     # --- running totals ------------------------------------------------------------------------
 
     def running(self, kind: str, x: Ref) -> Ref:
@@ -357,24 +364,28 @@ class Series:
 
     def _run_scans(self, df: DataFrame, scans: list[tuple]) -> DataFrame:
         base = df.columns
-        linear = [s for s in scans if s[0][0] in ("ewm", "affine", "hold")]
-        totals = [s for s in scans if s[0][0] == "running"]
-        others = [s for s in scans if s[0][0] == "stateful"]
+
+        def of(*kinds):
+            return [scan for scan in scans if scan[0][0] in kinds]
+
         kept: dict[str, Column] = {}
-        if linear:
-            df = self._linear(df, linear, kept)
-        for spec, inputs, names in totals:
+        if of("ewm", "affine", "hold"):
+            df = self._linear(df, of("ewm", "affine", "hold"), kept)
+        for spec, inputs, names in of("running"):
             df = self._running_cut(df, spec[1], inputs[0], names[0], kept)
-        for spec, inputs, names in others:
+        for spec, inputs, names in of("stateful"):
             df = self._stateful(df, spec, inputs, names, kept)
-        return df.select(*base, *(column.alias(name) for name, column in kept.items()))
+        df = df.select(*base, *(column.alias(name) for name, column in kept.items()))
+        for spec, inputs, names in of("quantile"):
+            df = self._quantile(df, spec, inputs[0], names[0])
+        return df
 
     def _linear(self, df: DataFrame, linear: list[tuple], kept: dict[str, Column]) -> DataFrame:
         token = self._new_name()
         arguments = [column for _, inputs, _ in linear for column in inputs]
         if not self.layout.cut:
             kinds = [spec[1:] if spec[0] == "ewm" else None for spec, _, _ in linear]
-            df = df.withColumn(token, recurrence_udf(kinds)(F.col("_start"), *arguments))
+            df = self._marked(df).withColumn(token, recurrence_udf(kinds)(F.col("_start"), *arguments))
             for i, (_, _, names) in enumerate(linear):
                 kept[names[0]] = F.col(f"{token}.y{i}")
             return df
@@ -443,13 +454,24 @@ class Series:
         kept[name] = F.when(inner.isNull(), outer).when(outer.isNull(), inner).otherwise(both)
         return df
 
+    def _quantile(self, df: DataFrame, spec: tuple, x: Column, name: str) -> DataFrame:
+        _, probability, sample = spec
+        token = self._new_name()
+        measured = df.withColumn(token, x)
+        owned = measured.filter(lay.OWN) if self.layout.cut else measured
+        limits = key_quantiles(owned, sample, token, {name: probability}, bool(sample) and not self.layout.cut)
+        # A join may reorder rows, so a later Arrow pass must find its unit starts again.
+        df = df.drop("_start")
+        # One row per series, left for Spark to size; or exactly one row.
+        return df.join(limits, list(sample), "left") if sample else df.join(F.broadcast(limits))
+
     def _stateful(self, df: DataFrame, spec: tuple, inputs: list[Column], names: list[str], kept) -> DataFrame:
         _, kernel, outputs, size = spec
         udf = stateful_udf(kernel, len(inputs), [f"y{i}" for i in range(outputs)], size)
         token = self._new_name()
         if not self.layout.cut:
             cold = [F.lit(None).cast("double")] * size
-            df = df.withColumn(token, udf(F.col("_start"), *cold, *inputs))
+            df = self._marked(df).withColumn(token, udf(F.col("_start"), *cold, *inputs))
         else:
             df = self._settle_blocks(df, udf, token, inputs, size)
         for i, name in enumerate(names):

@@ -471,13 +471,18 @@ def _forms() -> dict:
 
 # Decimals compared where six would fall on exact ties (averages of two-decimal prices) or beyond the
 # precision of large values.
-DIGITS = {"vwma": 8, "envelope": 9, "ease_of_movement": 2, "pvt": 3, "nvi": 2, "pvi": 1, "obv": 3, "ad_line": 4, "klinger": 3}
+DIGITS = {"vwma": 8, "envelope": 9, "ease_of_movement": 2, "pvt": 3, "obv": 3, "ad_line": 4, "klinger": 3}
+
+
+# Running products grow without bound on these tables; their logarithm is compared.
+LOGGED = ("nvi", "pvi")
 
 
 def indicator_sql() -> dict[str, str]:
     result = {}
     for name, form in _forms().items():
         q = Q()
-        result[f"indicator_{name}"] = q.outputs(DIGITS.get(name, 6), **form(q))
+        columns = {key: f"ln({x})" if name in LOGGED else x for key, x in form(q).items()}
+        result[f"indicator_{name}"] = q.outputs(DIGITS.get(name, 6), **columns)
     return result
 
