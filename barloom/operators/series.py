@@ -375,7 +375,7 @@ class Series:
             df = self._running_cut(df, spec[1], inputs[0], names[0], kept)
         for spec, inputs, names in of("stateful"):
             df = self._stateful(df, spec, inputs, names, kept)
-        df = df.select(*base, *(column.alias(name) for name, column in kept.items()))
+        df = df.select(*(c for c in base if c in df.columns), *(column.alias(name) for name, column in kept.items()))
         for spec, inputs, names in of("quantile"):
             df = self._quantile(df, spec, inputs[0], names[0])
         return df
@@ -481,52 +481,41 @@ class Series:
     def _settle_blocks(self, df: DataFrame, udf, token: str, inputs: list[Column], size: int) -> DataFrame:
         """Non-linear recurrences over blocks: run every block, then rerun until entries agree.
 
-        The first run enters each block cold at its halo. A block's true entry is the state its
-        predecessor leaves at that point; the runs repeat with those entries until none changes, so the
-        result is the sequential one. These recurrences forget their entry quickly, which is why two or
-        three runs are the usual case; the bound is the number of blocks of the longest key.
+        The first run enters each block cold at its halo. Every cell then has an exit state, which is
+        the entry of the next cell; the runs repeat with those entries (at the halo cells and the first
+        owned cell of a block) until no block enters differently, so the result is the sequential one.
+        These recurrences forget their entry quickly, so two or three runs are the usual case; the bound
+        is the number of blocks of the longest key.
         """
         from barloom.session import cut_lineage
 
-        layout = self.layout
+        layout, cell = self.layout, (*self.layout.keys, lay.CELL)
         unit = Window.partitionBy(*layout.partition).orderBy(layout.order)
-        df = cut_lineage(df.withColumn("_start", F.row_number().over(unit) == 1))
-        state_names = [f"_e{i}" for i in range(size)]
+        states = [f"_e{i}" for i in range(size)]
+        cold = {name: F.lit(None).cast("double") for name in states}
+        df = cut_lineage(df)
+        new_cell = F.coalesce(F.lag(lay.CELL).over(unit) != F.col(lay.CELL), F.lit(True))
+        first_owned = F.col(lay.OWN) & ~F.coalesce(F.lag(lay.OWN).over(unit), F.lit(False))
+        run = df.withColumn("_start", F.row_number().over(unit) == 1).withColumn("_first", first_owned).withColumns(cold)
         entries = None
         while True:
-            run = df
-            if entries is not None:
-                run = run.join(entries, list(layout.partition), "left")
-            else:
-                run = run.withColumns({n: F.lit(None).cast("double") for n in state_names})
-            run = run.withColumn("_again", F.row_number().over(unit)).sortWithinPartitions(*layout.partition, layout.order)
-            run = run.withColumn(token, udf(F.col("_start"), *(F.col(n) for n in state_names), *inputs))
-            settled = cut_lineage(run)
-            exits = (
-                settled.filter(lay.OWN)
-                .groupBy(*layout.keys, lay.CELL)
-                .agg(F.max_by(token, layout.order).alias("exit"))
-            )
-            firsts = settled.groupBy(*layout.partition).agg(F.min(lay.CELL).alias("_first"))
-            chain = Window.partitionBy(*layout.keys).orderBy("_at")
-            marks = exits.select(*layout.keys, F.col(lay.CELL).alias("_at"), "exit", F.lit(None).cast("long").alias(lay.BLOCK)).unionByName(
-                firsts.select(*layout.keys, F.col("_first").cast("long").alias("_at"), F.lit(None).cast(exits.schema["exit"].dataType).alias("exit"), F.col(lay.BLOCK))
-            )
-            seen = chain.rangeBetween(Window.unboundedPreceding, -1)
-            fresh = (
-                marks.withColumn("_entry", F.last("exit", ignorenulls=True).over(seen))
-                .filter(F.col(lay.BLOCK).isNotNull())
-                .select(*layout.partition, *(F.col(f"_entry.state{i}").alias(n) for i, n in enumerate(state_names)))
+            settled = cut_lineage(run.withColumn(token, udf(F.col("_start"), *(F.col(n) for n in states), *inputs)))
+            exits = settled.filter(lay.OWN).groupBy(*cell).agg(F.max_by(token, layout.order).alias("exit"))
+            previous = F.lag("exit").over(Window.partitionBy(*layout.keys).orderBy(lay.CELL))
+            fresh = exits.select(*cell, previous.alias("was")).select(
+                *cell, *(F.col(f"was.state{i}").alias(n) for i, n in enumerate(states))
             )
             fresh = cut_lineage(fresh)
-            used = settled.filter("_start").select(*layout.partition, *(F.col(n).alias(f"{n}_was") for n in state_names))
-            same = F.lit(True)
-            for n in state_names:
-                same = same & F.col(n).eqNullSafe(F.col(f"{n}_was"))
-            moved = fresh.join(used, list(layout.partition)).filter(~same).limit(1).count()
-            if not moved:
-                return settled.drop("_again", *state_names)
+            if entries is not None:
+                used = settled.filter("_first").select(*cell, *(F.col(n).alias(f"{n}_was") for n in states))
+                moved = F.lit(False)
+                for n in states:
+                    moved = moved | ~F.col(n).eqNullSafe(F.col(f"{n}_was"))
+                if fresh.join(used, list(cell)).filter(moved).limit(1).count() == 0:
+                    return settled.drop("_first", "_start", *states)
             entries = fresh
+            enter = new_cell & (~F.col(lay.OWN) | first_owned)
+            run = df.join(entries, list(cell), "left").withColumn("_start", enter).withColumn("_first", first_owned)
 
 
 def _present(columns) -> Column:
