@@ -1,0 +1,8 @@
+"""Market-series analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Arrow functions travel to the executors by value, so a cluster needs no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -65,7 +65,7 @@ def target(s: Series, rule: Rule) -> Ref:
 
 def position(s: Series, rule: Rule) -> Ref:
     """Targets act from the next bar on."""
-    return s.row("held", lambda v: F.coalesce(v, F.lit(0.0)), s.lag(target(s, rule)))
+    return s.store(s.row("held", lambda v: F.coalesce(v, F.lit(0.0)), s.lag(target(s, rule))))
 
 
 def targets(df: DataFrame, rules: Sequence[Rule] | None = None, layout: Layout | None = None) -> DataFrame:
@@ -101,12 +101,12 @@ def segment(i: Column, n: Column) -> Column:
 
 def _bar_columns(s: Series, rules: Sequence[Rule], fee_bps: float) -> dict[str, tuple[Ref, Ref]]:
     """Position and net close-to-close return of every rule, and of holding throughout."""
-    change = s.row("ret", lambda r: F.coalesce(r, F.lit(0.0)), s.change(s.close))
+    change = s.store(s.row("ret", lambda r: F.coalesce(r, F.lit(0.0)), s.change(s.close)))
     columns = {}
     for rule in rules:
         held = position(s, rule)
         before = s.row("zero", lambda v: F.coalesce(v, F.lit(0.0)), s.lag(held))
-        columns[rule.id] = (held, held * change - s.abs(held - before) * (fee_bps / 10_000))
+        columns[rule.id] = (held, s.store(held * change - s.abs(held - before) * (fee_bps / 10_000)))
     columns[BENCHMARK] = (s.row("one", lambda c: F.lit(1.0), s.close), change)
     return columns
 
@@ -116,12 +116,12 @@ def segment_summaries(df: DataFrame, rules: Sequence[Rule], fee_bps: float, layo
     keys, order = list(layout.keys), layout.order
     s = Series(with_index(df, layout), layout)
     index = s.running("count", s.row("one", lambda c: F.lit(1.0), s.close)) - 1
-    part = s.row("segment", segment, index, s.column("_n"))
-    opens = s.row("opens", lambda a, b: F.coalesce(a != b, F.lit(True)), part, s.lag(part))
+    part = s.store(s.row("segment", segment, index, s.column("_n")))
+    opens = s.store(s.row("opens", lambda a, b: F.coalesce(a != b, F.lit(True)), part, s.lag(part)))
     columns = _bar_columns(s, rules, fee_bps)
     s.output("_segment", part)
     for i, (held, net) in enumerate(columns.values()):
-        growth = s.row("growth", lambda r: F.greatest(F.lit(0.0), 1 + r), net)
+        growth = s.store(s.row("growth", lambda r: F.greatest(F.lit(0.0), 1 + r), net))
         before = s.row("zero", lambda v: F.coalesce(v, F.lit(0.0)), s.lag(held))
         equity = s.affine(s.row("eqa", lambda o, g: F.when(o, 0.0).otherwise(g), opens, growth), s.row("eqb", lambda o, g: F.when(o, g).otherwise(0.0), opens, growth))
         enters = s.row("enters", lambda h, b: (h > 0) & (b == 0), held, before)

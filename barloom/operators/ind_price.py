@@ -256,7 +256,10 @@ def autocorrelation(s, window, lag):
     pair = s.row("pair", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.alias("a"), b.alias("b"))), change, s.lag(change, lag))
     # Every value from the oldest lagged one to the newest must be present.
     whole = s.window(f"whole{window + lag}", lambda c, l: F.count(c).over(l.rows(1 - window - lag)) == window + lag, change, window + lag - 1)
-    raw = s._strict("corr", lambda c: F.corr(c["a"], c["b"]), pair, window)
+    shared = s._strict("cov", lambda c: F.covar_pop(c["a"], c["b"]), pair, window)
+    own = s._strict("va", lambda c: F.var_pop(c["a"]), pair, window)
+    other = s._strict("vb", lambda c: F.var_pop(c["b"]), pair, window)
+    raw = s.when(own * other > 0, shared / s.sqrt(own * other))
     return [s.clamp(s.when(whole, raw), -1, 1)]
 
 

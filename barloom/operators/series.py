@@ -115,6 +115,10 @@ class Series:
             return self.row("when", lambda c, v: F.when(c, v), condition, value)
         return self.row("whenelse", lambda c, v, o: F.when(c, v).otherwise(o), condition, value, otherwise)
 
+    def store(self, x: Ref) -> Ref:
+        """Compute a row expression once, as a column, instead of repeating it in every use."""
+        return self.window("store", lambda c, l: c, x, 0)
+
     def abs(self, x: Ref) -> Ref:
         return self.row("abs", F.abs, x)
 

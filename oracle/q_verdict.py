@@ -1,0 +1,129 @@
+"""Checked queries: next-open fills, trade gate, effective rules, overfitting, bootstrap, verdict."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barloom.operators import verdict as vd
+from barloom.operators.backtest import strategy_grid
+from barloom.operators.layout import Layout, plan_layout
+from barloom.sources.ticks import order_bars
+from oracle.checks import check, rounded, seconds, table
+from oracle.research import rule_targets
+from oracle.series import ORDER_BARS, Q
+from oracle.series import rounded as r
+
+KEYS = list(Layout().keys)
+
+
+def obars(spark, d):
+    return order_bars(table(spark, d, "orders"))
+
+
+def fills_ctes() -> str:
+    q = Q(ORDER_BARS)
+    held = {rule: q.add(f"coalesce({q.lag(t)}, 0.0::DOUBLE)") for rule, t in rule_targets(q).items()}
+    p = q.lag("close")
+    gap = q.add(f"coalesce(open / {p} - 1, 0.0::DOUBLE)")
+    bench = q.add(f"coalesce(close / {p} - 1, 0.0::DOUBLE)")
+    rate = q.add(f"10 / 1e4 + 1 / 2e4 + 0.1 * {q.lag(q.wilder(q.tr(), 14))} / open")
+    n = q.add("count(*) OVER (PARTITION BY symbol)")
+    cells = []
+    for i, (k, h) in enumerate(held.items()):
+        e = q.add(f"coalesce({q.lag(h)}, 0.0::DOUBLE)")
+        cells.append(f"{{'rule': '{k}', 'no': {i}, 'h': {h}, 'e': {e}, 'g': (1 + {e} * {gap}) * (1 + {h} * (close / open - 1)) - 1, 'c': CASE WHEN {h} = {e} THEN 0 ELSE abs({h} - {e}) * {rate} END}}")
+    body = q.select(f"symbol, ts, rn - 1 AS i, {n} AS n, open, close, {p} AS prev_close, {bench} AS bench, unnest([{', '.join(cells)}]) AS x")
+    return f"""f0 AS (SELECT * EXCLUDE (x), x.rule AS rule, x.no AS rule_no, x.h AS position, x.e AS previous, x.g AS gross, x.c AS cost, (1 + x.g) * (1 - x.c) - 1 AS net FROM ({body})),
+f AS (SELECT *, sum(CASE WHEN position = 1 AND previous = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, rule ORDER BY i) AS tid FROM f0),
+t AS (SELECT symbol, rule, tid, min(i) AS entry, max(i) AS last, bool_or(position = 0) AS closed, product(1 + gross) - 1 AS tg, product(1 + net) - 1 AS t0,
+ product((1 + gross) * (1 - 1.5 * cost)) - 1 AS t1, product((1 + gross) * (1 - 2 * cost)) - 1 AS t2 FROM f WHERE tid > 0 AND (position = 1 OR previous = 1) GROUP BY 1, 2, 3)"""
+
+
+@check("verdict_fills", f"WITH {fills_ctes()} SELECT symbol, rule, epoch(ts)::BIGINT AS ts, position, previous, {r('gross', 8)} AS gross, {r('cost', 8)} AS cost, {r('net', 8)} AS net FROM f")
+def _fills(spark, d):
+    return vd.fills(obars(spark, d)).select("symbol", "rule", seconds("ts").alias("ts"), "position", "previous", *(rounded(c, 8).alias(c) for c in ("gross", "cost", "net")))
+
+
+STATS = {
+    "mean": "avg(net)", "std": "stddev_samp(net)", "skew": "avg(pow(net - m, 3)) / pow(avg(pow(net - m, 2)), 1.5)", "kurt": "avg(pow(net - m, 4)) / pow(avg(pow(net - m, 2)), 2)",
+    "exposure": "avg(position) FILTER (WHERE i > 0)",
+    "total_0": "product(1 + net) - 1", "total_1": "product((1 + gross) * (1 - 1.5 * cost)) - 1", "total_2": "product((1 + gross) * (1 - 2 * cost)) - 1",
+}
+
+
+@check("verdict_rule_summary", f"""WITH {fills_ctes()}, m AS (SELECT *, avg(net) OVER (PARTITION BY symbol, rule) AS m FROM f),
+ a AS (SELECT symbol, rule, {', '.join(f'{x} AS {n}' for n, x in STATS.items())}, max(net) > min(net) AS varies FROM m GROUP BY 1, 2),
+ b AS (SELECT symbol, rule, count(*) AS trades, count(*) FILTER (WHERE closed) AS closed_trades, avg(tg) AS trade_gross, avg(t0) AS trade_0, avg(t1) AS trade_1, avg(t2) AS trade_2 FROM t GROUP BY 1, 2)
+ SELECT symbol, rule, coalesce(trades, 0) AS trades, coalesce(closed_trades, 0) AS closed_trades,
+ CASE WHEN trades IS NULL THEN 'NEVER_TRADES' WHEN trades >= 30 THEN 'PASSED_GATE' ELSE 'INSUFFICIENT_TRADES' END AS status,
+ {', '.join(f"{r(c)} AS {c}" for c in [*STATS, 'trade_gross', 'trade_0', 'trade_1', 'trade_2'])} FROM a LEFT JOIN b USING (symbol, rule)""")
+def _summary(spark, d):
+    df = vd.rule_summary(vd.fills(obars(spark, d)), KEYS)
+    return df.select("symbol", "rule", "trades", "closed_trades", "status", *(rounded(c).alias(c) for c in [*STATS, "trade_gross", "trade_0", "trade_1", "trade_2"]))
+
+
+@check("verdict_effective_rules", f"""WITH {fills_ctes()}, v AS (SELECT symbol, rule FROM f GROUP BY 1, 2 HAVING max(net) > min(net)), x AS (SELECT f.* FROM f SEMI JOIN v USING (symbol, rule)),
+ c AS (SELECT a.symbol, a.rule AS ra, b.rule AS rb, corr(a.net, b.net) AS c FROM x a JOIN x b ON a.symbol = b.symbol AND a.i = b.i GROUP BY 1, 2, 3)
+ SELECT symbol, count(DISTINCT ra) AS rules_used, {r('pow(count(DISTINCT ra), 2) / sum(c * c)')} AS estimate FROM c GROUP BY 1""")
+def _effective(spark, d):
+    bars = obars(spark, d)
+    wide = vd.fills_wide(bars, vd.Costs(), strategy_grid(), plan_layout(bars))
+    return vd.participation(wide, strategy_grid(), KEYS).select("symbol", F.col("rules_used").cast("long").alias("rules_used"), rounded("estimate").alias("estimate"))
+
+
+@check("verdict_window_summary", f"""WITH {fills_ctes()}, w AS (SELECT *, floor(n * 0.8::DOUBLE) AS lo FROM f), x AS (SELECT *, avg(net) OVER (PARTITION BY symbol, rule) AS m FROM w WHERE i >= lo),
+ a AS (SELECT symbol, rule, avg(position) * 100 AS exposure_pct, (product(1 + net) - 1) * 100 AS net_return_pct, avg(net) / nullif(stddev_samp(net), 0) AS s, count(*) AS n,
+  avg(pow(net - m, 3)) / nullif(pow(avg(pow(net - m, 2)), 1.5), 0) AS g1, avg(pow(net - m, 4)) / nullif(pow(avg(pow(net - m, 2)), 2), 0) AS g2, (arg_max(close, i) / arg_min(prev_close, i) - 1) * 100 AS buy_hold_return_pct FROM x GROUP BY 1, 2),
+ b AS (SELECT t.symbol, t.rule, count(*) AS trades, count(*) FILTER (WHERE closed) AS closed_trades, avg(t0) * 100 AS mean_trade_return_pct FROM t JOIN (SELECT DISTINCT symbol, lo FROM w) l ON l.symbol = t.symbol AND entry >= lo GROUP BY 1, 2)
+ SELECT symbol, rule, coalesce(trades, 0) AS trades, coalesce(closed_trades, 0) AS closed_trades, {r('exposure_pct')} AS exposure_pct, {r('net_return_pct')} AS net_return_pct, {r('s * sqrt(365)')} AS sharpe,
+ {r('CASE WHEN s IS NOT NULL THEN sqrt(greatest(1 - g1 * s + (g2 - 1) / 4 * s * s, 1e-12) / (n - 1)) * sqrt(365) END')} AS sharpe_se, {r('mean_trade_return_pct')} AS mean_trade_return_pct, {r('buy_hold_return_pct')} AS buy_hold_return_pct FROM a LEFT JOIN b USING (symbol, rule)""")
+def _window(spark, d):
+    bars = obars(spark, d)
+    df = vd.window_summary(vd.fills(bars), KEYS, "ts", vd.periods_per_year(bars, 365.0), F.floor(F.col("_n") * 0.8), F.col("_n"))
+    reals = ("exposure_pct", "net_return_pct", "sharpe", "sharpe_se", "mean_trade_return_pct", "buy_hold_return_pct")
+    return df.select("symbol", "rule", "trades", "closed_trades", *(rounded(c).alias(c) for c in reals))
+
+
+@check("verdict_overfitting", f"""WITH {fills_ctes()}, ok AS (SELECT symbol, rule FROM t GROUP BY 1, 2 HAVING count(*) >= 30), k AS (SELECT symbol, count(*) AS rules FROM ok GROUP BY 1 HAVING count(*) >= 2),
+ z AS (SELECT f.symbol, rule_no, net, i, least(16, 2 * (n // 40))::INT AS blocks, n FROM f SEMI JOIN ok USING (symbol, rule)),
+ s AS (SELECT symbol, rule_no, blocks, n // blocks AS size, ((i - (n - blocks * (n // blocks))) // (n // blocks))::INT AS b, sum(net) AS s, sum(net * net) AS q FROM z WHERE i >= n - blocks * (n // blocks) GROUP BY 1, 2, 3, 4, 5),
+ masks AS (SELECT unnest(range(0, 65536)) AS mask), sp AS (SELECT s.symbol, rule_no, mask, any_value(blocks // 2 * size) AS half,
+  sum(CASE WHEN (mask >> b) & 1 = 1 THEN s END) AS ts, sum(CASE WHEN (mask >> b) & 1 = 1 THEN q END) AS tq, sum(CASE WHEN (mask >> b) & 1 = 0 THEN s END) AS es, sum(CASE WHEN (mask >> b) & 1 = 0 THEN q END) AS eq
+  FROM s JOIN masks ON bit_count(mask) = blocks // 2 AND mask < pow(2, blocks) GROUP BY 1, 2, 3),
+ sh AS (SELECT symbol, rule_no, mask, coalesce((ts / half) / nullif(sqrt(greatest((tq - ts * ts / half) / (half - 1), 0)), 0), 0) AS train, coalesce((es / half) / nullif(sqrt(greatest((eq - es * es / half) / (half - 1), 0)), 0), 0) AS test FROM sp),
+ b AS (SELECT symbol, mask, arg_max(test, {{'t': train, 'r': -rule_no}}) AS score FROM sh GROUP BY 1, 2),
+ o AS (SELECT symbol, mask, (count(*) FILTER (WHERE test < score) + (count(*) FILTER (WHERE test = score) + 1) / 2.0) / (any_value(rules) + 1) AS omega FROM sh JOIN b USING (symbol, mask) JOIN k USING (symbol) GROUP BY 1, 2)
+ SELECT symbol, {r('avg((ln(omega / (1 - omega)) <= 0)::INT)', 4)} AS pbo, count(*) AS combinations FROM o GROUP BY 1""")
+def _overfitting(spark, d):
+    rows = vd.fills(obars(spark, d))
+    passing = vd.rule_summary(rows, KEYS).filter(F.col("status") == vd.PASSED)
+    return vd.overfitting(rows, passing, KEYS).select("symbol", rounded("pbo", 4).alias("pbo"), "combinations")
+
+
+@check("verdict_periods_per_year", f"""WITH {ORDER_BARS.strip()}, g AS (SELECT symbol, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM bars)
+ SELECT symbol, {r('31536000.0 / median(s)')} AS periods_per_year, TRUE AS inferred FROM g GROUP BY 1""")
+def _ppy(spark, d):
+    return vd.periods_per_year(obars(spark, d)).select("symbol", rounded("periods_per_year").alias("periods_per_year"), "inferred")
+
+
+@check("verdict_bootstrap_blocks")
+def _blocks(spark, d):
+    """Drawn blocks per series: they cover every position of every replicate exactly once."""
+    bars = obars(spark, d)
+    sizes = bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).withColumn("block", vd.mean_block_length(F.col("n"))).withColumn("seed", F.pmod(F.xxhash64(*KEYS), F.lit(2**32)))
+    blocks = vd.drawn_blocks(sizes, KEYS, 200)
+    return blocks.groupBy("symbol").agg(F.count(F.lit(1)).alias("blocks"), F.sum("length").alias("rows"), rounded(F.avg("length"), 2).alias("mean_length"))
+
+
+@check("verdict_report")
+def _verdict(spark, d):
+    report = vd.verdict(obars(spark, d), replicates=500, correlated=100)
+    return report["labels"].join(report["effective_n"], KEYS).select("symbol", "label", "rules", "passed", "most_trades", "candidates", rounded("estimate").alias("effective_n"), rounded("low", 3).alias("low"), rounded("high", 3).alias("high"))
+
+
+@check("verdict_lookahead_probe", "SELECT '' AS symbol, 0::BIGINT AS differing WHERE FALSE")
+def _probe(spark, d):
+    """Targets that change when later bars are removed; an honest grid has none."""
+    grid = strategy_grid()
+    found = vd.lookahead_probe(obars(spark, d), [grid[0], grid[7]])
+    return found.groupBy("symbol").agg(F.count(F.lit(1)).alias("differing"))
