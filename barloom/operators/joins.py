@@ -44,7 +44,7 @@ def ranked_search(assets: DataFrame, query: str, symbol: str, name: str) -> Data
     """Assets matching a text: exact symbol, then prefix, then contained in symbol or name; short symbols first."""
     needle = query.strip().lower()
     code, label = F.lower(F.col(symbol)), F.lower(F.coalesce(F.col(name), F.lit("")))
-    rank = F.when(code == needle, 0).when(code.startswith(needle), 1).when(code.contains(needle), 2).when(label.contains(needle), 3)
+    rank = F.when(code == needle, 0).when(code.startswith(needle), 1).when(code.contains(needle) | label.contains(needle), 2)
     return assets.withColumn("rank", rank).filter(F.col("rank").isNotNull()).orderBy("rank", F.length(symbol), symbol)
 
 

@@ -43,7 +43,7 @@ def columnar_to_rows(df: DataFrame, arrays: dict[str, Column], keep: tuple[str,
 def csv_payload(df: DataFrame, body: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """A CSV body -> one map per line, named by the body's header."""
     lines = F.filter(F.split(F.regexp_replace(F.col(body), "\r", ""), "\n"), lambda x: F.trim(x) != "")
-    parsed = df.select(*keep, F.split(F.element_at(lines, 1), ",").alias("_h"), F.posexplode(F.slice(lines, 2, 2**31 - 1)).alias("line", "_l"))
+    parsed = df.select(*keep, F.split(F.element_at(lines, 1), ",").alias("_h"), F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line", "_l"))
     return parsed.select(*keep, "line", F.map_from_entries(F.arrays_zip("_h", F.split("_l", ","))).alias("record"))
 
 

@@ -26,7 +26,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
@@ -41,7 +41,7 @@ def upsert_bars(updates: DataFrame, path: str, version: str = "version") -> None
     stamp = F.to_date(ORDER)
     fresh = updates.select(*KEYS, ORDER, *FIELDS, F.col(version).cast("long").alias(version), stamp.alias(DAY))
     fresh = cut_lineage(fresh.groupBy(*KEYS, ORDER, DAY).agg(F.max_by(F.struct(*FIELDS, version), version).alias("b")).select(*KEYS, ORDER, DAY, "b.*"))
-    if _exists(spark, path):
+    if path_exists(spark, path):
         touched = fresh.select(*KEYS, DAY).distinct()
         stored = read_store(spark, path).join(touched, [*KEYS, DAY], "left_semi")
         # New rows beat stored ones whatever their number: batches arrive in order.
