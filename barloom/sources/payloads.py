@@ -36,8 +36,9 @@ def time_keyed_to_series(df: DataFrame, payload: str, zone: str | None = None, k
 
 
 def columnar_to_rows(df: DataFrame, arrays: dict[str, Column], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Parallel arrays -> rows; shorter arrays are padded with NULL."""
-    return df.select(*keep, F.explode(F.arrays_zip(*(c.alias(n) for n, c in arrays.items()))).alias("_r")).select(*keep, "_r.*")
+    """Parallel arrays -> rows; shorter or absent arrays are padded with NULL."""
+    named = df.select(*keep, *(F.coalesce(c, F.array()).alias(n) for n, c in arrays.items()))
+    return named.select(*keep, F.explode(F.arrays_zip(*arrays)).alias("_r")).select(*keep, "_r.*")
 
 
 def csv_payload(df: DataFrame, body: str, keep: tuple[str, ...] = ()) -> DataFrame:
