@@ -70,8 +70,8 @@ def _bands(spark, d):
     return table(spark, d, "events").select("event_id", sc.band_for(F.col("event_id") % 101).alias("band"), F.date_format(day, "yyyy-MM-dd").alias("month_ago"))
 
 
-@check("fn_clean_html", r"""SELECT page_id, CASE WHEN p = '' THEN NULL WHEN length(p) <= 600 THEN p ELSE rtrim(p[1:599]) || '…' END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(
- regexp_replace(regexp_replace(html, '(?i)</?(a|b|i|u|em|strong|span|sub|sup|small)\b[^>]*>', '', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) AS p FROM pages)""")
+@check("fn_clean_html", r"""SELECT page_id, CASE WHEN p = '' THEN NULL WHEN length(p) <= 600 THEN p ELSE rtrim(p[1:599]) || '…' END AS text FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+ regexp_replace(regexp_replace(html, '(?i)</?(a|b|i|u|em|strong|span|sub|sup|small)\b[^>]*>', '', 'g'), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS p FROM pages)""")
 def _html(spark, d):
     return table(spark, d, "pages").select("page_id", sc.clean_html(F.col("html")).alias("text"))
 
