@@ -54,8 +54,8 @@ def indicator(name: str, category: str, pane: str = "separate", outputs=("value"
 
 
 def _load() -> None:
-    if not _REGISTRY:
-        from barloom.operators import ind_momentum, ind_price, ind_trend, ind_volume  # noqa: F401
+    # Importing the definition modules registers them; repeated imports are free.
+    from barloom.operators import ind_momentum, ind_price, ind_trend, ind_volume  # noqa: F401
 
 
 def get(ident: str) -> Indicator | None:
