@@ -216,9 +216,9 @@ def statement_changes(cells: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def ratio_summary(cells: DataFrame, specs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Latest, change, high and low of ratios as percentages; ``specs`` is a small (item, scale, phrase) list."""
+    """Latest, change, high and low of ratios as percentages; ``specs`` lists (item, scale, phrase)."""
     name = F.regexp_replace("item", "TTM$", "")
-    shown = cells.withColumn("item", name).join(F.broadcast(specs.limit(1000)), "item").withColumn("pct", F.col("value") * F.col("scale"))
+    shown = cells.withColumn("item", name).join(specs, "item").withColumn("pct", F.col("value") * F.col("scale"))
     latest = shown.groupBy(*keep, "item", "phrase").agg(
         F.max_by("pct", "period").alias("latest"), F.max("pct").alias("high"), F.min("pct").alias("low"), (F.max_by("pct", "period") - F.min_by("pct", "period")).alias("change")
     )

@@ -23,7 +23,8 @@ from barloom.operators.quantiles import key_quantiles
 from barloom.operators.scans import affine_udf, recurrence_udf, stateful_udf
 from barloom.schema import FIELDS, finite
 
-Number = float | int
+# Windows from this length on are evaluated in two halves instead of row by row.
+WIDE = 256
 
 
 class Ref:
@@ -180,22 +181,61 @@ class Series:
         return self.window(f"{label}{n}", build, x, n - 1)
 
     def sum(self, x: Ref, n: int) -> Ref:
-        return self._strict("sum", F.sum, x, n)
+        return self._strict("sum", F.sum, x, n) if n < WIDE else self._wide("sum", x, n)
 
     def mean(self, x: Ref, n: int) -> Ref:
-        return self._strict("mean", F.avg, x, n)
+        return self._strict("mean", F.avg, x, n) if n < WIDE else self._wide("sum", x, n) / n
 
     def var(self, x: Ref, n: int, ddof: int) -> Ref:
+        if n >= WIDE:
+            return self._wide("m2", x, n) / (n - ddof)
         return self._strict(f"var{ddof}_", F.var_samp if ddof else F.var_pop, x, n, 1 + ddof)
 
     def std(self, x: Ref, n: int, ddof: int) -> Ref:
+        if n >= WIDE:
+            return self.sqrt(self.var(x, n, ddof))
         return self._strict(f"std{ddof}_", F.stddev_samp if ddof else F.stddev_pop, x, n, 1 + ddof)
 
     def max(self, x: Ref, n: int) -> Ref:
-        return self._strict("max", F.max, x, n)
+        return self._strict("max", F.max, x, n) if n < WIDE else self._wide("max", x, n)
 
     def min(self, x: Ref, n: int) -> Ref:
-        return self._strict("min", F.min, x, n)
+        return self._strict("min", F.min, x, n) if n < WIDE else self._wide("min", x, n)
+
+    def _wide(self, kind: str, x: Ref, n: int) -> Ref:
+        """A long window in constant work per row.
+
+        Rows are grouped by position in groups of ``n``. A window of ``n`` rows is the tail of one group
+        and the head of the next, and both are running aggregates of their group.
+        """
+        at = self.position()
+        tagged = self.store(self.row(f"grouped{n}", lambda v, p: F.struct(v.alias("v"), F.floor((p - 1) / n).alias("g")), x, at))
+
+        def running(backwards):
+            def build(c, l):
+                order = F.col(l.order).desc() if backwards else F.col(l.order)
+                w = Window.partitionBy(*l.partition, c["g"]).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+                v = c["v"]
+                aggs = {"sum": [F.sum(v)], "max": [F.max(v)], "min": [F.min(v)], "m2": [F.var_pop(v), F.avg(v)]}[kind]
+                return F.struct(F.count(v).over(w).alias("n"), *(a.over(w).alias(f"a{i}") for i, a in enumerate(aggs)))
+
+            return build
+
+        head = self.window(f"head_{kind}{n}", running(False), tagged, 0)
+        tail = self.lag(self.window(f"tail_{kind}{n}", running(True), tagged, 0), n - 1)
+
+        def merge(p, h, t):
+            alone = p % n == 0
+            merged = {
+                "sum": lambda: h["a0"] + t["a0"],
+                "max": lambda: F.greatest(h["a0"], t["a0"]),
+                "min": lambda: F.least(h["a0"], t["a0"]),
+                "m2": lambda: h["a0"] * h["n"] + t["a0"] * t["n"] + (h["a1"] - t["a1"]) * (h["a1"] - t["a1"]) * h["n"] * t["n"] / n,
+            }[kind]()
+            single = h["a0"] * n if kind == "m2" else h["a0"]
+            return F.when(alone & (h["n"] == n), single).when(~alone & (h["n"] + t["n"] == n), merged)
+
+        return self.row(f"wide_{kind}{n}", merge, at, head, tail)
 
     def position(self) -> Ref:
         """Row number of the bar inside its window partition (for regressions and arg-extremes)."""

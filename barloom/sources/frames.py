@@ -109,10 +109,11 @@ def quotes_from_frames(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     return found
 
 
-# The quote fields of the protocol that are merged by name.
+# The quote fields of the protocol.
 QUOTE_FIELDS = (
-    "lp", "lp_time", "ch", "chp", "bid", "ask", "bid_size", "ask_size", "volume", "open_price", "high_price", "low_price", "prev_close_price",
-    "currency_code", "current_session", "status", "description", "exchange", "type", "update_mode",
+    "ch", "chp", "current_session", "description", "local_description", "language", "exchange", "fractional", "is_tradable",
+    "lp", "lp_time", "minmov", "minmove2", "original_name", "pricescale", "pro_name", "short_name", "type", "update_mode",
+    "volume", "currency_code", "rchp", "rtc", "bid", "ask", "bid_size", "ask_size",
 )
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from barloom.operators import registry
 from barloom.operators.indicators import enrich, references
-from barloom.operators.layout import Layout
+from barloom.operators.layout import Layout, plan_layout
 from barloom.operators.series import Series
 from tests.fixtures import bars_frame, seeded_bars
 
@@ -81,3 +81,18 @@ def test_series_keys():
     assert registry.parse_key("rsi(period=14).value")[1] == {"period": 14}
     assert registry.parse_key("rsi(period=1000).value") is None and registry.parse_key("rsi(period=14).k") is None
     assert registry.resolve(registry.get("rsi"), {"period": 1e9}) == {"period": 500}
+
+
+def test_long_windows_match_pandas(spark):
+    frame = seeded_bars(1400, 5)
+    frame.loc[700, "close"] = np.nan
+    df = bars_frame(spark, frame)
+    for layout in (Layout(), plan_layout(df, block_rows=500)):
+        s = Series(df, layout)
+        n = 300
+        for name, ref in {"sum": s.sum(s.close, n), "mean": s.mean(s.close, n), "std": s.std(s.close, n, 1), "max": s.max(s.high, n), "min": s.min(s.low, n)}.items():
+            s.output(name, ref)
+        got = s.build().orderBy("ts").toPandas()
+        roll = frame.close.rolling(n)
+        for name, want in {"sum": roll.sum(), "mean": roll.mean(), "std": roll.std(), "max": frame.high.rolling(n).max(), "min": frame.low.rolling(n).min()}.items():
+            np.testing.assert_allclose(got[name].to_numpy(float), want.to_numpy(float), rtol=1e-8)
