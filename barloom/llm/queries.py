@@ -51,3 +51,46 @@ def byte_bpe(spark, sf_dir):
     from barloom.llm.byte_bpe import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"), *vocabulary())
+
+
+_TOP = """
+WITH whole AS (
+    SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored
+)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM ranked WHERE n <= 20
+"""
+
+
+@query("op10_exact_topk", _TOP)
+def topk(spark, sf_dir):
+    from barloom.llm.exact_topk import every, top_k, whole_vectors
+
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, every(vectors, 20))
+
+
+from barloom.llm import line_dedup, quotations  # noqa: E402
+
+
+@query("op3_line_dedup", line_dedup.SQL)
+def lines(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op6_quotation_linking", quotations.SQL)
+def quotes(spark, sf_dir):
+    return quotations.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@query("op5_main_text")
+def main_text(spark, sf_dir):
+    from barloom.llm.main_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
