@@ -131,12 +131,12 @@ def parse(html: str) -> Node:
                 close(up.parent)
         if name in CLOSES:
             ends, holders = CLOSES[name]
-            up, last = node, None
+            up, around = node, None
             while up.parent is not None and up.name not in holders:
-                last = up.parent if up.name in ends else last
+                around = up.parent if up.name in ends else around
                 up = up.parent
-            if last is not None:
-                close(last)
+            if around is not None:
+                close(around)
         child = Node(name, node, _away(name, tag["attributes"], {k for k in ("article", "main") if depth.get(k)}))
         node.parts.append(child)
         if name in VOID:

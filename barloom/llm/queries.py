@@ -94,3 +94,18 @@ def main_text(spark, sf_dir):
     from barloom.llm.main_text import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op7_private_data")
+def private_data(spark, sf_dir):
+    from barloom.llm.private_data import find_private, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return find_private(docs, learn(docs))
+
+
+@query("op8_suffix_array_dedup")
+def substrings(spark, sf_dir):
+    from barloom.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
