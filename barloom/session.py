@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -30,24 +33,24 @@ def local_session(cores: str = "8", memory: str = "8g") -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names, or None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
-def cut_lineage(df):
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs: the one that ``spark.checkpoint.dir`` names, or the context's.
 
-    The folder comes from ``spark.checkpoint.dir``; a session without one (a local test) gets a
-    private folder once.
+    A cluster must name one, as its machines share no other. A local session without one, such as a test, gets a private
+    folder once.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("no shared folder: set spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = checkpoint_dir(spark)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="barloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df):
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
