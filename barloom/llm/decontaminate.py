@@ -12,17 +12,18 @@ is searched in several passes over parts of its items, and the spans of the pass
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm.byte_bpe import blocks
 
+FOUND = T.StructType().add("n_words", T.LongType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("items", T.ArrayType(T.StringType()))
 #: Words of a phrase; text characters of a shard; words of items in one pass; distance of sampled suffixes.
 WINDOW, SHARD_CHARS, PHRASE_WORDS, SAMPLED = 13, 16_000_000, 2_000_000, 8
 #: Fixed value: bytes 0-9, A-Z, a-z and those of characters beyond ASCII make words; A-Z are lower-cased.
@@ -174,23 +175,24 @@ def shard_hits(texts: list[str | None], phrases: Phrases) -> list[tuple[int, lis
     return out
 
 
-def _pass(docs: DataFrame, items: list, window: int, id_column: str, text_column: str) -> DataFrame:
+def _pass(docs: DataFrame, items: list, window: int, text_column: str) -> DataFrame:
+    """``docs`` with ``n_words, spans, items``."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    place = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(sent.value, window)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(place).to_pylist()
             for a, b in blocks(texts, SHARD_CHARS):
                 n, spans, ids = zip(*shard_hits(texts[a:b], phrases), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in own] for own in spans], span), pa.array(ids, pa.list_(pa.string()))],
-                    names=["id", "n_words", "spans", "items"],
+                    [*batch.slice(a, b - a).columns, pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in own] for own in spans], span), pa.array(ids, pa.list_(pa.string()))],
+                    names=[*batch.schema.names, "n_words", "spans", "items"],
                 )
 
-    rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND.fields]))
 
 
 def find_phrases(
@@ -202,8 +204,10 @@ def find_phrases(
     item_text_column: str = "text",
     window: int = WINDOW,
     phrase_words: int = PHRASE_WORDS,
+    carry: bool = False,
 ) -> DataFrame:
-    """``id_column, n_words, spans, items`` per row of ``docs``: the merged spans of words (end exclusive) inside an
+    """``id_column, n_words, spans, items`` per row of ``docs`` (with ``carry``: beside all its columns, of which those
+    named like the three are replaced): the merged spans of words (end exclusive) inside an
     occurrence of a window of an item, and the ids (as text, sorted) of the items with such windows.
 
     A NULL or empty text has no words, an item without words no window; items without id are left out. Rows of
@@ -215,9 +219,13 @@ def find_phrases(
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first().n // 2
     passes = max(1, -(-size // phrase_words))
     part = F.pmod(F.xxhash64("item"), F.lit(passes))
-    found = [_pass(docs, [tuple(r) for r in items.where(part == k).collect()], window, id_column, text_column) for k in range(passes)]
+    parts = [[tuple(r) for r in items.where(part == k).collect()] for k in range(passes)]
     if passes == 1:
-        return found[0].withColumnRenamed("id", id_column)
+        rows = docs.drop(*FOUND.names) if carry else docs.select(id_column, text_column)
+        found = _pass(rows, parts[0], window, text_column)
+        return found if carry else found.drop(text_column)
+    named = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
+    found = [_pass(named, own, window, "text").drop("text") for own in parts]
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
@@ -230,29 +238,39 @@ def find_phrases(
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"]), grown).otherwise(F.concat(done, F.array(span)))
 
     spans = F.aggregate("all", empty, joined)
-    return merged.select(F.col("id").alias(id_column), "n_words", spans.alias("spans"), "items")
+    merged = merged.select(F.col("id").alias(id_column), "n_words", spans.alias("spans"), "items")
+    return docs.drop(*FOUND.names).join(merged, id_column, "left") if carry else merged
+
+
+def is_contaminated(one_in: int = 20) -> Column:
+    """Of what ``find_phrases`` tells: a word is hit, and of ``one_in`` words one is hit at least."""
+    return (n_hit() > 0) & (n_hit() * one_in >= F.col("n_words"))
+
+
+def n_hit() -> Column:
+    return F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.lit(0).cast("long"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, **options) -> DataFrame:
-    """``n_words, n_hit, n_items, items_sha256, contaminated`` per document: contaminated where a word is hit and of
-    ``one_in`` words one is hit at least. The digest is of the item ids, sorted as text and joined by commas.
+    """``n_words, n_hit, n_items, items_sha256, contaminated, spans`` per document. The digest is of the item ids, sorted
+    as text and joined by commas.
 
     Options and the rules for nulls, repeats and empty tables are those of ``find_phrases``.
     """
     found = find_phrases(docs, benchmark, **options)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    id_column = found.columns[0]
     return found.select(
-        id_column,
+        found.columns[0],
         "n_words",
-        n_hit.alias("n_hit"),
+        n_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * one_in >= F.col("n_words"))).alias("contaminated"),
+        is_contaminated(one_in).alias("contaminated"),
         "spans",
     )
 
 
-def digest(values: list[str]) -> str:
-    """The digest that ``contamination`` gives for a list of item ids."""
-    return hashlib.sha256(",".join(sorted(values)).encode()).hexdigest()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with their columns."""
+    found = find_phrases(docs, benchmark, carry=True, **options)
+    return found.where(~is_contaminated(one_in)).select(*docs.columns)
+

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS, NGRAM, TRAIN_ROWS, MOST_LANGUAGES, UNKNOWN = 1024, 3, 20_000, 1000, "und"
 #: N-gram vectors that a worker keeps (64 MB at 1,024 dimensions), and n-grams added at a time.
@@ -129,30 +130,31 @@ def sampled(docs: DataFrame, id_column: str = "doc_id", rows: int = TRAIN_ROWS)
     return docs.where(F.pmod(F.xxhash64(docs[id_column]), F.lit(buckets)) < rows * buckets // n)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_column: str = "doc_id", text_column: str = "text", n: int = NGRAM) -> DataFrame:
-    """``id_column, lang_pred, score`` per row of ``docs``: the language of the greatest cosine and that cosine, 0 at
-    least. Equal cosines go to the first language by name.
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", n: int = NGRAM) -> DataFrame:
+    """``docs`` with ``lang_pred, score``: the language of the greatest cosine and that cosine, 0 at least. Equal cosines
+    go to the first language by name.
 
     A NULL or empty text and one without a letter get ``und`` and 0, as does everything where no language was
-    learned. Rows that repeat give rows that repeat; other columns aren't read.
+    learned. Rows that repeat give rows that repeat. Columns named like the two results are replaced; others stay.
     """
     langs, prototypes = model
     if not langs:
         prototypes = np.zeros((0, DIMENSIONS))
+    rows = docs.drop("lang_pred", "score")
+    place = rows.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, weights = Space(prototypes.shape[1], n), prototypes.astype(np.float32)
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(1):
+            for text in batch.column(place):
                 vector = space.bundle(text.as_py()) if langs else None
                 cosines = [0.0] if vector is None else (weights @ vector).tolist()
                 scores.append(min(1.0, max(0.0, best := max(cosines))))
                 names.append(UNKNOWN if vector is None else langs[cosines.index(best)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_column: Column | str = "doc_id", fold: int = 1, folds: int = 3) -> Column:
@@ -162,10 +164,14 @@ def held_out(id_column: Column | str = "doc_id", fold: int = 1, folds: int = 3)
 
 
 def identify(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``id_column, held_out, lang_pred, score`` per row, learned from a sample of the rows with a language that aren't
-    held out. See ``predict`` for nulls and empty texts; ids may repeat.
+    """``id_column, held_out, lang_pred, score`` per row, by the model of ``learned``. See ``with_language`` for nulls and
+    empty texts; ids may repeat.
     """
+    found = with_language(docs.select(id_column, text_column), learned(docs, id_column, text_column, lang_column, train_rows, dimensions), text_column)
+    return found.select(id_column, held_out(id_column).alias("held_out"), "lang_pred", "score")
+
+
+def learned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", train_rows: int = TRAIN_ROWS, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
+    """A model of a sample of the rows with a language that aren't held out."""
     labelled = docs.where(~held_out(docs[id_column]) & docs[lang_column].isNotNull() & docs[text_column].isNotNull())
-    model = learn(sampled(labelled, id_column, train_rows), text_column, lang_column, dimensions)
-    found = predict(docs, model, id_column, text_column)
-    return found.select(id_column, held_out(found[id_column]).alias("held_out"), "lang_pred", "score")
+    return learn(sampled(labelled, id_column, train_rows), text_column, lang_column, dimensions)

@@ -109,3 +109,10 @@ def substrings(spark, sf_dir):
     from barloom.llm.substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
+@query("op2_ngram_jaccard_join")
+def near_duplicates(spark, sf_dir):
+    from barloom.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))

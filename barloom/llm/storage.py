@@ -6,18 +6,11 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame
 
-
-def shared_folder(df: DataFrame) -> str:
-    """The folder named by ``spark.checkpoint.dir``, else the session's checkpoint folder."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("no shared folder: set spark.checkpoint.dir")
-    return folder
+from barloom.session import shared_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in a folder of its own, and read from there: later jobs start from the files."""
-    path = f"{shared_folder(df)}/{name}-{uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,7 +1,7 @@
 """Cleaning a corpus: language ID, line dedup, near duplicates, decontamination, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``documents``.
+stage's docs. All but the last return the columns of ``documents``. Document ids must be unique.
 """
 
 from __future__ import annotations
@@ -9,23 +9,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.byte_bpe import token_digests
+from barloom.llm.decontaminate import drop_contaminated
+from barloom.llm.language_id import UNKNOWN, learned, with_language
+from barloom.llm.line_dedup import dedup_lines
+from barloom.llm.ngram_join import near_duplicates
+from barloom.llm.queries import vocabulary
+from barloom.llm.storage import stored
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go: no language can be told."""
-    from barloom.llm.language_id import UNKNOWN, identify
+    """Documents without text or without a letter go: no language can be told."""
+    return with_language(docs, learned(docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of many sites stay in their first document; a document whose lines all go stays with an empty text."""
+    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least id stays. Documents without words, or without id,
+    are no duplicates."""
+    dropped = near_duplicates(docs).where(F.col("class_id") != F.col("doc_id")).select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
-    found = identify(docs).where(F.col("lang_pred") != UNKNOWN).select("doc_id")
-    return docs.join(found, "doc_id", "left_semi")
 
+def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one word in twenty stands in a passage of the benchmark go."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-STAGES = [("language_id", languages)]
-#: SQL can't express the language model, the decontamination and the tokens; tests use brute force.
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests."""
+    return token_digests(docs, *vocabulary())
+
+
+STAGES = [("language_id", languages), ("line_dedup", lines), ("ngram_jaccard_join", copies), ("benchmark_decontamination", benchmarks), ("byte_bpe", tokens)]
+#: SQL can't express the language model, MinHash classes and the merges of byte pairs; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from barloom.llm.storage import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
