@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,15 @@ def is_valid_bar() -> Column:
     )
 
 
+def _by_keys(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Left join on keys of which one may be NULL: a flat file has no timeframe."""
+    named = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(named[f"_r_{k}"])
+    return left.join(named, on, "left").drop(*(f"_r_{k}" for k in keys))
+
+
 def validate(raw: DataFrame, position: Column, naive_zone: str = "Asia/Kolkata", keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Typed bars and per-series counts from text rows (key columns, ``time`` and the five fields).
 
@@ -60,52 +72,85 @@ def validate(raw: DataFrame, position: Column, naive_zone: str = "Asia/Kolkata",
     ).withColumn("_ok", is_valid_bar())
     bars = typed.filter("_ok").groupBy(*keys, ORDER).agg(F.max_by(F.struct(*FIELDS), "_at").alias("b"), F.count(F.lit(1)).alias("_n"))
     kept = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("valid_rows"))
-    counts = typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(~F.col("_ok")).alias("dropped_rows")).join(kept, list(keys), "left")
+    counts = typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(~F.col("_ok")).alias("dropped_rows"))
+    counts = _by_keys(counts, kept, keys)
     counts = counts.fillna(0, ["valid_rows"]).withColumn("duplicate_rows", F.col("input_rows") - F.col("dropped_rows") - F.col("valid_rows"))
     return bars.select(*keys, ORDER, "b.*"), counts
 
 
-PATH_FORM = r"([^/]+)/([^/]+)\.csv$"
-
-
-def _identity(path: Column) -> tuple[Column, Column]:
-    symbol, timeframe = F.regexp_extract(path, PATH_FORM, 1), F.regexp_extract(path, PATH_FORM, 2)
-    return F.url_decode(symbol), F.url_decode(timeframe)
+SEPARATORS = (",", ";", "\t")
+#: Header names that stand for the time of a bar, in order of preference.
+TIME_NAMES = ("time", "timestamp", "datetime", "date")
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*"
+
+
+def _identity(path: Column, root: str, encoded: bool = True) -> tuple[Column, Column]:
+    """Symbol and timeframe of ``<symbol>/<timeframe>.csv``; a file directly in the folder is a symbol without timeframe."""
+    base = re.sub(_SCHEME, "/", root).rstrip("/")
+    base = quote(base) if encoded else base
+    plain = F.regexp_replace(path, _SCHEME, "/")
+    inside = F.when(plain.startswith(base + "/"), F.substring(plain, len(base) + 2, 1 << 20))
+    name, parent = F.regexp_extract(path, r"([^/]+)\.csv$", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    flat = F.coalesce(~inside.contains("/"), F.lit(False))
+    decoded = F.url_decode if encoded else (lambda c: c)
+    return decoded(F.when(flat, name).otherwise(parent)), decoded(F.when(~flat, name))
+
+
+def _fields(line: Column, separator: str) -> Column:
+    """The trimmed values of a line; a separator inside quotes belongs to the value."""
+    outside = f"{separator}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+    return F.transform(F.split(line, outside), lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+
+
+def file_headers(lines: DataFrame, separator: str | None = None) -> DataFrame:
+    """``file, separator, names`` of each file of ``lines``: its first line, cut by the given separator or the most
+    frequent one outside quotes. Names are lower-case; the first known name of a time column becomes ``time``."""
+    head = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "n")).alias("head"))
+    head = head.withColumn("head", F.regexp_replace("head", "^\ufeff|\r$", ""))
+    bare = F.regexp_replace("head", '"[^"]*"', "")
+    counts = [F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in SEPARATORS]
+    found = F.lit(separator) if separator else F.when((counts[0] >= counts[1]) & (counts[0] >= counts[2]), ",").when(counts[1] >= counts[2], ";").otherwise("\t")
+    cut = F.when(F.col("separator") == ";", _fields(F.col("head"), ";")).when(F.col("separator") == "\t", _fields(F.col("head"), "\t")).otherwise(_fields(F.col("head"), ","))
+    named = head.withColumn("separator", found).select("file", "separator", F.transform(cut, F.lower).alias("names"))
+    alias = F.coalesce(*(F.when(F.array_contains("names", n), n) for n in TIME_NAMES), F.lit("time"))
+    return named.select("file", "separator", F.transform("names", lambda n: F.when(n == alias, "time").otherwise(n)).alias("names"))
+
+
+def _read(spark: SparkSession, path: str, naive_zone: str, separator: str | None) -> tuple[DataFrame, DataFrame]:
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    lines = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    headers = file_headers(lines, separator)
+    whole = headers.agg(F.count("*").alias("n"), F.count_if(F.array_size(F.array_except(F.array(*map(F.lit, REQUIRED)), "names")) == 0).alias("good"), F.max(F.array_join(F.array_except(F.array(*map(F.lit, REQUIRED)), "names"), ", ")).alias("missing")).first()
+    if whole.n and not whole.good:
+        raise ValueError(f"missing required columns: {whole.missing}")
+    first = lines.groupBy("file").agg(F.min(F.struct("block", "n")).alias("first"))
+    rows = lines.join(headers, "file").join(first, "file").where((F.struct("block", "n") != F.col("first")) & (F.trim(F.regexp_replace("value", "\r$", "")) != ""))
+    line = F.regexp_replace("value", "\r$", "")
+    cells = F.when(F.col("separator") == ";", _fields(line, ";")).when(F.col("separator") == "\t", _fields(line, "\t")).otherwise(_fields(line, ","))
+    symbol, timeframe = _identity(F.col("file"), path)
+    cut = rows.withColumn("cells", cells)
+    raw = cut.select(symbol.alias("symbol"), timeframe.alias("timeframe"), *(F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int")).alias(name) for name in REQUIRED), F.struct("file", "block", "n").alias("_at"))
+    return validate(raw, F.col("_at"), naive_zone)
 
 
 def read_ohlcv(spark: SparkSession, path: str, naive_zone: str = "Asia/Kolkata", sep: str = ",") -> tuple[DataFrame, DataFrame]:
-    """Bars and counts of ``<symbol>/<timeframe>.csv`` files under a folder (or one file)."""
-    raw = spark.read.option("header", True).option("sep", sep).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
-    symbol, timeframe = _identity(F.col("_metadata.file_path"))
-    raw = raw.select(*raw.columns, symbol.alias("symbol"), timeframe.alias("timeframe"), F.struct(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).alias("_at"))
-    return validate(raw, F.col("_at"), naive_zone)
-
+    """Bars and counts of ``<symbol>/<timeframe>.csv`` files under a folder (or one file).
 
-def sniff_separator(header: str) -> str:
-    """The most frequent of comma, semicolon and tab outside quotes."""
-    outside = "".join(part for i, part in enumerate(header.split('"')) if i % 2 == 0)
-    return max(",;\t", key=outside.count)
+    Columns are found by the header of each file, in any order. The rows of a file without a required column are
+    dropped and counted; a folder in which every file lacks one is an error.
+    """
+    return _read(spark, path, naive_zone, sep)
 
 
 def read_ohlcv_loose(spark: SparkSession, path: str, naive_zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
-    """As ``read_ohlcv`` for foreign files: any separator, column order and letter case, BOM and CRLF."""
-    header = spark.read.text(path).limit(1).first()
-    separator = sniff_separator(header[0].lstrip("﻿") if header else "")
-    raw = spark.read.option("header", True).option("sep", separator).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
-    raw = raw.toDF(*(c.lstrip("﻿").strip().lower() for c in raw.columns))
-    alias = next((c for c in ("time", "timestamp", "datetime", "date") if c in raw.columns), None)
-    if alias and alias != "time":
-        raw = raw.withColumnRenamed(alias, "time")
-    symbol, timeframe = _identity(F.col("_path"))
-    raw = raw.withColumn("_path", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-    raw = raw.withColumn("symbol", symbol).withColumn("timeframe", timeframe)
-    return validate(raw, F.col("_at"), naive_zone)
+    """As ``read_ohlcv`` for foreign files: a separator, column order and letter case of each file's own, BOM and CRLF."""
+    return _read(spark, path, naive_zone, None)
 
 
 def dataset_catalog(spark: SparkSession, path: str) -> DataFrame:
     """CSV files under a folder with symbol and timeframe; hidden files are skipped by the reader."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
-    symbol, timeframe = _identity(F.col("path"))
+    symbol, timeframe = _identity(F.col("path"), path, encoded=False)
     return files.select("path", symbol.alias("symbol"), timeframe.alias("timeframe"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
 
 
@@ -124,7 +169,7 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
 def dataset_summary(catalog: DataFrame, bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Rows and time range of each catalogued dataset; those without a valid row carry an error."""
     found = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(ORDER).alias("start"), F.max(ORDER).alias("end"))
-    joined = catalog.join(found, list(keys), "left").withColumn("valid", F.col("rows").isNotNull()).fillna(0, ["rows"])
+    joined = _by_keys(catalog, found, keys).withColumn("valid", F.col("rows").isNotNull()).fillna(0, ["rows"])
     return joined.withColumn("error", F.when(~F.col("valid"), F.lit("contains no valid OHLCV rows"))).orderBy(*keys)
 
 
