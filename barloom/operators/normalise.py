@@ -12,10 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import DATE, DATETIME, moment, occ_contract, percent_value, to_number
+from barloom.functions.scalars import DATE, DATETIME, MISSING, moment, occ_contract, percent_value, to_number
 from barloom.sources.payloads import MAPPING, RECORDS, records_by_symbol
 
-PLACEHOLDER = r"(?i)(premium|subscribe|upgrade|demo|sample|placeholder)"
+# Wording of provider notices, and error names of one provider.
+PREMIUM_NOTICE, PREMIUM_ERROR = r"(?i)premium endpoint|ARTIFICIAL", r"(?i)restricted endpoint|premium|subscription|upgrade|exclusive|special (endpoint|parameter)"
+LIMIT_NOTICE = r"(?i)rate limit|limit reach|too many requests|requests? per (day|minute|second)|per day|per minute|call frequency|spreading out|bandwidth"
+KEY_NOTICE = r"(?i)(api ?key).*(invalid|missing|required|demo)|demo.*api key|(invalid|missing) api ?key"
+ERROR_NAMES = {"invalid_key": r"(invalid|missing|inactive)_(access|api)_key|inactive_user", "rate_limited": r"(usage|rate|request)s?_limit|too_many_requests", "premium_required": r"access_restricted|subscription"}
+NOTICES = ("Error Message", "Information", "Note")
 
 
 def _get(json: Column, path: str) -> Column:
@@ -30,16 +35,36 @@ def _num(json: Column, path: str) -> Column:
 
 
 def payload_status(payload: Column) -> Column:
-    """ok, empty, error or placeholder; only ok payloads may become data."""
+    """ok, empty, premium_required, rate_limited, invalid_key, invalid_request or upstream_error; only ok is data.
+
+    A notice counts when nothing stands beside it, an error message always. A message beside data is data, unless it says
+    that the data are made up.
+    """
     text = F.trim(payload)
-    error = F.coalesce(_get(payload, "error"), _get(payload, "error.message"), _get(payload, "Error Message"), _get(payload, "['Error Message']"))
-    notice = F.coalesce(_get(payload, "message"), _get(payload, "['Information']"), _get(payload, "['Note']"))
+    fields = F.from_json(payload, MAPPING)
+    notice = F.coalesce(*(fields[k] for k in NOTICES))
+    alone = F.array_size(F.array_except(F.map_keys(fields), F.array(*map(F.lit, NOTICES)))) == 0
+    message, code, error = fields["message"], fields["code"], fields["error"]
+    by_error = F.when(fields["Error Message"].rlike(KEY_NOTICE), "invalid_key").when(fields["Error Message"].rlike(LIMIT_NOTICE), "rate_limited").when(fields["Error Message"].rlike(PREMIUM_ERROR), "premium_required").otherwise("invalid_request")
+    by_notice = F.when(notice.rlike(PREMIUM_NOTICE), "premium_required").when(notice.rlike(LIMIT_NOTICE), "rate_limited").when(notice.rlike(KEY_NOTICE), "invalid_key").otherwise("upstream_error")
+    named = F.lit("invalid_request")
+    for status, form in ERROR_NAMES.items():
+        named = F.when(error.rlike(form), status).otherwise(named)
+    # Eight digits whose first three are the status of the answer.
+    http = F.when(code.rlike("^[45][0-9]{7}$"), F.substring(code, 1, 3).cast("int"))
+    coded = F.when(F.contains(F.lower(message), F.lit("subscription")), "premium_required").when(http.isin(401, 403), "invalid_key").when(http == 429, "rate_limited").when(http >= 500, "upstream_error").otherwise("invalid_request")
+    data = F.map_filter(fields, lambda k, v: ~k.isin("endpoint", "message") & F.coalesce(~F.trim(v).isin("", "[]", "{}", "null"), F.lit(False)))
+    is_map = text.startswith("{")
     return (
         F.when(payload.isNull() | text.isin("", "{}", "[]", "null"), "empty")
-        .when(F.try_parse_json(payload).isNull(), "error")
-        .when(error.isNotNull(), "error")
-        .when(notice.rlike(PLACEHOLDER) | (_get(payload, "endpoint").isNotNull() & _get(payload, "message").isNotNull()), "placeholder")
-        .when(_get(payload, "code").isNotNull() & _get(payload, "message").isNotNull(), "error")
+        .when(F.try_parse_json(payload).isNull(), "upstream_error")
+        .when(~is_map, "ok")
+        .when(fields["Error Message"].isNotNull(), by_error)
+        .when(notice.isNotNull() & alone, by_notice)
+        .when(error.isNotNull() & ~F.trim(error).isin("null", "false", ""), named)
+        .when(http.isNotNull() & message.isNotNull(), coded)
+        .when(message.rlike(PREMIUM_NOTICE), "premium_required")
+        .when(F.size(data) == 0, "empty")
         .otherwise("ok")
     )
 
@@ -333,7 +358,7 @@ def key_facts(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     rows = df.select(*keep, F.explode(F.from_json("payload", MAPPING)).alias("key", "text"))
     number = F.coalesce(percent_value(F.col("text")), to_number(F.col("text")))
     tone = F.when(F.lower("key").contains("change"), F.when(number > 0, "positive").when(number < 0, "negative"))
-    present = ~F.trim("text").isin("", ".", "None", "none", "-", "n/a", "N/A", "null", "NaN", "nan")
+    present = ~F.trim("text").isin(*MISSING)
     return rows.filter(F.col("text").isNotNull() & present).select(*keep, "key", "text", value_type(F.col("text")).alias("type"), number.alias("number"), tone.alias("tone"))
 
 
@@ -382,15 +407,18 @@ OPEN_STATES = (
 CANCELABLE = tuple(state for state in OPEN_STATES if state != "pending_cancel")
 
 
-def order_rows(df: DataFrame, keep: Sequence[str] = (), depth: int = 2) -> DataFrame:
-    """Orders and their legs with open and cancelable flags."""
+def order_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Orders and their legs, of any depth, with prices, times, and open and cancelable flags."""
     level = df.select(*keep, F.explode(F.from_json("payload", RECORDS)).alias("r"), F.lit(None).cast("string").alias("parent"))
     found = None
-    for _ in range(depth):
+    while found is None or not level.isEmpty():
         r = F.col("r")
         status = F.lower(_get(r, "status"))
-        rows = level.select(*keep, _get(r, "id").alias("id"), "parent", _get(r, "symbol").alias("symbol"), _get(r, "side").alias("side"), _num(r, "qty").alias("qty"), _num(r, "filled_qty").alias("filled_qty"),
-                            status.alias("status"), status.isin(*OPEN_STATES).alias("open"), status.isin(*CANCELABLE).alias("cancelable"))
+        rows = level.select(
+            *keep, _get(r, "id").alias("id"), "parent", _get(r, "client_order_id").alias("client_order_id"), _get(r, "symbol").alias("symbol"), _get(r, "side").alias("side"),
+            F.coalesce(_get(r, "type"), _get(r, "order_type")).alias("type"), *(_num(r, n).alias(n) for n in ("qty", "filled_qty", "filled_avg_price", "limit_price", "stop_price", "trail_price", "trail_percent")),
+            *(moment(_get(r, n)).alias(n) for n in ("submitted_at", "filled_at")), status.alias("status"), status.isin(*OPEN_STATES).alias("open"), status.isin(*CANCELABLE).alias("cancelable"),
+        )
         found = rows if found is None else found.unionByName(rows)
         level = level.select(*keep, F.explode(F.from_json(_get(r, "legs"), RECORDS)).alias("leg"), _get(r, "id").alias("parent")).select(*keep, F.col("leg").alias("r"), "parent")
     return found

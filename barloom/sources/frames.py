@@ -86,39 +86,60 @@ def symbol_of(name: Column) -> Column:
     return F.when(~encoded.startswith("{"), name).otherwise(F.coalesce(F.when(inner != "", inner), name))
 
 
-QUOTE_DEPTH = 4
+class _Number(str):
+    """A number as it was written."""
+
+
+def _plain(value) -> str | None:
+    if value is None or isinstance(value, str):
+        return None if value is None else str(value)
+    return json.dumps(value, separators=(",", ":"), ensure_ascii=False)
+
+
+def quote_records(payload: str | None) -> list[dict]:
+    """Name and values of every quote record in a message, at any depth. A record without a name of its own takes that of
+    the nearest key around it that looks like ``EXCHANGE:SYMBOL``."""
+    try:
+        items = json.loads(payload or "null", parse_int=_Number, parse_float=_Number)
+    except (ValueError, RecursionError):
+        return []
+    out: list[dict] = []
+    stack = [(item, None) for item in reversed(items[1:])] if isinstance(items, list) else []
+    while stack:
+        item, hint = stack.pop()
+        if not isinstance(item, dict):
+            continue
+        name = _plain(item.get("n")) or _plain(item.get("symbol")) or hint
+        if name is not None and isinstance(item.get("v"), dict):
+            out.append({"name": name, "values": {k: _plain(v) for k, v in item["v"].items()}})
+        inner = [(v, k if ":" in k else hint) for k, v in item.items() if k not in ("v", "n", "symbol", "s") and isinstance(v, dict)]
+        stack += reversed(inner)
+    return out
+
+
+@F.pandas_udf("array<struct<name:string,values:map<string,string>>>")
+def _quotes(payload: pd.Series) -> pd.Series:
+    return payload.map(quote_records)
 
 
 def quotes_from_frames(frames: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(symbol, values) per quote record; records may nest under names like ``EXCHANGE:SYMBOL``."""
-    items = (
-        frames.filter(F.col("method") == "qsd")
-        .select(*keep, F.posexplode(F.from_json("payload", "ARRAY<STRING>")).alias("pos", "item"))
-        .filter(F.col("pos") > 0)
-        .select(*keep, "item", F.lit(None).cast("string").alias("hint"))
-    )
-    found = None
-    for _ in range(QUOTE_DEPTH):
-        fields = items.withColumn("m", F.from_json("item", "MAP<STRING, STRING>")).filter(F.col("m").isNotNull())
-        name = F.coalesce(F.nullif(F.col("m")["n"], F.lit("")), F.nullif(F.col("m")["symbol"], F.lit("")), F.col("hint"))
-        values = F.from_json(F.col("m")["v"], "MAP<STRING, STRING>")
-        level = fields.select(*keep, symbol_of(name).alias("symbol"), values.alias("values")).filter(F.col("symbol").isNotNull() & F.col("values").isNotNull())
-        found = level if found is None else found.unionByName(level)
-        nested = fields.select(*keep, "hint", F.explode("m").alias("k", "item")).filter(~F.col("k").isin("v", "n", "symbol", "s") & F.col("item").startswith("{"))
-        items = nested.select(*keep, "item", F.when(F.col("k").contains(":"), F.col("k")).otherwise(F.col("hint")).alias("hint"))
-    return found
+    """(symbol, values) per quote record; records may nest to any depth under names like ``EXCHANGE:SYMBOL``."""
+    found = frames.filter(F.col("method") == "qsd").select(*keep, F.explode(_quotes("payload")).alias("q"))
+    return found.select(*keep, symbol_of(F.col("q.name")).alias("symbol"), F.col("q.values").alias("values")).filter(F.col("symbol").isNotNull())
 
 
-# The quote fields of the protocol.
-QUOTE_FIELDS = (
-    "ch", "chp", "current_session", "description", "local_description", "language", "exchange", "fractional", "is_tradable",
-    "lp", "lp_time", "minmov", "minmove2", "original_name", "pricescale", "pro_name", "short_name", "type", "update_mode",
-    "volume", "currency_code", "rchp", "rtc", "bid", "ask", "bid_size", "ask_size",
-)
+#: Fields that one state may have; more of them are taken for damaged input.
+MOST_FIELDS = 1000
 
 
-def merge_quotes(updates: DataFrame, order: str, fields: tuple[str, ...] = QUOTE_FIELDS) -> DataFrame:
-    """Full state after each update: every named field keeps its last value per symbol (batch replay)."""
+def merge_quotes(updates: DataFrame, order: str, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Full state after each update: every field keeps its last value per symbol (batch replay). Without ``fields`` those
+    of all updates count; they are read first."""
+    if fields is None:
+        names = updates.select(F.explode(F.map_keys("values")).alias("k")).distinct().limit(MOST_FIELDS + 1).collect()
+        if len(names) > MOST_FIELDS:
+            raise ValueError(f"more than {MOST_FIELDS} quote fields")
+        fields = tuple(sorted(r.k for r in names))
     day = F.date_trunc("day", order)
     slice_ = Window.partitionBy("symbol", "_day").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)

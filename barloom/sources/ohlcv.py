@@ -8,6 +8,7 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import csv_fields
 from barloom.schema import FIELDS, KEYS, ORDER, PRICES, finite
 
 REQUIRED = ("time", *FIELDS)
@@ -96,12 +97,6 @@ def _identity(path: Column, root: str, encoded: bool = True) -> tuple[Column, Co
     return decoded(F.when(flat, name).otherwise(parent)), decoded(F.when(~flat, name))
 
 
-def _fields(line: Column, separator: str) -> Column:
-    """The trimmed values of a line; a separator inside quotes belongs to the value."""
-    outside = f"{separator}(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
-    return F.transform(F.split(line, outside), lambda x: F.replace(F.regexp_replace(F.trim(x), '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
-
-
 def file_headers(lines: DataFrame, separator: str | None = None) -> DataFrame:
     """``file, separator, names`` of each file of ``lines``: its first line, cut by the given separator or the most
     frequent one outside quotes. Names are lower-case; the first known name of a time column becomes ``time``."""
@@ -110,7 +105,7 @@ def file_headers(lines: DataFrame, separator: str | None = None) -> DataFrame:
     bare = F.regexp_replace("head", '"[^"]*"', "")
     counts = [F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) for s in SEPARATORS]
     found = F.lit(separator) if separator else F.when((counts[0] >= counts[1]) & (counts[0] >= counts[2]), ",").when(counts[1] >= counts[2], ";").otherwise("\t")
-    cut = F.when(F.col("separator") == ";", _fields(F.col("head"), ";")).when(F.col("separator") == "\t", _fields(F.col("head"), "\t")).otherwise(_fields(F.col("head"), ","))
+    cut = F.when(F.col("separator") == ";", csv_fields(F.col("head"), ";")).when(F.col("separator") == "\t", csv_fields(F.col("head"), "\t")).otherwise(csv_fields(F.col("head"), ","))
     named = head.withColumn("separator", found).select("file", "separator", F.transform(cut, F.lower).alias("names"))
     alias = F.coalesce(*(F.when(F.array_contains("names", n), n) for n in TIME_NAMES), F.lit("time"))
     return named.select("file", "separator", F.transform("names", lambda n: F.when(n == alias, "time").otherwise(n)).alias("names"))
@@ -126,7 +121,7 @@ def _read(spark: SparkSession, path: str, naive_zone: str, separator: str | None
     first = lines.groupBy("file").agg(F.min(F.struct("block", "n")).alias("first"))
     rows = lines.join(headers, "file").join(first, "file").where((F.struct("block", "n") != F.col("first")) & (F.trim(F.regexp_replace("value", "\r$", "")) != ""))
     line = F.regexp_replace("value", "\r$", "")
-    cells = F.when(F.col("separator") == ";", _fields(line, ";")).when(F.col("separator") == "\t", _fields(line, "\t")).otherwise(_fields(line, ","))
+    cells = F.when(F.col("separator") == ";", csv_fields(line, ";")).when(F.col("separator") == "\t", csv_fields(line, "\t")).otherwise(csv_fields(line, ","))
     symbol, timeframe = _identity(F.col("file"), path)
     cut = rows.withColumn("cells", cells)
     raw = cut.select(symbol.alias("symbol"), timeframe.alias("timeframe"), *(F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int")).alias(name) for name in REQUIRED), F.struct("file", "block", "n").alias("_at"))

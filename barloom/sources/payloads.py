@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.scalars import epoch, strip_prefix, to_number
+from barloom.functions.scalars import csv_fields, epoch, strip_prefix, to_number
 
 RECORDS, MAPPING = "ARRAY<STRING>", "MAP<STRING, STRING>"
 
@@ -42,10 +42,13 @@ def columnar_to_rows(df: DataFrame, arrays: dict[str, Column], keep: tuple[str,
 
 
 def csv_payload(df: DataFrame, body: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A CSV body -> one map per line, named by the body's header."""
-    lines = F.filter(F.split(F.regexp_replace(F.col(body), "\r", ""), "\n"), lambda x: F.trim(x) != "")
-    parsed = df.select(*keep, F.split(F.element_at(lines, 1), ",").alias("_h"), F.posexplode(F.slice(lines, F.lit(2), F.size(lines))).alias("line", "_l"))
-    return parsed.select(*keep, "line", F.map_from_entries(F.arrays_zip("_h", F.split("_l", ","))).alias("record"))
+    """A CSV body -> one map per line, named by the body's header. Quotes protect commas; cells that a line lacks are
+    NULL, those beyond the header are left out, and of names that repeat the first counts."""
+    lines = F.filter(F.split(F.regexp_replace(F.col(body), "\ufeff|\r", ""), "\n"), lambda x: F.trim(x) != "")
+    parsed = df.select(*keep, csv_fields(F.try_element_at(lines, F.lit(1))).alias("_h"), F.posexplode(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(0)))).alias("line", "_l"))
+    parsed = parsed.select(*keep, "line", "_h", csv_fields(F.col("_l")).alias("_c"))
+    record = F.map_from_entries(F.transform(F.array_distinct("_h"), lambda n: F.struct(n, F.get("_c", (F.array_position("_h", n) - 1).cast("int")))))
+    return parsed.select(*keep, "line", record.alias("record"))
 
 
 def sentiment_from_json(payloads: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:

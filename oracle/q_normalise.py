@@ -318,13 +318,36 @@ def _portfolio(spark, d):
     return nm.portfolio_history(s.select("s_suppkey", js('{"timestamp":[100,200],"equity":[%s]}', s.s_acctbal).alias("payload")), ("s_suppkey",)).select("s_suppkey", "time", "equity")
 
 
-@check("norm_payload_status", "SELECT p_partkey, ['ok', 'empty', 'error', 'placeholder', 'error'][p_partkey % 5 + 1] AS status FROM part")
+STATUS_CASES = [
+    ('{"a": 1}', "ok"), ("[]", "empty"), ('{"error": {"code": "invalid_access_key", "message": "x"}}', "invalid_key"), ("oops {", "upstream_error"),
+    ('{"endpoint": "e", "message": "This is a premium endpoint", "data": []}', "premium_required"), ('{"message": "resample of the daily table", "data": [1]}', "ok"),
+    ('{"endpoint": "e", "message": "ok", "data": [1]}', "ok"), ('{"endpoint": "e", "message": "ok", "data": []}', "empty"), ('{"bestMatches": []}', "empty"),
+    ('{"Information": "This is a premium endpoint. Subscribe to a plan"}', "premium_required"), ('{"Information": "The rate limit is 25 requests per day. Subscribe to a premium plan"}', "rate_limited"),
+    ('{"Note": "The call frequency is 5 calls per minute."}', "rate_limited"), ('{"Information": "The **demo** API key is for demo purposes only."}', "invalid_key"),
+    ('{"Error Message": "the parameter apikey is invalid or missing."}', "invalid_key"), ('{"Error Message": "Invalid API call. Please retry"}', "invalid_request"),
+    ('{"Error Message": "Limit Reach. Please upgrade your plan"}', "rate_limited"), ('{"Error Message": "Exclusive Endpoint : this endpoint needs a subscription"}', "premium_required"),
+    ('{"Information": "Something new"}', "upstream_error"), ('{"Note": "read this", "data": [1]}', "ok"), ('{"code": 42210000, "message": "invalid symbol"}', "invalid_request"),
+    ('{"code": 40310000, "message": "subscription does not permit this feed"}', "premium_required"), ('{"code": 42910000, "message": "slow down"}', "rate_limited"), ('{"error": {"code": "usage_limit_reached"}}', "rate_limited"),
+]
+
+
+@check("norm_payload_status", f"SELECT p_partkey, {[status for _, status in STATUS_CASES]}[p_partkey % {len(STATUS_CASES)} + 1] AS status FROM part")
 def _status(spark, d):
-    k = F.col("p_partkey") % 5
-    text = F.when(k == 0, '{"a": 1}').when(k == 1, "[]").when(k == 2, '{"error": {"message": "x"}}').when(k == 3, '{"endpoint": "e", "message": "This is a premium endpoint", "data": []}').otherwise("oops {")
+    texts = F.array(*(F.lit(text) for text, _ in STATUS_CASES))
+    text = F.get(texts, (F.col("p_partkey") % len(STATUS_CASES)).cast("int"))
     return table(spark, d, "part").select("p_partkey", nm.payload_status(text).alias("status"))
 
 
+@check("orders_nested", """SELECT o_orderkey || '-' || l AS id, CASE WHEN l > 0 THEN o_orderkey || '-' || (l - 1) END AS parent, CASE WHEN l = 4 THEN 'stop' ELSE 'limit' END AS type, CASE WHEN l < 4 THEN o_totalprice::DOUBLE END AS limit_price
+    FROM orders, (VALUES (0), (1), (2), (3), (4)) v(l)""")
+def _orders_nested(spark, d):
+    o = table(spark, d, "orders")
+    body = js('{"id":"%s-4","order_type":"stop"}', o.o_orderkey)
+    for k in (3, 2, 1, 0):
+        body = js(f'{{"id":"%s-{k}","type":"limit","limit_price":"%s","legs":[%s]}}', o.o_orderkey, o.o_totalprice.cast("string"), body)
+    return nm.order_rows(o.select(js("[%s]", body).alias("payload"))).select("id", "parent", "type", "limit_price")
+
+
 @check("norm_group_snapshot", f"SELECT c_mktsegment, count(*) AS members, {r('avg(c_acctbal)')} AS value FROM customer GROUP BY 1")
 def _group(spark, d):
     c = table(spark, d, "customer")

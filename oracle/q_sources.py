@@ -76,10 +76,10 @@ def _html(spark, d):
     return table(spark, d, "pages").select("page_id", sc.clean_html(F.col("html")).alias("text"))
 
 
-@check("fn_ratio_percent", """SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, printf('%.2f', l_discount * 100) || '% of revenue' AS text FROM lineitem""")
+@check("fn_ratio_percent", """SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, printf('%.2f', l_discount * 100) || '% of revenue (' || regexp_replace(regexp_replace(printf('%.10f', l_discount), '0+$', ''), '[.]$', '') || ')' AS text FROM lineitem""")
 def _ratio(spark, d):
     text = sc.ratio_percent(F.col("l_discount"), F.lit(100.0), F.lit(False), F.lit("of revenue"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", F.regexp_extract(text, r"^(.*) \(", 1).alias("text"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", text.alias("text"))
 
 
 @check("fn_math", f"SELECT event_id, {r('least(greatest(value, 20), 80)')} AS clamped, {r('100 * (value / nullif(event_id % 3, 0) - 1)')} AS diff, least(9, greatest(0, floor(value / 100 * 10)))::INT AS bin FROM events")
@@ -208,6 +208,27 @@ def _csv(spark, d):
     return rows.select("s_suppkey", "line", F.col("record")["x"].cast("double").alias("x"))
 
 
+@check("payload_csv_quoted", """SELECT c_custkey, l AS line, CASE WHEN l < 2 THEN c_name || ', "' || c_mktsegment || '"' ELSE 'short' END AS name, CASE WHEN l < 2 THEN c_acctbal END AS x
+    FROM customer, (VALUES (0), (1), (2)) v(l)""")
+def _csv_quoted(spark, d):
+    c = table(spark, d, "customer")
+    cell = F.concat(F.lit('"'), c.c_name, F.lit(', ""'), c.c_mktsegment, F.lit('"""'))
+    body = F.concat(F.lit("name,x\n"), cell, F.lit(","), c.c_acctbal.cast("string"), F.lit("\r\n"), cell, F.lit(","), c.c_acctbal.cast("string"), F.lit(",beyond\nshort\n"))
+    rows = pl.csv_payload(c.select("c_custkey", body.alias("body")), "body", ("c_custkey",))
+    return rows.select("c_custkey", "line", F.col("record")["name"].alias("name"), F.col("record")["x"].cast("double").alias("x"))
+
+
+@check("quotes_nested", """SELECT o_orderkey, 'X:' || o_custkey AS symbol, o_totalprice::DOUBLE AS lp, 'extra' || o_orderkey AS other FROM orders
+    UNION ALL SELECT o_orderkey, 'own' || o_custkey, 1.5, NULL FROM orders""")
+def _quotes_nested(spark, d):
+    o = table(spark, d, "orders")
+    deep = F.format_string('{"a":{"b":{"X:%s":{"c":{"d":{"e":{"v":{"lp":%s,"other":"extra%s"}}}}}}}}', o.o_custkey, o.o_totalprice.cast("string"), o.o_orderkey)
+    own = F.format_string('{"n":"own%s","s":"ok","v":{"lp":1.5}}', o.o_custkey)
+    payload = F.concat(F.lit('["session",'), deep, F.lit(","), own, F.lit("]"))
+    q = fr.quotes_from_frames(o.select("o_orderkey", F.lit("qsd").alias("method"), payload.alias("payload")), ("o_orderkey",))
+    return q.select("o_orderkey", "symbol", F.col("values")["lp"].cast("double").alias("lp"), F.col("values")["other"].alias("other"))
+
+
 # --- joins -------------------------------------------------------------------------------------
 
 
