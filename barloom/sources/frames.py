@@ -117,7 +117,10 @@ def quote_records(payload: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<name:string,values:map<string,string>>>")
+QUOTE = T.StructType().add("name", T.StringType()).add("values", T.MapType(T.StringType(), T.StringType()))
+
+
+@F.pandas_udf(T.ArrayType(QUOTE))
 def _quotes(payload: pd.Series) -> pd.Series:
     return payload.map(quote_records)
 
