@@ -188,7 +188,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, words: int) -
     held = stored(docs.join(asked, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary"), "shingles")
     first = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a")
     both = first.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "own", "other")
-    return both.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
+    found = both.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
+    return found.dropDuplicates(["a", "b"])  # rows that repeat an id come twice
 
 
 def link_kinds(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
