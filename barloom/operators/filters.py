@@ -35,28 +35,28 @@ class Operator:
 
 
 OPERATORS: dict[str, Operator] = {
-    "gt": Operator("is above", "value"),
-    "gte": Operator("is at or above", "value"),
-    "lt": Operator("is below", "value"),
-    "lte": Operator("is at or below", "value"),
-    "eq": Operator("equals", "value"),
-    "neq": Operator("does not equal", "value"),
-    "between": Operator("is between", "range"),
-    "outside": Operator("is outside", "range"),
-    "crosses_above": Operator("crosses above", "value", ordered=True),
-    "crosses_below": Operator("crosses below", "value", ordered=True),
-    "rising": Operator("rose for N bars", "count", ordered=True),
-    "falling": Operator("fell for N bars", "count", ordered=True),
-    "new_high": Operator("makes a new N-bar high", "count", ordered=True),
-    "new_low": Operator("makes a new N-bar low", "count", ordered=True),
-    "top_pct": Operator("is in the top X%", "percent", lookahead=True),
-    "bottom_pct": Operator("is in the bottom X%", "percent", lookahead=True),
-    "is_valid": Operator("has a value", "none"),
-    "is_missing": Operator("has no value", "none"),
-    "in": Operator("is one of", "text", text=True),
-    "not_in": Operator("is none of", "text", text=True),
-    "contains": Operator("contains", "text", text=True),
-    "starts_with": Operator("starts with", "text", text=True),
+    "gt": Operator("over", "value"),
+    "gte": Operator("at least", "value"),
+    "lt": Operator("under", "value"),
+    "lte": Operator("at most", "value"),
+    "eq": Operator("same as", "value"),
+    "neq": Operator("other than", "value"),
+    "between": Operator("within limits", "range"),
+    "outside": Operator("beyond limits", "range"),
+    "crosses_above": Operator("turns over", "value", ordered=True),
+    "crosses_below": Operator("turns under", "value", ordered=True),
+    "rising": Operator("N rises in a row", "count", ordered=True),
+    "falling": Operator("N falls in a row", "count", ordered=True),
+    "new_high": Operator("tops the N bars before", "count", ordered=True),
+    "new_low": Operator("undercuts the N bars before", "count", ordered=True),
+    "top_pct": Operator("among the largest X percent", "percent", lookahead=True),
+    "bottom_pct": Operator("among the smallest X percent", "percent", lookahead=True),
+    "is_valid": Operator("present", "none"),
+    "is_missing": Operator("absent", "none"),
+    "in": Operator("any of the words", "text", text=True),
+    "not_in": Operator("not one of the words", "text", text=True),
+    "contains": Operator("holds the text", "text", text=True),
+    "starts_with": Operator("opens with the text", "text", text=True),
 }
 
 
@@ -248,15 +248,15 @@ def _leaf(fields, c: Mapping) -> Ref | None:
     s, op = fields.s, c["op"]
     spec = OPERATORS[op]
     if spec.ordered and not fields.ordered:
-        raise _Issue(f'"{spec.label}" needs time-ordered data')
+        raise _Issue(f'{op} compares bars in time order; these rows have none')
     if spec.text:
         column = fields.text(c["field"])
         if column is None:
-            raise _Issue(f'"{c["field"]}" is not a text field')
+            raise _Issue(f'no text column named {c["field"]}')
         return _text_leaf(s, op, column, c["text"]) if c["text"].strip() else None
     x = fields.numeric(c["field"])
     if x is None:
-        raise _Issue(f'Unknown numeric field "{c["field"]}"')
+        raise _Issue(f'no number column named {c["field"]}')
     if spec.operand == "none":
         return s.row(op, lambda v: v.isNotNull() if op == "is_valid" else v.isNull(), x)
     if spec.operand == "range":
@@ -268,10 +268,10 @@ def _leaf(fields, c: Mapping) -> Ref | None:
         return _compare_leaf(fields, c, x)
     if spec.operand == "count":
         if not math.isfinite(c["value"]) or not 1 <= math.floor(c["value"]) <= MAX_COUNT:
-            raise _Issue("Bar count must be a whole number of at least 1")
+            raise _Issue("the number of bars starts at 1")
         return _count_leaf(s, op, x, math.floor(c["value"]))
     if not math.isfinite(c["value"]) or not 0 < c["value"] <= 100:
-        raise _Issue("Percent must be above 0 and at most 100")
+        raise _Issue("a share lies over 0 and up to 100 percent")
     top = op == "top_pct"
     limit = s.threshold(x, 1 - c["value"] / 100 if top else c["value"] / 100, fields.sample)
     return x >= limit if top else x <= limit
@@ -294,7 +294,7 @@ def _compare_leaf(fields, c: Mapping, x: Ref) -> Ref | None:
     if c["rhs"]:
         y = fields.numeric(c["rhs"])
         if y is None:
-            raise _Issue(f'Unknown numeric field "{c["rhs"]}"')
+            raise _Issue(f'no number column named {c["rhs"]}')
     elif math.isfinite(c["value"]):
         y = s.row("const", lambda a: a, float(c["value"]))
     else:

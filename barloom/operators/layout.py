@@ -4,7 +4,9 @@ Most tables hold many series of moderate length: a window partitioned by the ser
 right plan and nothing here adds work. A key holding a large share of the table would put that share
 into one task, so such tables are cut by time instead:
 
-* a *cell* is a fixed slice of time inside one key, sized to about 1/16 of a block;
+* a *cell* is a slice of time inside one key, sized to about 1/16 of a block: each key's own time range is
+  cut evenly first, and a cell that a burst overfills is cut again, until none is too full or it is as
+  short as a timestamp can tell;
 * a *block* is a run of neighbouring cells of one key holding about ``block_rows`` rows, and is what
   a window is partitioned by;
 * each block also receives the whole cells that hold the ``halo`` rows before it, so a window that
@@ -16,12 +18,13 @@ cell (see ``series.py``); no step collects a whole key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.schema import KEYS, ORDER
+from barloom.session import cut_lineage
 
 BLOCK_ROWS = 2_000_000
 CELLS_PER_BLOCK = 16
@@ -36,9 +39,10 @@ class Layout:
     keys: tuple[str, ...] = KEYS
     order: str = ORDER
     cut: bool = False
-    cell_seconds: int = 0
     block_rows: int = BLOCK_ROWS
-    first_second: int = field(default=0, compare=False)
+    #: Start and cell width of each key, and for each round of cutting the cells that are cut (microseconds).
+    ranges: DataFrame | None = field(default=None, compare=False)
+    splits: tuple[DataFrame, ...] = field(default=(), compare=False)
 
     @property
     def partition(self) -> tuple[str, ...]:
@@ -67,28 +71,42 @@ def plan_layout(
     order: str = ORDER,
     block_rows: int = BLOCK_ROWS,
 ) -> Layout:
-    """Choose the layout from one small aggregation: the longest key and the time range.
+    """Choose the layout from one small aggregation: rows and time range of each key.
 
-    The scan behind it reads only the key and order columns, and the result is three numbers.
+    The scan behind it reads only the key and order columns, and the result is one number. Where a key must be cut,
+    rows are counted by cell, once for each round of cutting.
     """
-    counts = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")
-    )
-    longest = counts.agg(
-        F.max("n").alias("n"),
-        F.min(F.col("lo").cast("timestamp").cast("double")).alias("lo"),
-        F.max(F.col("hi").cast("timestamp").cast("double")).alias("hi"),
-    ).first()
+    micros = _micros(order)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
+    longest = counts.agg(F.max("n").alias("n")).first()
     if longest is None or longest.n is None or longest.n <= block_rows:
         return Layout(keys=keys, order=order, block_rows=block_rows)
-    cells = max(1, -(-longest.n * CELLS_PER_BLOCK // block_rows))
-    width = max(1, int((longest.hi - longest.lo) // cells) + 1)
-    return Layout(keys, order, True, width, block_rows, int(longest.lo))
-
-
-def _cell(layout: Layout):
-    second = F.floor(F.col(layout.order).cast("timestamp").cast("double"))
-    return F.floor((second - F.lit(layout.first_second)) / F.lit(layout.cell_seconds)).cast("long")
+    target = max(1, block_rows // CELLS_PER_BLOCK)
+    width = F.floor((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("n") / target)) + 1
+    ranges = cut_lineage(counts.where("_lo IS NOT NULL").select(*keys, "_lo", width.cast("long").alias("_width")))
+    layout = Layout(keys, order, True, block_rows, ranges)
+    while True:
+        cells = _tagged(df.select(*keys, order), layout, keep_width=True).groupBy(*keys, CELL, "_width").agg(F.count(F.lit(1)).alias("n"))
+        full = cut_lineage(cells.where((F.col("n") > target) & (F.col("_width") > 1)).select(*keys, F.col(CELL).alias("_from"), F.least(F.ceil(F.col("n") / target) * 4, F.col("_width")).cast("long").alias("_parts")))
+        if full.isEmpty():
+            return layout
+        layout = replace(layout, splits=(*layout.splits, full))
+
+
+def _micros(order: str):
+    return F.unix_micros(F.col(order).cast("timestamp"))
+
+
+def _tagged(df: DataFrame, layout: Layout, keep_width: bool = False) -> DataFrame:
+    """``df`` with the cell of each row: the first microsecond of its slice of time."""
+    keys, at = list(layout.keys), _micros(layout.order)
+    rows = df.join(layout.ranges, keys, "left")
+    rows = rows.withColumn(CELL, F.col("_lo") + F.floor((at - F.col("_lo")) / F.col("_width")) * F.col("_width"))
+    for split in layout.splits:
+        rows = rows.join(split.withColumnRenamed("_from", CELL), [*keys, CELL], "left")
+        narrow = F.coalesce(F.ceil(F.col("_width") / F.col("_parts")), F.col("_width")).cast("long")
+        rows = rows.withColumn("_width", narrow).drop("_parts").withColumn(CELL, F.col(CELL) + F.floor((at - F.col(CELL)) / F.col("_width")) * F.col("_width"))
+    return rows.drop("_lo", *(() if keep_width else ("_width",)))
 
 
 def spread(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
@@ -99,7 +117,7 @@ def spread(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
     """
     if not layout.cut:
         return df
-    tagged = df.withColumn(CELL, _cell(layout))
+    tagged = _tagged(df, layout)
     keys = layout.keys
     by_time = Window.partitionBy(*keys).orderBy(CELL)
     cells = (

@@ -12,42 +12,32 @@ from barloom.operators.filters import BarFields, compile_filter, condition
 from barloom.operators.layout import Layout
 from barloom.operators.series import Series
 
-BAR_LOOKBACKS = (20, 55, 100)
+# Ids of the presets are the series' name and one of these endings.
+ON_BARS = [(f"{op}:{n}", op, n) for n in (20, 55, 100) for op in ("new_high", "new_low")] + [("rising:3", "rising", 3), ("falling:3", "falling", 3)]
+AGAINST_CLOSE = [("close>", "gt"), ("close<", "lt"), ("close^", "crosses_above"), ("closev", "crosses_below")]
+AGAINST_GUIDES = [("gt-high", "gt", -1), ("lt-low", "lt", 0), ("x-high", "crosses_above", -1), ("x-low", "crosses_below", 0)]
+ON_SERIES = [("rising", "rising", 3), ("falling", "falling", 3), ("hi20", "new_high", 20), ("lo20", "new_low", 20), ("top10", "top_pct", 10), ("bottom10", "bottom_pct", 10)]
 
 
-def _text(value: float) -> str:
-    return str(int(value)) if float(value).is_integer() else str(value)
+def _of_series(key: str, pane: str, guides: list[float]) -> dict[str, dict]:
+    if pane == "price":
+        return {ending: condition("close", op, rhs=key) for ending, op in AGAINST_CLOSE}
+    found = {ending: condition(key, op, n) for ending, op, n in ON_SERIES}
+    if guides:
+        found |= {ending: condition(key, op, guides[which]) for ending, op, which in AGAINST_GUIDES}
+    if len(set(guides)) > 1:
+        found["between"] = condition(key, "between", guides[0], guides[-1])
+    return found
 
 
 def preset_filters() -> dict[str, dict]:
-    """Preset id -> condition. Price-pane series are compared with the close, others with their guides."""
-    presets: dict[str, dict] = {}
-    for bar in ("close", "high", "low", "volume"):
-        for n in BAR_LOOKBACKS:
-            for op in ("new_high", "new_low"):
-                presets[f"{bar}:{op}:{n}"] = condition(bar, op, n)
-        for op in ("rising", "falling"):
-            presets[f"{bar}:{op}:3"] = condition(bar, op, 3)
+    """Preset id -> condition: bar columns against their past, price-pane series against the close, others against their
+    guides and their past."""
+    presets = {f"{bar}:{ending}": condition(bar, op, n) for bar in ("close", "high", "low", "volume") for ending, op, n in ON_BARS}
     presets["volume:top10"] = condition("volume", "top_pct", 10)
     for entry in registry.catalogue():
-        key, guides = entry["key"], sorted(registry.get(entry["id"]).guides)
-        if entry["pane"] == "price":
-            for mark, op in ((">", "gt"), ("<", "lt"), ("^", "crosses_above"), ("v", "crosses_below")):
-                presets[f"{key}:close{mark}"] = condition("close", op, rhs=key)
-            continue
-        if guides:
-            low, high = guides[0], guides[-1]
-            presets[f"{key}:gt-high"] = condition(key, "gt", high)
-            presets[f"{key}:lt-low"] = condition(key, "lt", low)
-            presets[f"{key}:x-high"] = condition(key, "crosses_above", high)
-            presets[f"{key}:x-low"] = condition(key, "crosses_below", low)
-            if low != high:
-                presets[f"{key}:between"] = condition(key, "between", low, high)
-        for name, op, n in (
-            ("rising", "rising", 3), ("falling", "falling", 3), ("hi20", "new_high", 20), ("lo20", "new_low", 20),
-            ("top10", "top_pct", 10), ("bottom10", "bottom_pct", 10),
-        ):
-            presets[f"{key}:{name}"] = condition(key, op, n)
+        own = _of_series(entry["key"], entry["pane"], sorted(registry.get(entry["id"]).guides))
+        presets |= {f"{entry['key']}:{ending}": leaf for ending, leaf in own.items()}
     return presets
 
 

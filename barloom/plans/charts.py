@@ -9,30 +9,32 @@ from barloom.operators.aggregates import DAY, MIN_INTRADAY_BARS, MIN_RETURNS, ba
 from barloom.operators.layout import Layout
 
 
-def _intraday_reason(interval: Column, have: Column, need: int, noun: str) -> Column:
-    coarse = F.concat(F.lit("needs intraday bars; the median bar spacing is "), F.round(interval, 0).cast("long").cast("string"), F.lit(" s"))
-    short = F.concat(F.lit(f"needs at least {need} {noun}; this dataset has "), have.cast("string"))
-    return F.when(interval >= DAY, coarse).otherwise(short)
+def _short(have: Column, need: int, what: str) -> Column:
+    return F.concat(have.cast("string"), F.lit(f" of {need} {what}"))
+
+
+def _intraday_reason(interval: Column, have: Column, need: int, what: str) -> Column:
+    coarse = F.concat(F.lit("one bar in "), F.round(interval, 0).cast("long").cast("string"), F.lit(" s is too coarse"))
+    return F.when(interval >= DAY, coarse).otherwise(_short(have, need, what))
 
 
 def chart_sections(df: DataFrame, window: int = 30, layout: Layout | None = None) -> DataFrame:
     """(series, section, available, reason) for every chart; the data comes from ``aggregates``.
 
-    ``returns`` counts one less than the bars, as the reasons state it.
+    ``returns`` counts one less than the bars, as the reasons count it.
     """
     keys = list((layout or Layout()).keys)
     facts = bar_interval(df, layout)
     bars, interval, intraday = F.col("bars"), F.col("interval_seconds"), F.col("intraday")
     returns, valid = F.greatest(bars - 1, F.lit(0)), F.col("returns")
-    few = lambda text, have: F.concat(F.lit(text), have.cast("string"))
     sections = {
         "volume_profile": (F.lit(True), F.lit(None).cast("string")),
-        "return_distribution": (valid >= MIN_RETURNS, few(f"needs at least {MIN_RETURNS} bar returns; this dataset has ", returns)),
-        "drawdown": (bars >= 2, few("needs at least 2 bars; this dataset has ", bars)),
-        "rolling_volatility": (bars - 1 > window, few(f"needs more than {window} bar returns; this dataset has ", returns)),
+        "return_distribution": (valid >= MIN_RETURNS, _short(returns, MIN_RETURNS, "returns")),
+        "drawdown": (bars >= 2, _short(bars, 2, "bars")),
+        "rolling_volatility": (bars - 1 > window, _short(returns, window + 1, "returns")),
         "activity": (intraday & (bars >= MIN_INTRADAY_BARS), _intraday_reason(interval, bars, MIN_INTRADAY_BARS, "bars")),
-        "seasonality.by_weekday": (valid >= MIN_RETURNS, few(f"needs at least {MIN_RETURNS} bar returns; this dataset has ", returns)),
-        "seasonality.by_hour": (intraday & (valid >= MIN_INTRADAY_BARS), _intraday_reason(interval, returns, MIN_INTRADAY_BARS, "bar returns")),
+        "seasonality.by_weekday": (valid >= MIN_RETURNS, _short(returns, MIN_RETURNS, "returns")),
+        "seasonality.by_hour": (intraday & (valid >= MIN_INTRADAY_BARS), _intraday_reason(interval, returns, MIN_INTRADAY_BARS, "returns")),
     }
     cells = F.array(*(F.struct(F.lit(n).alias("section"), ok.alias("available"), F.when(~ok, why).alias("reason")) for n, (ok, why) in sections.items()))
     return facts.select(*keys, "bars", "interval_seconds", "intraday", F.explode(cells).alias("c")).select(*keys, "bars", "interval_seconds", "intraday", "c.*")

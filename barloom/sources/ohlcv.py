@@ -49,15 +49,6 @@ def is_valid_bar() -> Column:
     )
 
 
-def _by_keys(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Left join on keys of which one may be NULL: a flat file has no timeframe."""
-    named = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(named[f"_r_{k}"])
-    return left.join(named, on, "left").drop(*(f"_r_{k}" for k in keys))
-
-
 def validate(raw: DataFrame, position: Column, naive_zone: str = "Asia/Kolkata", keys: tuple[str, ...] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Typed bars and per-series counts from text rows (key columns, ``time`` and the five fields).
 
@@ -73,8 +64,7 @@ def validate(raw: DataFrame, position: Column, naive_zone: str = "Asia/Kolkata",
     ).withColumn("_ok", is_valid_bar())
     bars = typed.filter("_ok").groupBy(*keys, ORDER).agg(F.max_by(F.struct(*FIELDS), "_at").alias("b"), F.count(F.lit(1)).alias("_n"))
     kept = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("valid_rows"))
-    counts = typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(~F.col("_ok")).alias("dropped_rows"))
-    counts = _by_keys(counts, kept, keys)
+    counts = typed.groupBy(*keys).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if(~F.col("_ok")).alias("dropped_rows")).join(kept, list(keys), "left")
     counts = counts.fillna(0, ["valid_rows"]).withColumn("duplicate_rows", F.col("input_rows") - F.col("dropped_rows") - F.col("valid_rows"))
     return bars.select(*keys, ORDER, "b.*"), counts
 
@@ -124,7 +114,7 @@ def _read(spark: SparkSession, path: str, naive_zone: str, separator: str | None
     cells = F.when(F.col("separator") == ";", csv_fields(line, ";")).when(F.col("separator") == "\t", csv_fields(line, "\t")).otherwise(csv_fields(line, ","))
     symbol, timeframe = _identity(F.col("file"), path)
     cut = rows.withColumn("cells", cells)
-    raw = cut.select(symbol.alias("symbol"), timeframe.alias("timeframe"), *(F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int")).alias(name) for name in REQUIRED), F.struct("file", "block", "n").alias("_at"))
+    raw = cut.select(symbol.alias("symbol"), F.coalesce(timeframe, F.lit("")).alias("timeframe"), *(F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int")).alias(name) for name in REQUIRED), F.struct("file", "block", "n").alias("_at"))
     return validate(raw, F.col("_at"), naive_zone)
 
 
@@ -132,7 +122,8 @@ def read_ohlcv(spark: SparkSession, path: str, naive_zone: str = "Asia/Kolkata",
     """Bars and counts of ``<symbol>/<timeframe>.csv`` files under a folder (or one file).
 
     Columns are found by the header of each file, in any order. The rows of a file without a required column are
-    dropped and counted; a folder in which every file lacks one is an error.
+    dropped and counted; a folder in which every file lacks one is an error. The bars of a file directly in the folder
+    have an empty timeframe, so that the keys of a series can be compared.
     """
     return _read(spark, path, naive_zone, sep)
 
@@ -164,7 +155,9 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
 def dataset_summary(catalog: DataFrame, bars: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Rows and time range of each catalogued dataset; those without a valid row carry an error."""
     found = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.min(ORDER).alias("start"), F.max(ORDER).alias("end"))
-    joined = _by_keys(catalog, found, keys).withColumn("valid", F.col("rows").isNotNull()).fillna(0, ["rows"])
+    # A flat file has no timeframe in the catalogue and an empty one in its bars.
+    known = catalog.withColumns({k: F.coalesce(k, F.lit("")) for k in keys})
+    joined = known.join(found, list(keys), "left").withColumns({k: F.nullif(F.col(k), F.lit("")) for k in keys}).withColumn("valid", F.col("rows").isNotNull()).fillna(0, ["rows"])
     return joined.withColumn("error", F.when(~F.col("valid"), F.lit("contains no valid OHLCV rows"))).orderBy(*keys)
 
 

@@ -51,12 +51,13 @@ def csv_payload(df: DataFrame, body: str, keep: tuple[str, ...] = ()) -> DataFra
     return parsed.select(*keep, "line", record.alias("record"))
 
 
-def sentiment_from_json(payloads: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
-    """(readings, counts) from index payloads: failed payloads are skipped, later rows replace earlier ones."""
+def sentiment_from_json(payloads: DataFrame, payload: str = "payload", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(readings, counts) from index payloads: failed payloads are skipped, later rows replace earlier ones. ``order`` tells
+    which payload is the later one, where they are pages of one series."""
     ok = F.coalesce(F.get_json_object(payload, "$.status.error_code"), F.lit("0")) == "0"
-    rows = payloads.filter(ok).select(F.posexplode(F.from_json(F.get_json_object(payload, "$.data.dataList"), RECORDS)).alias("pos", "r"))
+    rows = payloads.filter(ok).select((F.col(order) if order else F.lit(0)).alias("page"), F.posexplode(F.from_json(F.get_json_object(payload, "$.data.dataList"), RECORDS)).alias("pos", "r"))
     field = lambda name: to_number(F.get_json_object("r", f"$.{name}"))
-    typed = rows.select("pos", field("timestamp").alias("t"), field("score").alias("s"), field("btcPrice").alias("btc_price"), field("btcVolume").alias("btc_volume"))
+    typed = rows.select(F.struct("page", "pos").alias("pos"), field("timestamp").alias("t"), field("score").alias("s"), field("btcPrice").alias("btc_price"), field("btcVolume").alias("btc_volume"))
     good = F.coalesce((F.col("t") > 0) & (F.col("s") == F.floor("s")) & F.col("s").between(0, 100), F.lit(False))
     counts = typed.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~good).alias("dropped_rows"))
     kept = typed.filter(good).groupBy(F.floor("t").alias("time")).agg(F.max_by(F.struct(F.col("s").cast("int").alias("score"), "btc_price", "btc_volume"), "pos").alias("b"))

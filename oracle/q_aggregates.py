@@ -340,13 +340,12 @@ def _sorted(spark, d):
 
 
 def _sections_sql():
-    few = "'needs at least 30 bar returns; this dataset has ' || (n - 1)"
-    grain = "CASE WHEN iv >= 86400 THEN 'needs intraday bars; the median bar spacing is ' || round(iv)::BIGINT || ' s' ELSE {} END"
+    short = lambda have, need, what: f"{have} || ' of {need} {what}'"
+    grain = "CASE WHEN iv >= 86400 THEN 'one bar in ' || round(iv)::BIGINT || ' s is too coarse' ELSE {} END"
+    few = short("(n - 1)", 30, "returns")
     rows = [
-        ("volume_profile", "TRUE", "NULL"), ("return_distribution", "rets >= 30", few), ("drawdown", "n >= 2", "'needs at least 2 bars; this dataset has ' || n"),
-        ("rolling_volatility", "n - 1 > 30", "'needs more than 30 bar returns; this dataset has ' || (n - 1)"),
-        ("activity", "iv < 86400 AND n >= 48", grain.format("'needs at least 48 bars; this dataset has ' || n")), ("seasonality.by_weekday", "rets >= 30", few),
-        ("seasonality.by_hour", "iv < 86400 AND rets >= 48", grain.format("'needs at least 48 bar returns; this dataset has ' || (n - 1)")),
+        ("volume_profile", "TRUE", "NULL"), ("return_distribution", "rets >= 30", few), ("drawdown", "n >= 2", short("n", 2, "bars")), ("rolling_volatility", "n - 1 > 30", short("(n - 1)", 31, "returns")),
+        ("activity", "iv < 86400 AND n >= 48", grain.format(short("n", 48, "bars"))), ("seasonality.by_weekday", "rets >= 30", few), ("seasonality.by_hour", "iv < 86400 AND rets >= 48", grain.format(short("(n - 1)", 48, "returns"))),
     ]
     parts = " UNION ALL ".join(f"SELECT symbol, '{s}' AS section, {ok} AS available, CASE WHEN NOT ({ok}) THEN {why} END AS reason FROM f" for s, ok, why in rows)
     return f"{OR}, f AS (SELECT symbol, count(*) AS n, count(ret) AS rets, median(gap) AS iv FROM e GROUP BY 1) {parts}"

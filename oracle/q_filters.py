@@ -95,11 +95,8 @@ _leaf("groups", NESTED, _nested)
 
 
 def _invalid_sql():
-    return (
-        "SELECT 'Bar count must be a whole number of at least 1' AS issue, 0::BIGINT AS matched UNION ALL "
-        "SELECT 'Percent must be above 0 and at most 100', 0 UNION ALL SELECT 'Unknown numeric field \"nope\"', 0 UNION ALL "
-        "SELECT '\"close\" is not a text field', 0"
-    )
+    issues = ["the number of bars starts at 1", "a share lies over 0 and up to 100 percent", "no number column named nope", "no text column named close"]
+    return " UNION ALL ".join(f"SELECT '{issue}' AS issue, 0::BIGINT AS matched" for issue in issues)
 
 
 @check("filter_invalid_conditions", _invalid_sql())

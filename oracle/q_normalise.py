@@ -9,10 +9,14 @@ from oracle.checks import check, rounded, table
 from oracle.series import rounded as r
 
 
+#: Rows of a payload, as a provider pages them: its size doesn't grow with the table.
+PAGE = 500
+
+
 def listed(df, key, item, order, template="%s"):
-    """One payload per key: its rows as a JSON list inside ``template``."""
+    """Payloads of each key, in pages of ``order``: rows as a JSON list inside ``template``."""
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, item.alias("j")))), lambda x: x["j"]), ",")
-    return df.groupBy(key).agg(rows.alias("rows")).select(key, F.replace(F.lit(template), F.lit("%s"), F.concat(F.lit("["), F.col("rows"), F.lit("]"))).alias("payload"))
+    return df.groupBy(key, F.floor(F.col(order) / PAGE)).agg(rows.alias("rows")).select(key, F.replace(F.lit(template), F.lit("%s"), F.concat(F.lit("["), F.col("rows"), F.lit("]"))).alias("payload"))
 
 
 def js(template, *columns):
@@ -23,6 +27,7 @@ def events(spark, d):
     return table(spark, d, "events").withColumn("iso", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'.123456789Z'"))
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 SEC = "epoch(date_trunc('second', ts))::BIGINT"
 
 
@@ -85,7 +90,7 @@ def levels(spark, d):
     e = events(spark, d)
     item = js('{"p":%s,"s":%s}', e.value + e.event_id / 1e6, e.event_id % 5)
     side = lambda even: F.concat(F.lit("["), F.array_join(F.collect_list(F.when((e.event_id % 2 == 0) == even, item)), ","), F.lit("]"))
-    books = e.groupBy(e.event_type.alias("symbol")).agg(F.concat(F.lit('{"b":'), side(True), F.lit(',"a":'), side(False), F.lit("}")).alias("record"))
+    books = e.groupBy(e.event_type.alias("symbol"), F.floor(e.event_id / PAGE)).agg(F.concat(F.lit('{"b":'), side(True), F.lit(',"a":'), side(False), F.lit("}")).alias("record"))
     return nm.book_levels(books)
 
 
@@ -155,9 +160,12 @@ def statements(spark, d):
 YEARS = "y AS (SELECT o_orderpriority, year(o_orderdate)::VARCHAR AS period, count(*)::DOUBLE AS orders, max(o_totalprice) AS top FROM orders GROUP BY 1, 2), c AS (SELECT o_orderpriority, period, 'orders' AS item, orders AS value FROM y UNION ALL SELECT o_orderpriority, period, 'top', top FROM y)"
 
 
-@check("norm_statement_pivot", f"""WITH {YEARS} SELECT o_orderpriority, item, max(value) FILTER (WHERE period = '1997') AS "1997", max(value) FILTER (WHERE period = '1996') AS "1996" FROM c GROUP BY 1, 2""")
+PERIODS = [str(year) for year in range(2001, 1994, -1)]
+
+
+@check("norm_statement_pivot", f"""WITH {YEARS} SELECT o_orderpriority, item, {', '.join(f"max(value) FILTER (WHERE period = '{y}') AS y{y}" for y in PERIODS)} FROM c GROUP BY 1, 2""")
 def _pivot(spark, d):
-    return nm.statement_pivot(statements(spark, d), ["1997", "1996"], ("o_orderpriority",))
+    return nm.statement_pivot(statements(spark, d), PERIODS, ("o_orderpriority",)).withColumnsRenamed({y: f"y{y}" for y in PERIODS})
 
 
 @check("norm_statement_changes", f"WITH {YEARS}, l AS (SELECT *, lag(value) OVER (PARTITION BY o_orderpriority, item ORDER BY period) AS prior FROM c) SELECT o_orderpriority, period, item, value, prior, {r('(value - prior) / abs(prior) * 100')} AS change_pct FROM l")
@@ -165,17 +173,18 @@ def _changes(spark, d):
     return nm.statement_changes(statements(spark, d), ("o_orderpriority",)).withColumn("change_pct", rounded("change_pct"))
 
 
-@check("norm_ratio_summary", f"WITH {YEARS} SELECT o_orderpriority, item, {r('arg_max(value, period) * 2')} AS latest, {r('max(value) * 2')} AS high, {r('min(value) * 2')} AS low FROM c WHERE item = 'orders' GROUP BY 1, 2")
+@check("norm_ratio_summary", f"WITH {YEARS} SELECT o_orderpriority, item, {r('arg_max(value, period) * 2')} AS latest, {r('max(value) * 2')} AS high, {r('min(value) * 2')} AS low FROM c GROUP BY 1, 2")
 def _ratios(spark, d):
-    specs = table(spark, d, "region").limit(1).select(F.lit("orders").alias("item"), F.lit(2.0).alias("scale"), F.lit("of all").alias("phrase"))
-    return nm.ratio_summary(statements(spark, d), specs, ("o_orderpriority",)).select("o_orderpriority", "item", *(rounded(c).alias(c) for c in ("latest", "high", "low")))
+    cells = statements(spark, d)
+    specs = cells.select("item").distinct().select("item", F.lit(2.0).alias("scale"), F.lit("of all").alias("phrase"))
+    return nm.ratio_summary(cells, specs, ("o_orderpriority",)).select("o_orderpriority", "item", *(rounded(c).alias(c) for c in ("latest", "high", "low")))
 
 
-@check("norm_segments", f"WITH {YEARS} SELECT o_orderpriority, item, value FROM c WHERE period = '1997'")
+@check("norm_segments", f"WITH {YEARS} SELECT o_orderpriority, period, item, value FROM c")
 def _segments(spark, d):
     o = table(spark, d, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"))
     p = listed(o, "o_orderpriority", js('{"date":"%s","seg":{"orders":%s,"top":%s}}', F.col("y"), F.col("n"), F.col("top")), "y")
-    return nm.map_cells(p, "date", "seg", ("o_orderpriority",)).filter("period = '1997'").select("o_orderpriority", "item", "value")
+    return nm.map_cells(p, "date", "seg", ("o_orderpriority",)).select("o_orderpriority", "period", "item", "value")
 
 
 @check("norm_latest_curve", f"WITH {YEARS} SELECT o_orderpriority, item, value FROM c QUALIFY period = max(period) OVER (PARTITION BY o_orderpriority)")
@@ -213,10 +222,10 @@ def _matrix(spark, d):
     return nm.full_matrix(df, "labels", "rows", ("s_suppkey",))
 
 
-@check("norm_aligned_series", "SELECT user_id AS time, max(value) FILTER (WHERE event_type = 'click') AS click, max(value) FILTER (WHERE event_type = 'view') AS view FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
+@check("norm_aligned_series", f"SELECT user_id AS time, {', '.join(f'max(value) FILTER (WHERE event_type = $${t}$$) AS {t}' for t in EVENT_TYPES)} FROM events GROUP BY 1")
 def _aligned(spark, d):
-    long = events(spark, d).filter("event_type IN ('click', 'view')").groupBy(F.col("user_id").alias("time"), F.col("event_type").alias("name")).agg(F.max("value").alias("value"))
-    return nm.aligned_series(long, ["click", "view"])
+    long = events(spark, d).groupBy(F.col("user_id").alias("time"), F.col("event_type").alias("name")).agg(F.max("value").alias("value"))
+    return nm.aligned_series(long, EVENT_TYPES)
 
 
 @check("norm_transcripts", "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS block, role AS speaker FROM conversations")

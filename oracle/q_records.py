@@ -47,12 +47,12 @@ def _range(spark, d):
     return st.range_summary(readings(spark, d), 365, ["symbol"]).withColumn("mean", rounded("mean"))
 
 
-@check("sentiment_payload", """SELECT (1000 + user_id)::BIGINT AS time, arg_max((event_id % 101)::INT, event_id) AS score FROM events WHERE event_id % 9 <> 0 AND user_id > 0 GROUP BY user_id""")
+@check("sentiment_payload", """SELECT (1000 + user_id)::BIGINT AS time, arg_max((event_id % 101)::INT, event_id) AS score FROM events WHERE event_id % 9 <> 0 GROUP BY user_id""")
 def _payload(spark, d):
     row = F.format_string('{"score": %s, "timestamp": "%d", "btcPrice": "1.5"}', F.when(F.col("event_id") % 9 == 0, "101.5").otherwise((F.col("event_id") % 101).cast("string")), F.col("user_id") + 1000)
-    packed = table(spark, d, "events").filter("user_id > 0").groupBy(F.col("user_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("r")))), lambda x: x["r"]), ",").alias("rows"))
-    payload = packed.select(F.concat(F.lit('{"status": {"error_code": "0"}, "data": {"dataList": ['), F.col("rows"), F.lit("]}}")).alias("payload"))
-    return pl.sentiment_from_json(payload)[0].select("time", "score")
+    packed = table(spark, d, "events").groupBy("user_id", F.floor(F.col("event_id") / 500).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", row.alias("r")))), lambda x: x["r"]), ",").alias("rows"))
+    payload = packed.select("page", F.concat(F.lit('{"status": {"error_code": "0"}, "data": {"dataList": ['), F.col("rows"), F.lit("]}}")).alias("payload"))
+    return pl.sentiment_from_json(payload, order="page")[0].select("time", "score")
 
 
 # --- holdout -----------------------------------------------------------------------------------

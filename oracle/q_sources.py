@@ -232,12 +232,12 @@ def _quotes_nested(spark, d):
 # --- joins -------------------------------------------------------------------------------------
 
 
-@check("join_nearest", f"""WITH {EVENT_BARS.strip()}, p AS (SELECT event_type AS symbol, ts + INTERVAL 17 MINUTE AS t FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL),
+@check("join_nearest", f"""WITH {EVENT_BARS.strip()}, p AS (SELECT event_type AS symbol, ts + INTERVAL 17 MINUTE AS t FROM events GROUP BY ALL),
  l AS (SELECT p.symbol, p.t, epoch(a.ts) AS lt, a.close AS lc FROM p ASOF LEFT JOIN bars a ON p.symbol = a.symbol AND p.t >= a.ts), rr AS (SELECT p.symbol, p.t, epoch(a.ts) AS rt, a.close AS rc FROM p ASOF LEFT JOIN bars a ON p.symbol = a.symbol AND p.t <= a.ts)
  SELECT symbol, epoch_us(t) AS t, CASE WHEN lt IS NULL OR (rt IS NOT NULL AND rt - epoch(t) < epoch(t) - lt) THEN rt ELSE lt END::BIGINT AS nearest_time, CASE WHEN lt IS NULL OR (rt IS NOT NULL AND rt - epoch(t) < epoch(t) - lt) THEN rc ELSE lc END AS close FROM l JOIN rr USING (symbol, t)""")
 def _nearest(spark, d):
     events = table(spark, d, "events")
-    points = events.filter(F.col("event_type").isin("click", "view")).select(F.col("event_type").alias("symbol"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 17 MINUTES")).alias("ts")).distinct()
+    points = events.select(F.col("event_type").alias("symbol"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 17 MINUTES")).alias("ts")).distinct()
     found = jn.nearest(points, event_bars(events), ["symbol"], "ts", "close")
     return found.select("symbol", F.unix_micros("ts").alias("t"), "nearest_time", "close")
 

@@ -43,11 +43,11 @@ def test_each_file_has_its_own_header_and_separator(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     bars, counts = read_ohlcv(spark, str(tmp_path))
-    assert {(r.symbol, r.timeframe, r.open, r.close) for r in bars.collect()} == {("a", "1", 1, 2), ("b", "1", 1, 2), ("flat", None, 1, 2)}
+    assert {(r.symbol, r.timeframe, r.open, r.close) for r in bars.collect()} == {("a", "1", 1, 2), ("b", "1", 1, 2), ("flat", "", 1, 2)}
     assert {(r.symbol, r.valid_rows, r.dropped_rows) for r in counts.collect()} == {("a", 1, 0), ("b", 1, 0), ("flat", 1, 0)}
     (tmp_path / "b/2.csv").write_text('Close;"Date";HIGH;Low;Open;Volume\r\n2;"2024-01-02";4;0.5;1;10\r\n')
     (tmp_path / "c").mkdir()
     (tmp_path / "c/1.csv").write_text("time,open\n2024-01-02,1\n")
     bars, counts = read_ohlcv_loose(spark, str(tmp_path))
-    assert {(r.symbol, r.timeframe, r.open, r.close) for r in bars.collect()} == {("a", "1", 1, 2), ("b", "1", 1, 2), ("b", "2", 1, 2), ("flat", None, 1, 2)}
+    assert {(r.symbol, r.timeframe, r.open, r.close) for r in bars.collect()} == {("a", "1", 1, 2), ("b", "1", 1, 2), ("b", "2", 1, 2), ("flat", "", 1, 2)}
     assert {(r.symbol, r.dropped_rows) for r in counts.where("dropped_rows > 0").collect()} == {("c", 1)}

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import registry
 from barloom.operators.event_study import event_study
@@ -73,3 +74,17 @@ def test_filters_and_studies_agree(frames):
 
 def test_every_indicator_is_registered():
     assert len(registry.all_indicators()) == 127 and len(registry.catalogue()) == 158
+
+
+def test_a_burst_is_cut_into_bounded_blocks(spark):
+    years = bars_frame(spark, seeded_bars(1000, 3, "LONG")).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts") * 1000 - 1_698_300_000_000))
+    short = bars_frame(spark, seeded_bars(20_000, 4, "BUSY")).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.floor((F.unix_seconds("ts") - 1_700_000_000) / 60)))
+    burst = bars_frame(spark, seeded_bars(9000, 5, "BURST")).withColumn("_i", (F.unix_seconds("ts") - 1_700_000_000) / 60)
+    burst = burst.withColumn("ts", F.timestamp_seconds(F.when(F.col("_i") < 8000, 1_700_000_000 + F.col("_i")).otherwise(1_700_000_000 + (F.col("_i") - 7999) * 1_000_000))).drop("_i")
+    df = years.unionByName(short).unionByName(burst)
+    layout = plan_layout(df, block_rows=2000)
+    placed = spread(df, layout, 50).filter("_own")
+    assert placed.count() == 30_000
+    assert placed.groupBy("symbol", "_block").count().agg(F.max("count")).first()[0] <= 4000
+    a, b = build(df, Layout(), ["sma", "ema", "drawdown"]), build(df, layout, ["sma", "ema", "drawdown"])
+    assert np.allclose(a.iloc[:, 3:].astype(float), b.iloc[:, 3:].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True)
