@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.ranking import global_rank
+from barloom.session import cut_lineage
+
 
 def nearest(points: DataFrame, bars: DataFrame, keys: Sequence[str], order: str, value: str, slice_seconds: int = 30 * 86_400) -> DataFrame:
     """The bar nearest in time to each point, ties to the earlier one.
@@ -51,10 +54,11 @@ def ranked_search(assets: DataFrame, query: str, symbol: str, name: str) -> Data
 def unique_labels(df: DataFrame, label: str, order: str, name: str = "unique_label") -> DataFrame:
     """``x, x-2, x-3`` for repeated labels; a made-up label that exists as a literal moves on to a free number.
 
-    Repeats of one label are numbered by a window over that label only.
+    Repeats are numbered by one distributed sort, so that a label which most rows share is no single task.
     """
-    w = Window.partitionBy(label).orderBy(order)
-    numbered = df.withColumn("_k", F.row_number().over(w))
+    placed = cut_lineage(global_rank(df, [F.col(label), F.col(order)], "_rank"))
+    first = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_rank").alias("_first"))
+    numbered = placed.join(first, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_k", (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first", "_label")
     taken = df.select(F.col(label).alias("_have")).distinct().withColumn("_stem", F.regexp_extract("_have", r"^(.*)-(\d+)$", 1)).withColumn(
         "_no", F.regexp_extract("_have", r"^(.*)-(\d+)$", 2).try_cast("int")
     )

@@ -1,17 +1,18 @@
 """A hash-chained trial ledger as an append-only table of JSON lines.
 
 Each line is an envelope (seq, type, at, dataset, prev, hash) and the fields of its type. The chain is
-checked with ``lag`` over the sequence; a line's own hash is a row expression.
+checked by joining each entry to the one before it; a line's own hash is a row expression.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.ledger_udf import body_without_hash
+from barloom.operators.ranking import global_rank
 from barloom.sources.sinks import path_exists
 
 GENESIS = "0" * 64
@@ -49,7 +50,7 @@ def well_formed(line: Column) -> Column:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbered lines of a ledger (single writer: one file part per append, in name order)."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_n"))
-    return raw.withColumn("line_no", F.row_number().over(Window.orderBy("_f", "_s", "_n"))).select("line_no", "value")
+    return global_rank(raw, [F.col("_f"), F.col("_s"), F.col("_n")], "line_no").select("line_no", "value")
 
 
 def read_ledger(lines: DataFrame) -> DataFrame:
@@ -62,11 +63,11 @@ def read_ledger(lines: DataFrame) -> DataFrame:
         field("dataset").alias("dataset"), field("prev").alias("prev"), field("hash").alias("hash"),
         F.when(~F.col("json"), "is not valid JSON").when(~F.col("ok"), "is not a valid ledger entry").alias("shape"),
     )
-    # The ledger is small (one line per run), so its chain is one ordered window.
-    before = Window.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    place = F.coalesce(F.count_if("ok").over(before), F.lit(0)) + 1
-    previous = F.coalesce(F.last(F.when(F.col("ok"), F.col("hash")), ignorenulls=True).over(before), F.lit(GENESIS))
-    checked = entries.withColumn("_place", place).withColumn("_previous", previous)
+    # Good entries are numbered by a distributed sort; each then meets the one before it by its number.
+    numbered = global_rank(entries.where("ok").select("line_no", "hash"), [F.col("line_no")], "_place")
+    earlier = numbered.select((F.col("_place") + 1).alias("_place"), F.col("hash").alias("_previous"))
+    chain = numbered.select("line_no", "_place").join(earlier, "_place", "left")
+    checked = entries.join(chain, "line_no", "left").withColumn("_previous", F.coalesce("_previous", F.lit(GENESIS)))
     problem = (
         F.when(F.col("shape").isNotNull(), F.col("shape"))
         .when(F.col("seq") != F.col("_place"), F.concat(F.lit("has sequence "), F.col("seq").cast("string"), F.lit(", expected "), F.col("_place").cast("string")))

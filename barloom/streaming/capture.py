@@ -16,9 +16,10 @@ from barloom.sources.sinks import upsert_bars
 MESSAGES = "symbol string, timeframe string, seq long, raw string"
 
 
-def message_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Captured messages as JSON lines: (symbol, timeframe, seq, raw)."""
-    return spark.readStream.schema(MESSAGES).json(path)
+def message_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
+    """Captured messages as JSON lines: (symbol, timeframe, seq, raw). A micro-batch reads at most ``files`` files, so that
+    catching up after a pause is many batches and not one of everything."""
+    return spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", files).json(path)
 
 
 def bar_updates(messages: DataFrame) -> DataFrame:
