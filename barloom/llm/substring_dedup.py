@@ -12,7 +12,8 @@ eighty bytes, to the right and to the left. The strings with one anchor are a co
    reversed, those to the left; common prefixes of neighbours give how far any two agree on either side. Two contexts
    that agree on ``length`` bytes together repeat there.
 4. A hash with more than ``GROUP`` kinds of context is split first: by halves of the places that the anchor takes in a
-   string, and by the bytes that all strings of such a half share. At single places that is the string itself.
+   string, and by the bytes that all strings of such a half share. Contexts cut to a half are counted as in step 2 and
+   compared as in step 3. At single places a context is one string, so that nothing is left to split.
 
 Documents meet their spans by a join; removed bytes are cut and digested in place.
 """
@@ -310,17 +311,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     parts = [alike, copied]
     width = 128
     while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("kinds"))
+        sizes = rows.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        parts.append(_compare(rows.join(sizes.where(F.col("kinds") <= group).select("key"), "key", "left_semi"), length))
         large = sizes.where(F.col("kinds") > group).select("key")
         if large.isEmpty():
-            parts.append(_compare(rows.join(sizes.where("kinds > 1").select("key"), "key", "left_semi"), length))
             break
-        parts.append(_compare(rows.join(sizes.where((F.col("kinds") > 1) & (F.col("kinds") <= group)).select("key"), "key", "left_semi"), length))
-        if width < 1:
-            # Single strings under the hash of their bytes: all of a group are the same.
-            parts.append(rows.join(large, "key", "left_semi").where("n = 1").select("rid", "first", (F.col("first") + F.octet_length("context")).alias("end")))
-            break
-        rows = stored(_split(rows.join(large, "key", "left_semi"), width, length), "bytes")
+        # What is the same within a half is repeated as a whole, as in the second step; one of each kind goes on.
+        halves = stored(_split(rows.join(large, "key", "left_semi"), width, length).withColumn("whole", F.xxhash64("context")), "halves")
+        same = halves.groupBy("key", "whole").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "first", "mid", "context")).alias("one"))
+        again = halves.join(same.where("n > 1").select("key", "whole"), ["key", "whole"], "left_semi").where("n = 1")
+        parts.append(again.select("rid", "first", (F.col("first") + F.octet_length("context")).alias("end")))
+        rows = stored(same.select("key", "one.rid", "n", "one.first", "one.mid", "one.context"), "bytes")
         width //= 2
     spans = parts[0]
     for part in parts[1:]:
