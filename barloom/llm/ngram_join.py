@@ -8,10 +8,11 @@ Documents are sets of hashed word shingles. Those with the same set are one kind
    is looked at in its first common band only. Its values are compared in steps; after each step the posterior
    probability (uniform prior) that its similarity reaches the threshold is compared with ``TOLERANCE``, and the pair is
    dropped below it. Only survivors leave the task.
-3. Survivors are verified exactly on their shingle sets.
+3. Survivors are verified exactly: the shingle sets of a block meet in one task, once each. A block returns one row per
+   kind, with the number of documents that its links add and the least id they connect it with.
 
-Links between kinds, with the number of documents of each, give the links of every document without a row per copy;
-components of the link graph are the classes.
+No plan step has a row per pair or per copy: sums of the rows give the links of every document, and components of what
+is connected are the classes. Explicit pairs of kinds are given on request.
 """
 
 from __future__ import annotations
@@ -114,15 +115,15 @@ def _kinds(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _survivors(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """``a, b`` of each pair that no comparison drops; rows are ``key, cell, left, right, band, id, signature``."""
+    """``key, left, right, id, partners``: for each kind of a block the later ones that no comparison drops, for those
+    that have or are a partner. Rows of ``blocks`` are ``key, left, right, band, side, id, signature``."""
     floors = least_matches(threshold, tolerance, BANDS * ROWS)
 
     def pairs(group: list[tuple]) -> list[tuple]:
-        band, one = group[0][0], group[0][1] == group[0][2]
-        values = np.frombuffer(b"".join(g[5] for g in group), np.uint16).reshape(len(group), BANDS, ROWS)
-        ids, side = [g[4] for g in group], np.array([g[3] for g in group])
-        out = []
-        flat = values.reshape(len(group), -1)
+        band, one = group[0][0], group[0][2] == group[0][3]
+        values = np.frombuffer(b"".join(g[6] for g in group), np.uint16).reshape(len(group), BANDS, ROWS)
+        flat, ids, side = values.reshape(len(group), -1), [g[5] for g in group], np.array([g[4] for g in group])
+        partners: list[list[int]] = []
         for k in range(len(group)):
             others = np.arange(k + 1, len(group))
             if not one:
@@ -138,63 +139,114 @@ def _survivors(blocks: DataFrame, threshold: float, tolerance: float) -> DataFra
                 matches += (flat[others, part] == flat[k, part]).sum(axis=1)
                 keep = matches >= floor
                 others, matches = others[keep], matches[keep]
-            out += [(min(ids[k], ids[o]), max(ids[k], ids[o])) for o in others.tolist()]
-        return out
+            partners.append(others.tolist())
+        met = {k for k, own in enumerate(partners) if own} | {o for own in partners for o in own}
+        return [(*group[0][1:4], ids[k], [ids[o] for o in partners[k]]) for k in sorted(met)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        at = None
+        kind = pa.int64()
 
         def table(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k in (0, 1)], names=["a", "b"])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), kind, pa.list_(kind)]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=["key", "left", "right", "id", "partners"])
 
-        kind = None
         for batch in batches:
             kind = batch.column(5).type
             found: list[tuple] = []
-            for key, left, right, band, side, one, signature in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
-                if (key, left, right) != at:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if group and row[1:4] != group[0][1:4]:
                     found += pairs(group) if len(group) > 1 else []
-                    at, group = (key, left, right), []
-                group.append((band, left, right, side, one, signature))
+                    group = []
+                group.append(row)
             yield table(found)
         if len(group) > 1:
             yield table(pairs(group))
 
     kind = blocks.schema["id"].dataType.simpleString()
-    rows = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id").select("key", "left", "right", "band", "side", "id", "signature")
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
-
+    rows = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id").select("band", "key", "left", "right", "side", "id", "signature")
+    return rows.mapInArrow(run, f"key long, left int, right int, id {kind}, partners array<{kind}>")
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, words: int) -> DataFrame:
-    """``a, b, similarity`` of the pairs that reach the threshold."""
-    kind = docs.schema["id"].dataType.simpleString()
 
+def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), powers, words).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.join(asked, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary").dropDuplicates(["id"])
+
+
+def similarity(p: np.ndarray, q: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return common / (len(p) + len(q) - common)
+
+
+def _verified(hits: DataFrame, held: DataFrame, threshold: float, explicit: bool) -> DataFrame:
+    """Of each block, where the sets of its kinds meet once: ``id, others, low``, the documents of the kinds that an id is
+    linked with and the least id that links of the block connect it with; ``explicit``: the links, ``a, b, similarity``."""
+
+    def links(group: list[tuple]) -> list[tuple]:
+        at = {g[3]: k for k, g in enumerate(group)}
+        values = [np.frombuffer(g[6], np.uint64) for g in group]
+        for k, g in enumerate(group):
+            for o in map(at.__getitem__, g[4]):
+                if min(len(values[k]), len(values[o])) >= threshold * max(len(values[k]), len(values[o])) and (found := similarity(values[k], values[o])) >= threshold:
+                    yield k, o, found
+
+    def summed(group: list[tuple]) -> list[tuple]:
+        others, top = [0] * len(group), list(range(len(group)))
+
+        def root(k: int) -> int:
+            while top[k] != k:
+                top[k] = top[top[k]]
+                k = top[k]
+            return k
+
+        for k, o, _ in links(group):
+            others[k] += group[o][5]
+            others[o] += group[k][5]
+            top[root(k)] = root(o)
+        low: dict[int, object] = {}
+        for k, g in enumerate(group):
+            low[root(k)] = min(low.get(root(k), g[3]), g[3])
+        return [(g[3], others[k], low[root(k)]) for k, g in enumerate(group) if others[k]]
+
+    def listed(group: list[tuple]) -> list[tuple]:
+        return [(*sorted((group[k][3], group[o][3])), found) for k, o, found in links(group)]
+
+    names = ["a", "b", "similarity"] if explicit else ["id", "others", "low"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        kind = pa.int64()
+
+        def table(found: list[tuple]) -> pa.RecordBatch:
+            kinds = [kind, kind, pa.float64()] if explicit else [kind, pa.int64(), kind]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(kinds)], names=names)
+
         for batch in batches:
-            similarity = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                similarity.append(common / (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(similarity, pa.float64())], names=["a", "b", "similarity"])
+            kind = batch.column(3).type
+            found: list[tuple] = []
+            for row in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    found += listed(group) if explicit else summed(group)
+                    group = []
+                group.append(row)
+            yield table(found)
+        if group:
+            yield table(listed(group) if explicit else summed(group))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = stored(docs.join(asked, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary"), "shingles")
-    first = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("own")), "a")
-    both = first.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "own", "other")
-    found = both.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= threshold)
-    return found.dropDuplicates(["a", "b"])  # rows that repeat an id come twice
+    kind = hits.schema["id"].dataType.simpleString()
+    rows = hits.join(held, "id").select("key", "left", "right", "id", "partners", "n", "shingles").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
+    return rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double" if explicit else f"id {kind}, others long, low {kind}")
 
 
-def link_kinds(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, words: int = WORDS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Membership ``id, rep`` (NULL for documents without a word) and links ``a, b, similarity`` between representatives,
-    the least ids of the kinds; a is less than b.
+def link_kinds(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, words: int = WORDS, block: int = BLOCK, explicit: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Membership ``id, rep`` (NULL for documents without a word), and what ``_verified`` tells of the representatives, the
+    least ids of the kinds: sums for each, or with ``explicit`` every link between two.
 
     NULL and empty texts have no words and no links. Ids should be unique: rows that repeat an id count once. Rows
     without id take no part. Other columns aren't read.
@@ -202,7 +254,7 @@ def link_kinds(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     rows = docs.where(docs[id_column].isNotNull()).select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
     signed = stored(_kinds(rows, words), "kinds")
     kinds = stored(signed.where("kind IS NOT NULL").groupBy("kind").agg(F.min(F.struct("id", "signature")).alias("one")).select("kind", "one.*"), "representatives")
-    members = signed.select("id", "kind").dropDuplicates(["id"]).join(kinds.select("kind", F.col("id").alias("rep")), "kind", "left").select("id", "rep")
+    members = stored(signed.select("id", "kind").dropDuplicates(["id"]).join(kinds.select("kind", F.col("id").alias("rep")), "kind", "left").select("id", "rep"), "members")
 
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substr(F.col("signature"), b * width + 1, F.lit(width))).alias("key")))
@@ -212,8 +264,10 @@ def link_kinds(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     met = buckets.join(sizes, "key").withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     cut = met.select("key", F.least("cell", "other").alias("left"), F.greatest("cell", "other").alias("right"), "band", F.when(F.col("cell") == F.col("other"), F.lit(0)).otherwise(F.when(F.col("cell") < F.col("other"), F.lit(1)).otherwise(F.lit(2))).alias("side"), "id")
-    pairs = stored(_survivors(cut.join(kinds.select("id", "signature"), "id"), threshold, tolerance), "pairs")
-    return members, _verified(pairs, rows, threshold, words)
+    hits = stored(_survivors(cut.join(kinds.select("id", "signature"), "id"), threshold, tolerance), "hits")
+    counts = members.where("rep IS NOT NULL").groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("n"))
+    held = stored(_sets(rows, hits.select("id").distinct(), words).join(counts, "id"), "sets")
+    return members, stored(_verified(hits, held, threshold, explicit), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,11 +291,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     Documents without a word are alone. See ``link_kinds`` for nulls and repeats. An empty table gives none.
     """
-    members, links = link_kinds(docs, id_column, text_column, **options)
-    members, links = stored(members, "members"), stored(links, "links")
+    members, found = link_kinds(docs, id_column, text_column, **options)
     sizes = members.where("rep IS NOT NULL").groupBy("rep").agg(F.count("*").alias("n"))
-    ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = ends.join(sizes.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    facts = sizes.join(linked, "rep", "left").join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
+    linked = found.groupBy(F.col("id").alias("rep")).agg(F.sum("others").alias("others"))
+    edges = found.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    facts = sizes.join(linked, "rep", "left").join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
     facts = facts.select("rep", F.coalesce("class", "rep").alias("class"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return members.join(facts, "rep", "left").select(F.col("id").alias(id_column), F.coalesce("class", "id").alias("class_id"), F.coalesce("rep", "id").alias("kind_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
