@@ -50,7 +50,7 @@ AWAY = frozenset(
 )
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-SPACE = re.compile(r"[ \t\n\r\f\v   -     　]+")
+SPACE = re.compile(r"\s+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -231,7 +231,7 @@ def text_of(node: Node) -> str:
     line: list[str] = []
 
     def end() -> None:
-        if joined := SPACE.sub(" ", "".join(line)).strip(" "):
+        if joined := SPACE.sub(" ", "".join(line)).strip():
             out.append(joined)
         line.clear()
 
