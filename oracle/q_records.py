@@ -79,10 +79,17 @@ def _verify(spark, d):
     return ho.verify_seal(changed, ho.plan_seal(bars)).select("symbol", "intact")
 
 
-@check("holdout_read")
+def _holdout_sql() -> str:
+    """The window from the seal on, summed as any other window."""
+    from oracle.q_verdict import WINDOW_SUMMARY
+
+    return f"SELECT symbol, rule, trades, closed_trades, net_return_pct, buy_hold_return_pct FROM ({WINDOW_SUMMARY.replace('floor(n * 0.8::DOUBLE)', 'floor(round(n * 0.8::DOUBLE, 9))')})"
+
+
+@check("holdout_read", _holdout_sql())
 def _read(spark, d):
     bars = order_bars(table(spark, d, "orders"))
-    result = ho.read_holdout(bars, ho.plan_seal(bars), strategy_grid()[:2], vd.periods_per_year(bars, 365.0))
+    result = ho.read_holdout(bars, ho.plan_seal(bars), strategy_grid(), vd.periods_per_year(bars, 365.0))
     return result.select("symbol", "rule", "trades", "closed_trades", rounded("net_return_pct").alias("net_return_pct"), rounded("buy_hold_return_pct").alias("buy_hold_return_pct"))
 
 
