@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.storage import stored
+
 MIN_SITES, MIN_WORDS, LOG_REGISTERS, BAND = 10, 3, 10, 4.0
 
 
@@ -33,6 +35,8 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, log_registers: int
     margin = 1 + band * 1.04 / 2 ** (log_registers / 2) * min_sites
     estimate = F.hll_sketch_estimate("sketch")
     spread = spread.select("a", "b", estimate.alias("sites"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")).where(F.col("sites") >= min_sites - margin)
+    # Few lines are left: they are written once, so that the documents aren't read again for each use.
+    spread = stored(spread, "spread")
     sure = spread.where(F.col("sites") > min_sites + margin)
     near = spread.where(F.col("sites") <= min_sites + margin)
     exact = lines.where("site IS NOT NULL").join(near.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("exact"))
