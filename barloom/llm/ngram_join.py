@@ -175,7 +175,8 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), powers, words).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.join(asked, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary").dropDuplicates(["id"])
+    # The ids asked for grow with the documents: the join is a sort-merge at every size, never a broadcast.
+    return docs.join(asked.hint("merge"), "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary").dropDuplicates(["id"])
 
 
 def similarity(p: np.ndarray, q: np.ndarray) -> float:
