@@ -60,7 +60,7 @@ def test_filter_helpers():
     tree, dropped = fl.normalize_tree(raw)
     assert dropped == 2 and len(tree["children"]) == 1 and tree["children"][0]["value"] == 0.0
     tree = fl.all_of(fl.condition("rsi", "between", 70, 30), fl.any_of(fl.condition("v", "top_pct", 10), negate=True))
-    assert fl.describe(tree) == "(rsi is between 30 and 70) AND (NOT (v is in the top 10%))"
+    assert fl.describe(tree) == "(rsi within limits 30 and 70) AND (NOT (v among the largest 10 percent))"
     assert fl.count_active(tree) == 2 and fl.uses_lookahead(tree)
 
 
