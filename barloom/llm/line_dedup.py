@@ -20,10 +20,11 @@ MIN_SITES, MIN_WORDS, LOG_REGISTERS, BAND = 10, 3, 10, 4.0
 
 
 def lines_of(docs: DataFrame, id_column: str, text_column: str, site_column: str, min_words: int) -> DataFrame:
-    """``id, site, at`` (from 0) and the two hashes ``a, b`` of each trimmed line with enough words."""
+    """``id, site, at`` (from 0) and the two hashes ``a, b`` of each trimmed line with enough words. With ``min_words=1``
+    these are all lines but those of white space."""
     rows = docs.select(docs[id_column].alias("id"), docs[site_column].cast("string").alias("site"), F.posexplode(F.split(docs[text_column].cast("string"), "\n")).alias("at", "raw"))
     line = F.trim("raw")
-    rows = rows.select("id", "site", "at", line.alias("line")).where((F.length("line") > 0) & (F.size(F.split("line", r"\s+")) >= min_words))
+    rows = rows.select("id", "site", "at", line.alias("line")).where(F.col("line").rlike(r"\S") & (F.size(F.split("line", r"\s+")) >= min_words))
     return rows.select("id", "site", "at", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
 
 

@@ -24,8 +24,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many sites stay in their first document; a document whose lines all go stays with an empty text."""
-    return dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Lines of many sites, short ones too, stay in their first document; a document whose lines all go stays with an
+    empty text."""
+    return dedup_lines(docs, min_words=1).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
