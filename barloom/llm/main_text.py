@@ -2,7 +2,10 @@
 
 A page is read into a tree of elements. Scripts, styles, forms and other parts that hold no article text are never
 part of it, nor is an element whose name, role, class or id says that it is navigation, a header or footer, a side
-bar, a notice, an advert or reader comments.
+bar, a notice, an advert or reader comments. Ids made from titles hold such words too. So headings never go by their
+class, id or role; inside an article or main element nothing goes by them but containers with an unambiguous name, and
+then only where their density is low as well, which also decides outside of it on paragraphs and on names with words
+that titles hold.
 
 For every node, with its characters C, tags T, link characters LC and link tags LT (all of its subtree), the composite
 density is ``C/T * log(C/LC * T/LT) / log(log(C/nLC * LC + LCb/Cb * C + e))``, where nLC = C - LC and b is the body;
@@ -26,7 +29,7 @@ from barloom.llm.byte_bpe import blocks
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-HIDDEN = frozenset("script style noscript iframe noembed noframes template head title svg math canvas object audio video map form button select textarea input option datalist fieldset nav aside footer menu dialog".split())
+HIDDEN = frozenset("script style noscript iframe noembed noframes template head title svg annotation annotation-xml canvas object audio video map form button select textarea input option datalist fieldset nav aside footer menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table caption tbody td tfoot th thead tr ul".split())
 #: What an opening tag closes, up to the nearest element that holds such parts.
 CLOSES = {
@@ -48,6 +51,17 @@ AWAY = frozenset(
     comment comments commentlist disqus respond replies discussion share sharing social related recommended recommendations
     widget complementary contentinfo search hidden skip""".split()
 )
+#: Of these the ones that mean nothing else; inside an article only whole names of these count.
+PLAIN = frozenset(
+    """ad ads adv advert adverts advertisement advertising adsense sponsored nav navbar navigation breadcrumb breadcrumbs sidebar
+    masthead topbar toolbar pagination pager cookie cookies gdpr popup modal newsletter paywall comments commentlist disqus
+    contentinfo""".split()
+)
+#: Words that ids made from titles often hold.
+TITLES = frozenset("discussion related share sharing social search comment respond replies promotion consent subscription".split())
+#: What a name can cut inside an article.
+CONTAINERS = frozenset("div section ul ol dl table center article details figure".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>\x00]*)(?P<attributes>(?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"\s+")
@@ -63,18 +77,27 @@ class Node:
 
 
 def _away(name: str, attributes: str, inside: set[str]) -> bool | str:
-    """True for what an element's kind or style hides, "named" for what its class, id or role tells."""
+    """True for what an element's kind or style hides; for what its class, id or role tells "named", or "perhaps" where
+    its density has to be low as well."""
     if name in HIDDEN or name == "header" and "article" not in inside and "main" not in inside:
         return True
     if not attributes or name == "main":
         return False
+    found: bool | str = False
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDING.search(value):
             return True
-        if key in ("class", "id", "role") and any(w in AWAY for w in re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return "named"
-    return False
+        if key not in ("class", "id", "role") or name in HEADINGS:
+            continue
+        if inside:
+            if name in CONTAINERS and any(w in PLAIN for w in value.lower().split()):
+                found = found or "perhaps"
+            continue
+        words = re.findall("[a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", value).lower())
+        if any(w in AWAY for w in words):
+            found = "named" if name != "p" and any(w in AWAY and w not in TITLES for w in words) else found or "perhaps"
+    return found
 
 
 def parse(html: str) -> Node:
@@ -162,7 +185,7 @@ def _mend(root: Node) -> None:
         if node.name in ("main", "h1"):
             up = node.parent
             while up is not None:
-                if up.away == "named":
+                if up.away in ("named", "perhaps"):
                     up.away = False
                 up = up.parent
         stack += [p for p in node.parts if isinstance(p, Node) and p.away is not True]
@@ -202,9 +225,29 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _weigh(root: Node) -> None:
+    """Parts that are perhaps away stay where their density reaches that of what holds them: the article or main
+    element around them, or the page."""
+    some: list[tuple[Node, Node]] = []
+    stack = [(root, root)]
+    while stack:
+        node, holder = stack.pop()
+        if node.away == "perhaps":
+            some.append((node, holder))
+            node.away = False
+        elif node.name in ("article", "main"):
+            holder = node
+        stack += [(p, holder) for p in node.parts if isinstance(p, Node) and p.away not in (True, "named")]
+    if some:
+        measure(root)
+        for node, holder in some:
+            node.away = "named" if node.density < holder.density else False
+
+
 def select(root: Node) -> Node | None:
     """The subtree with the main text; None where there is no text."""
     _mend(root)
+    _weigh(root)
     nodes = measure(root)
     if not root.chars:
         return None

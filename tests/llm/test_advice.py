@@ -1,6 +1,7 @@
 """Whole jobs that a review found cut."""
 
 from barloom.llm import line_dedup as ld
+from barloom.llm import main_text as mt
 
 
 def test_the_pipeline_takes_short_lines_and_those_without_blanks(spark):
@@ -11,3 +12,14 @@ def test_the_pipeline_takes_short_lines_and_those_without_blanks(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got[0] == rows[0][1] and all(got[i] == f"\r\nonly {i} here\n\t" for i in range(1, 12))
     assert {r.n_removed for r in ld.dedup_lines(docs).where("doc_id > 0").collect()} == {0}
+
+
+def test_names_made_from_titles_cut_nothing_of_an_article():
+    words = "Some words of this article that go on for a while, as a paragraph does when it has a thing to say."
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{words}</p><h2 id="search">Search</h2><p class="share-price">Shares rose. {words}</p>
+<section id="related-work"><h2>Related work</h2><p>{words}</p></section><section id="discussion"><h2>Discussion</h2><p>{words} <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>tex</annotation></math></p></section>
+<div class="social-history"><p>{words}</p></div><div class="ad"><a href=1>Buy</a> <a href=2>it</a></div><div class="box newsletter"><ul><li><a href=3>Weekly</a></li><li><a href=4>Daily</a></li></ul></div>
+<div class="comments"><p>{words} {words}</p></div></article><div class="share"><a href=x>Tweet</a> <a href=y>Post</a></div></body>"""
+    want = ["Title", words, "Search", f"Shares rose. {words}", "Related work", words, "Discussion", f"{words} E=m", words, f"{words} {words}"]
+    assert mt.main_text(page).split("\n") == want
+    assert mt.main_text(page.replace("article>", "div>").replace('<div class="comments">', "<div>")).split("\n") == want
