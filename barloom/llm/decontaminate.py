@@ -7,25 +7,29 @@ tree for ranks, and every eighth suffix position. All phrases are searched backw
 walked to a sampled position, and the spans of words found are merged per document. Nothing is shuffled.
 
 The phrases go to the workers by broadcast, whose size is checked: a benchmark with more words than ``phrase_words``
-is searched in several passes over parts of its items, and the spans of the passes are merged by document.
+is searched in several passes over parts of its items, and the spans of the passes are merged by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.byte_bpe import blocks
+from barloom.llm.storage import stored
 
 FOUND = T.StructType().add("n_words", T.LongType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("items", T.ArrayType(T.StringType()))
 #: Words of a phrase; text characters of a shard; words of items in one pass; distance of sampled suffixes.
 WINDOW, SHARD_CHARS, PHRASE_WORDS, SAMPLED = 13, 16_000_000, 2_000_000, 8
+ROW = "__row"
 #: Fixed value: bytes 0-9, A-Z, a-z and those of characters beyond ASCII make words; A-Z are lower-cased.
 FOLD = bytes((b | 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -175,8 +179,8 @@ def shard_hits(texts: list[str | None], phrases: Phrases) -> list[tuple[int, lis
     return out
 
 
-def _pass(docs: DataFrame, items: list, window: int, text_column: str) -> DataFrame:
-    """``docs`` with ``n_words, spans, items``."""
+def _pass(docs: DataFrame, items: list, window: int, text_column: str) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with ``n_words, spans, items``, and the broadcast it reads."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     place = docs.columns.index(text_column)
@@ -192,7 +196,7 @@ def _pass(docs: DataFrame, items: list, window: int, text_column: str) -> DataFr
                     names=[*batch.schema.names, "n_words", "spans", "items"],
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND.fields]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND.fields])), sent
 
 
 def find_phrases(
@@ -210,26 +214,29 @@ def find_phrases(
     named like the three are replaced): the merged spans of words (end exclusive) inside an
     occurrence of a window of an item, and the ids (as text, sorted) of the items with such windows.
 
-    A NULL or empty text has no words, an item without words no window; items without id are left out. Rows of
-    ``docs`` that repeat give rows that repeat when one pass is enough, and one row per id beyond that, so ids
-    should be unique. Other columns aren't read. An empty benchmark hits nothing.
+    A NULL or empty text has no words, an item without words no window; items without id are left out. Every row of
+    ``docs`` is judged alone, also where ids repeat or are NULL, however many passes there are: beyond one, the rows
+    are written with a key of their own, and each pass is written before the next part of the benchmark is sent.
+    Other columns aren't read. An empty benchmark hits nothing.
     """
     items = benchmark.select(benchmark[item_column].cast("string").alias("item"), benchmark[item_text_column].cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     # A word takes two bytes with its gap at least: half the text bounds the words, and decides the passes.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first().n // 2
     passes = max(1, -(-size // phrase_words))
-    part = F.pmod(F.xxhash64("item"), F.lit(passes))
-    parts = [[tuple(r) for r in items.where(part == k).collect()] for k in range(passes)]
+    rows = docs.drop(*FOUND.names) if carry else docs.select(id_column, text_column)
     if passes == 1:
-        rows = docs.drop(*FOUND.names) if carry else docs.select(id_column, text_column)
-        found = _pass(rows, parts[0], window, text_column)
+        found = _pass(rows, [tuple(r) for r in items.collect()], window, text_column)[0]
         return found if carry else found.drop(text_column)
-    named = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    found = [_pass(named, own, window, "text").drop("text") for own in parts]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    merged = rows.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = stored(rows.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    named = rows.select(ROW, F.col(text_column).alias("text"))
+    part = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
+    parts = []
+    for k in range(passes):
+        found, sent = _pass(named, [tuple(r) for r in items.where(part == k).collect()], window, "text")
+        parts.append(stored(found.drop("text").where((F.size("spans") > 0) | F.lit(k == 0)), "pass"))
+        sent.destroy()
+    found = reduce(DataFrame.unionByName, parts)
+    merged = found.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
     def joined(done, span):
@@ -238,8 +245,8 @@ def find_phrases(
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"]), grown).otherwise(F.concat(done, F.array(span)))
 
     spans = F.aggregate("all", empty, joined)
-    merged = merged.select(F.col("id").alias(id_column), "n_words", spans.alias("spans"), "items")
-    return docs.drop(*FOUND.names).join(merged, id_column, "left") if carry else merged
+    merged = merged.select(ROW, "n_words", spans.alias("spans"), "items")
+    return (rows if carry else rows.drop(text_column)).join(merged, ROW).drop(ROW)
 
 
 def is_contaminated(one_in: int = 20) -> Column:

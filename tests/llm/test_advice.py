@@ -1,5 +1,6 @@
 """Whole jobs that a review found cut."""
 
+from barloom.llm import decontaminate as dc
 from barloom.llm import line_dedup as ld
 from barloom.llm import main_text as mt
 
@@ -23,3 +24,14 @@ def test_names_made_from_titles_cut_nothing_of_an_article():
     want = ["Title", words, "Search", f"Shares rose. {words}", "Related work", words, "Discussion", f"{words} E=m", words, f"{words} {words}"]
     assert mt.main_text(page).split("\n") == want
     assert mt.main_text(page.replace("article>", "div>").replace('<div class="comments">', "<div>")).split("\n") == want
+
+
+def test_passes_judge_each_row_alone(spark):
+    rows = [(1, "x a b c d y", 0), (1, "clean text here", 1), (None, "p q e f g h", 2), (None, "clean too", 3), (2, "x a b c d y", 4), (2, "x a b c d y", 4), (3, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rest int")
+    bench = spark.createDataFrame([(10, "a b c d"), (9, "b c d"), (9, "e f g h"), (8, "z z")], "item_id long, text string")
+    one, more = (sorted(map(str, dc.contamination(docs, bench, **x).collect())) for x in ({}, {"phrase_words": 12}))
+    assert len(one) == len(rows) and one == more
+    for words in (dc.PHRASE_WORDS, 12):
+        kept = dc.drop_contaminated(docs, bench, phrase_words=words)
+        assert kept.columns == docs.columns and sorted(r.rest for r in kept.collect()) == [1, 3, 5]
