@@ -17,7 +17,8 @@ import hashlib
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -108,25 +109,29 @@ def _features(text: str, start: int, end: int, groups: list[str], kind: int) ->
     return [zlib.crc32(f"{kind}:{x}".encode()) % WIDTH for x in told]
 
 
-def runs_of(text: str) -> Iterator[Run]:
+def lattices_of(text: str) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """Size and edges of each lattice of a text, edges in the order of their start. However long a run is, it is one
+    lattice: its edges grow with its groups only, and come one by one."""
     if GROUP.search(text):
         for m in NUMBERS.finditer(text):
             if sum(map(str.isdigit, m[0])) < 7:
                 continue
-            # A very long run of numbers is a list or a table: it is looked at in parts that overlap by no group.
             groups = [(g.start() + m.start(), g.end() + m.start()) for g in GROUP.finditer(m[0])]
-            for at in range(0, len(groups), 64):
-                yield _numbers(text, groups[at : at + 64])
+            yield len(groups), _numbers(text, groups)
     if WRITTEN.search(text):
         for m in ADDRESS.finditer(text):
             if WRITTEN.search(m[0]):
-                yield Run(1, [(0, 1, -1, [], m.start(), m.end()), (0, 1, 0, _features(text, m.start(), m.end(), GROUP.findall(m[0]), 0), m.start(), m.end())])
+                yield 1, iter([(0, 1, -1, [], m.start(), m.end()), (0, 1, 0, _features(text, m.start(), m.end(), GROUP.findall(m[0]), 0), m.start(), m.end())])
+
+
+def runs_of(text: str) -> Iterator[Run]:
+    for size, edges in lattices_of(text):
+        yield Run(size, list(edges))
 
 
-def _numbers(text: str, groups: list[tuple[int, int]]) -> Run:
-    edges: list = []
+def _numbers(text: str, groups: list[tuple[int, int]]) -> Iterator[tuple]:
     for i, (start, _) in enumerate(groups):
-        edges.append((i, i + 1, -1, [], start, groups[i][1]))
+        yield i, i + 1, -1, [], start, groups[i][1]
         digits = 0
         for j in range(i, min(len(groups), i + MOST_GROUPS)):
             digits += groups[j][1] - groups[j][0]
@@ -142,8 +147,7 @@ def _numbers(text: str, groups: list[tuple[int, int]]) -> Run:
                 if kind == 1 and j - i != 3 or kind == 2 and not 13 <= digits <= 19 or kind == 3 and not 7 <= digits <= 15:
                     continue
                 at = first if kind == 3 else start
-                edges.append((i, j + 1, kind, _features(text, at, groups[j][1], own, kind), at, groups[j][1]))
-    return Run(len(groups), edges)
+                yield i, j + 1, kind, _features(text, at, groups[j][1], own, kind), at, groups[j][1]
 
 
 class SemiMarkovField:
@@ -158,28 +162,11 @@ class SemiMarkovField:
 
     def marginals(self, run: Run, scores: list[float]) -> list[float]:
         """Probability of each edge over all segmentations: forward and backward sums."""
-        ahead, behind = [-math.inf] * (run.size + 1), [-math.inf] * (run.size + 1)
-        ahead[0] = behind[run.size] = 0.0
-        for k in sorted(range(len(scores)), key=lambda k: run.edges[k][0]):
-            a, b = run.edges[k][:2]
-            ahead[b] = _add(ahead[b], ahead[a] + scores[k])
-        for k in sorted(range(len(scores)), key=lambda k: -run.edges[k][1]):
-            a, b = run.edges[k][:2]
-            behind[a] = _add(behind[a], scores[k] + behind[b])
-        return [math.exp(min(0.0, ahead[e[0]] + s + behind[e[1]] - ahead[run.size])) for e, s in zip(run.edges, scores, strict=True)]
+        return _marginals([e[0] for e in run.edges], [e[1] for e in run.edges], run.size, scores, range(len(scores)))
 
     def best(self, run: Run, scores: list[float]) -> list[int]:
         """Edges of the segmentation of greatest score."""
-        top: list[tuple[float, int]] = [(-math.inf, -1)] * (run.size + 1)
-        top[0] = (0.0, -1)
-        for k in sorted(range(len(scores)), key=lambda k: run.edges[k][0]):
-            a, b = run.edges[k][:2]
-            top[b] = max(top[b], (top[a][0] + scores[k], k))
-        out, at = [], run.size
-        while at:
-            out.append(top[at][1])
-            at = run.edges[top[at][1]][0]
-        return out[::-1]
+        return _best([e[0] for e in run.edges], [e[1] for e in run.edges], run.size, scores)
 
     def learn(self, examples: list[tuple[Run, set[tuple[str, int, int]]]], rounds: int = 6, rate: float = 0.3, decay: float = 1e-4) -> SemiMarkovField:
         """Maximum likelihood by adaptive gradient steps; the truth of a run are its spans."""
@@ -198,20 +185,46 @@ class SemiMarkovField:
 
     def find(self, text: str, base: list[tuple[str, int, int]], least: float = LEAST) -> list[tuple[str, int, int]]:
         taken = sorted((a, b) for _, a, b in base)
-        out = []
-        for run in runs_of(text):
-            scores = self.scores(run)
-            chosen = [k for k in self.best(run, scores) if run.edges[k][2] >= 0]
+        out, w = [], self.weights
+        for size, edges in lattices_of(text):
+            # Of an edge numbers are held only, not its features: a run may be as long as the text.
+            left, right, kinds, starts, ends, scores = (array(x) for x in "qqbqqd")
+            for edge in edges:
+                for column, value in zip((left, right, kinds, starts, ends), (*edge[:3], *edge[4:]), strict=True):
+                    column.append(value)
+                scores.append(float(w[edge[3]].sum()) if edge[3] else 0.0)
+            chosen = [k for k in _best(left, right, size, scores) if kinds[k] >= 0]
             if not chosen:
                 continue
-            found = self.marginals(run, scores)
-            for k in chosen:
-                _, _, kind, _, a, b = run.edges[k]
-                if found[k] >= least and not _meets(taken, a, b):
-                    out.append((KINDS[kind], a, b))
+            for k, probability in zip(chosen, _marginals(left, right, size, scores, chosen), strict=True):
+                if probability >= least and not _meets(taken, starts[k], ends[k]):
+                    out.append((KINDS[kinds[k]], starts[k], ends[k]))
         return out
 
 
+def _marginals(left: Sequence[int], right: Sequence[int], size: int, scores: Sequence[float], asked: Iterable[int]) -> list[float]:
+    """Probability of the edges ``asked`` for."""
+    ahead, behind = [-math.inf] * (size + 1), [-math.inf] * (size + 1)
+    ahead[0] = behind[size] = 0.0
+    for k in sorted(range(len(scores)), key=left.__getitem__):
+        ahead[right[k]] = _add(ahead[right[k]], ahead[left[k]] + scores[k])
+    for k in sorted(range(len(scores)), key=lambda k: -right[k]):
+        behind[left[k]] = _add(behind[left[k]], scores[k] + behind[right[k]])
+    return [math.exp(min(0.0, ahead[left[k]] + scores[k] + behind[right[k]] - ahead[size])) for k in asked]
+
+
+def _best(left: Sequence[int], right: Sequence[int], size: int, scores: Sequence[float]) -> list[int]:
+    top: list[tuple[float, int]] = [(-math.inf, -1)] * (size + 1)
+    top[0] = (0.0, -1)
+    for k in sorted(range(len(scores)), key=left.__getitem__):
+        top[right[k]] = max(top[right[k]], (top[left[k]][0] + scores[k], k))
+    out, at = [], size
+    while at:
+        out.append(top[at][1])
+        at = left[top[at][1]]
+    return out[::-1]
+
+
 def _add(a: float, b: float) -> float:
     if a < b:
         a, b = b, a

@@ -1,8 +1,11 @@
 """Whole jobs that a review found cut."""
 
+import zlib
+
 from barloom.llm import decontaminate as dc
 from barloom.llm import line_dedup as ld
 from barloom.llm import main_text as mt
+from barloom.llm import private_data as pd
 
 
 def test_the_pipeline_takes_short_lines_and_those_without_blanks(spark):
@@ -35,3 +38,15 @@ def test_passes_judge_each_row_alone(spark):
     for words in (dc.PHRASE_WORDS, 12):
         kept = dc.drop_contaminated(docs, bench, phrase_words=words)
         assert kept.columns == docs.columns and sorted(r.rest for r in kept.collect()) == [1, 3, 5]
+
+
+def test_a_long_run_of_numbers_is_one_lattice():
+    numbers = [f"{200 + k} 555 {1000 + k}" for k in range(100)]
+    text = "call " + " ".join(numbers)
+    run, = pd.runs_of(text)
+    assert run.size == 300 and len(run.edges) < 300 * 25
+    field = pd.SemiMarkovField()
+    for told, weight in (("1:bias", -10), ("2:bias", -10), ("3:bias", -10), ("3:shape3-3-4", 20)):
+        field.weights[zlib.crc32(told.encode()) % pd.WIDTH] += weight
+    at = [("phone", text.index(x), text.index(x) + len(x)) for x in numbers]
+    assert field.find(text, [], 0.5) == at
