@@ -101,6 +101,16 @@ def _forward(spark, d):
     return result.select("symbol", "bars", "waiting").distinct()
 
 
+@check("holdout_forward_figures")
+def _forward_figures(spark, d):
+    """All rules with their figures, which the twin of ``holdout_forward`` doesn't have."""
+    bars = order_bars(table(spark, d, "orders"))
+    starts = bars.select("symbol", "timeframe").distinct().withColumn("forward_start", F.lit("1998-01-01").cast("timestamp"))
+    result = ho.forward_result(bars, starts, strategy_grid(), vd.periods_per_year(bars, 365.0))
+    reals = ("exposure_pct", "net_return_pct", "sharpe", "sharpe_se", "mean_trade_return_pct", "buy_hold_return_pct")
+    return result.select("symbol", "bars", "waiting", "rule", "trades", "closed_trades", *(rounded(c).alias(c) for c in reals))
+
+
 # --- ledger ------------------------------------------------------------------------------------
 
 

@@ -114,13 +114,13 @@ def _blocks(spark, d):
     """Drawn blocks per series: they cover every position of every replicate exactly once."""
     bars = obars(spark, d)
     sizes = bars.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).withColumn("block", vd.mean_block_length(F.col("n"))).withColumn("seed", F.pmod(F.xxhash64(*KEYS), F.lit(2**32)))
-    blocks = vd.drawn_blocks(sizes, KEYS, 200)
+    blocks = vd.drawn_blocks(sizes, KEYS, vd.REPLICATES)
     return blocks.groupBy("symbol").agg(F.count(F.lit(1)).alias("blocks"), F.sum("length").alias("rows"), rounded(F.avg("length"), 2).alias("mean_length"))
 
 
 @check("verdict_report")
 def _verdict(spark, d):
-    report = vd.verdict(obars(spark, d), replicates=500, correlated=100)
+    report = vd.verdict(obars(spark, d))
     return report["labels"].join(report["effective_n"], KEYS).select("symbol", "label", "rules", "passed", "most_trades", "candidates", rounded("estimate").alias("effective_n"), rounded("low", 3).alias("low"), rounded("high", 3).alias("high"))
 
 
