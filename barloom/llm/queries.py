@@ -75,7 +75,7 @@ def topk(spark, sf_dir):
     return top_k(vectors, every(vectors, 20))
 
 
-from barloom.llm import line_dedup, quotations  # noqa: E402
+from barloom.llm import collocations, line_dedup, quality_rules, quotations, spelling_variants  # noqa: E402
 
 
 @query("op3_line_dedup", line_dedup.SQL)
@@ -116,3 +116,18 @@ def near_duplicates(spark, sf_dir):
     from barloom.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_rules", quality_rules.SQL)
+def quality(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", spelling_variants.SQL)
+def spelling(spark, sf_dir):
+    return spelling_variants.spelling(table(spark, sf_dir, "documents"), damage=spelling_variants.DAMAGE)
+
+
+@query("op13_collocations", collocations.SQL)
+def phrases(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
