@@ -27,7 +27,7 @@ from barloom.llm.storage import stored
 
 MIN_LENGTH, MIN_COUNT, DAMAGE = 5, 3, 97
 #: Letters of the points of a block, points of a leaf, queries that go down a tree together.
-BLOCK_LETTERS, LEAF, TOGETHER = 65_536, 24, 2_048
+BLOCK_LETTERS, LEAF, TOGETHER = 262_144, 32, 16_384
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Counts from here on are one class of the histograms.
 MOST_COUNTED = 8
@@ -56,15 +56,23 @@ def _points(words: list[str]) -> np.ndarray:
 
 
 class LetterTree:
-    """A k-d tree of words of one length."""
+    """A k-d tree of words of one length.
+
+    A count is kept in unary, a bit for each letter and number it reaches, so an L1 distance is the number of bits that
+    differ, and a box is two masks: the bits that all of its points have, and those that some have.
+    """
 
     def __init__(self, words: list[str]):
         self.points = _points(words)
         self.letters = np.unique(self.points)
-        self.kind = np.int16 if self.points.shape[1] < 1 << 14 else np.int32
-        self.vectors = self._vectors(self.points)
-        self.nodes: list[tuple] = []
-        self._grow(np.arange(len(words)))
+        vectors = self._vectors(self.points)
+        self.most = vectors.max(axis=0)
+        self.bit_letter = np.repeat(np.arange(len(self.most)), self.most)
+        self.bit_count = np.arange(len(self.bit_letter)) - np.repeat(np.cumsum(self.most) - self.most, self.most) + 1
+        masks = self._masks(vectors)
+        self.order, self.nodes = np.arange(len(words)), []
+        self._grow(vectors, masks, 0, len(words))
+        self.masks = [m[self.order] for m in masks]
 
     def _vectors(self, points: np.ndarray) -> np.ndarray:
         """Letter counts; the last column counts letters that no point of the tree has."""
@@ -72,43 +80,56 @@ class LetterTree:
         column[(column == len(self.letters)) | (self.letters[np.minimum(column, len(self.letters) - 1)] != points)] = len(self.letters)
         width = len(self.letters) + 1
         flat = (np.arange(len(points))[:, None] * width + column).ravel()
-        return np.bincount(flat, minlength=len(points) * width).reshape(len(points), width).astype(self.kind)
+        return np.bincount(flat, minlength=len(points) * width).reshape(len(points), width).astype(np.int32)
+
+    def _masks(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """64 bits of every word in each array."""
+        bits = np.packbits(vectors[:, self.bit_letter] >= self.bit_count, axis=1, bitorder="little")
+        bits = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8))))
+        return list(np.ascontiguousarray(bits.view(np.uint64).T))
 
-    def _grow(self, own: np.ndarray) -> int:
-        vectors = self.vectors[own]
-        low, high = vectors.min(axis=0), vectors.max(axis=0)
+    def _grow(self, vectors: np.ndarray, masks: list[np.ndarray], start: int, end: int) -> int:
+        own = self.order[start:end]
+        common, some = [np.bitwise_and.reduce(m[own]) for m in masks], [np.bitwise_or.reduce(m[own]) for m in masks]
         place = len(self.nodes)
-        self.nodes.append((low, high, own, -1, -1))
-        if len(own) > LEAF and (high > low).any():
-            letter = int(vectors.var(axis=0, dtype=np.float32).argmax())
-            if high[letter] == low[letter]:
-                letter = int((high - low).argmax())
-            values = vectors[:, letter]
-            left = values < max(np.median(values), low[letter] + 1)
-            a, b = self._grow(own[left]), self._grow(own[~left])
-            self.nodes[place] = (low, high, None, a, b)
+        self.nodes.append((common, some, start, end, -1, -1))
+        if len(own) > LEAF and any(a != b for a, b in zip(common, some, strict=True)):
+            counts = vectors[own]
+            letter = int(counts.var(axis=0, dtype=np.float32).argmax())
+            values = counts[:, letter]
+            left = values < max(np.median(values), values.min() + 1)
+            self.order[start:end] = np.concatenate([own[left], own[~left]])
+            middle = start + int(left.sum())
+            a, b = self._grow(vectors, masks, start, middle), self._grow(vectors, masks, middle, end)
+            self.nodes[place] = (common, some, start, end, a, b)
         return place
 
     def near(self, words: list[str], longer: bool) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a query and a point that one edit leads to. Queries have the points' length, or one letter more."""
         points = _points(words)
         vectors, up = self._vectors(points), 0 if longer else 1
+        masks, over = self._masks(vectors), np.maximum(vectors - self.most, 0).sum(axis=1).astype(np.uint16)
         queries, found, stack = [], [], [(0, np.arange(len(words)))]
         while stack:
             node, asking = stack.pop()
-            low, high, own, a, b = self.nodes[node]
-            at = vectors[asking]
-            asking = asking[(np.maximum(at - high, 0).sum(axis=1) <= 1) & (np.maximum(low - at, 0).sum(axis=1) <= up)]
+            common, some, start, end, a, b = self.nodes[node]
+            less, more = over[asking], np.zeros(len(asking), np.uint16)
+            for mask, low, high in zip(masks, common, some, strict=True):
+                own = mask[asking]
+                less += np.bitwise_count(own & ~high)
+                more += np.bitwise_count(low & ~own)
+            asking = asking[(less <= 1) & (more <= up)]
             if not len(asking):
                 continue
-            if own is None:
+            if a >= 0:
                 stack += [(a, asking), (b, asking)]
                 continue
-            apart = vectors[asking][:, None, :] - self.vectors[own][None]
-            hit = np.abs(apart).sum(axis=2) == (1 if longer else 2)
-            q, p = np.nonzero(hit)
+            apart = np.repeat(over[asking][:, None], end - start, axis=1)
+            for mask, held in zip(masks, self.masks, strict=True):
+                apart += np.bitwise_count(mask[asking][:, None] ^ held[start:end])
+            q, p = np.nonzero(apart == (1 if longer else 2))
             queries.append(asking[q])
-            found.append(own[p])
+            found.append(self.order[start + p])
         if not queries:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         q, p = np.concatenate(queries), np.concatenate(found)
@@ -212,7 +233,7 @@ class _Block:
             self.words.append(word)
             self.counts.append(n)
             return
-        if side != self.asking[0] or len(self.asking[1]) >= max(1, min(TOGETHER, BLOCK_LETTERS * 4 // len(word))):
+        if side != self.asking[0] or len(self.asking[1]) >= max(1, min(TOGETHER, BLOCK_LETTERS // len(word))):
             self.flush()
             self.asking = (side, [], [])
         self.asking[1].append(word)
@@ -248,7 +269,9 @@ def near_words(vocabulary: DataFrame, block_letters: int = BLOCK_LETTERS) -> Dat
         block.flush()
         yield table(block.found)
 
-    rows = placed.select("length", "cell", "block", "side", "word", "n").repartition("length", "cell", "block").sortWithinPartitions("length", "cell", "block", "side", "word")
+    # The rows are few and costly: with a number given, they aren't coalesced into few tasks.
+    tasks = int(vocabulary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = placed.select("length", "cell", "block", "side", "word", "n").repartition(tasks, "length", "cell", "block").sortWithinPartitions("length", "cell", "block", "side", "word")
     found = rows.mapInArrow(run, "word string, near long, most long, form string")
     best = F.min(F.struct((-F.col("most")).alias("less"), F.col("form").alias("word")))
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("top")).select("word", "n_near", F.struct(F.col("top.word").alias("word"), (-F.col("top.less")).alias("n")).alias("top"))
