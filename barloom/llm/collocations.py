@@ -27,7 +27,9 @@ from barloom.llm.storage import stored
 
 SUPPORT, MOST_WORDS, TOP, COVERED, SCALE, UNKNOWN = 30, 4, 2000, 80, 2_000_000, "und"
 #: Words that a task holds at a time, shards at least (for parallel work), bytes of text a shard is planned for.
-SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 8_000_000, 12, 48 << 20
+SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 4_000_000, 12, 24 << 20
+#: Characters split, and phrases given, at a time.
+SPLIT_CHARS, YIELDED = 1 << 22, 100_000
 #: Bits of the filter for a candidate, and its bounds (8 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 #: Languages whose size the driver keeps; texts of others are mined at a support of one, which is as exact.
@@ -68,11 +70,11 @@ class Text:
         """All phrases found ``support`` times or more, of one word up to ``most_words``, and their counts. With
         ``admits`` only those whose hash it lets pass, as do those of all that they begin and end with."""
         ids = np.concatenate(self.parts)
-        words, n, base = list(self.number), len(ids), len(self.number)
-        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, base) if admits else None
+        words, n, base = list(self.number), len(ids), np.int64(len(self.number))
+        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) if admits else None
         known = np.full(n if admits else 0, seed, np.uint64)
-        phrase = np.zeros(n, np.int64)  # number of the phrase, one word shorter, that starts at each place
-        at = np.flatnonzero(ids)
+        phrase = np.zeros(n, np.int32)  # number of the phrase, one word shorter, that starts at each place
+        at = np.flatnonzero(ids).astype(np.int32)
         for size in range(1, most_words + 1):
             if size > 1:
                 at = at[at + 1 < n]
@@ -82,14 +84,21 @@ class Text:
                 at = at[admits(known[at])]
             if not len(at):
                 return
-            _, first, inverse, counts = np.unique(phrase[at] * base + ids[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
+            # Equal phrases become neighbours; each group of enough gets the next number.
+            codes = phrase[at] * base + ids[at + size - 1]
+            order = np.argsort(codes, kind="stable")
+            at, codes = at[order], codes[order]
+            del order
+            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+            del codes
+            counts = np.diff(np.append(starts, len(at)))
             often = counts >= support
-            example = at[first[often]]
-            yield [b" ".join([words[i] for i in ids[a : a + size]]).decode() for a in example.tolist()], counts[often]
-            kept, number = often[inverse], np.cumsum(often) - 1
-            at = at[kept]
-            phrase = np.full(n, -1, np.int64)
-            phrase[at] = number[inverse[kept]]
+            for some in np.array_split(np.flatnonzero(often), 1 + int(often.sum()) // YIELDED):
+                yield [b" ".join([words[i] for i in ids[p : p + size]]).decode() for p in at[starts[some]].tolist()], counts[some]
+            phrase = np.full(n, -1, np.int32)
+            at = at[np.repeat(often, counts)]
+            phrase[at] = np.repeat(np.arange(often.sum(), dtype=np.int32), counts[often])
+            at.sort()
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dict[str, Text]]:
@@ -100,7 +109,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dic
         size = 0
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             texts[lang].append(text)
-            if (size := size + len(text)) > 1 << 24:
+            if (size := size + len(text)) > SPLIT_CHARS:
                 for lang, some in texts.items():
                     shard[lang].add(some)
                 texts.clear()
@@ -110,8 +119,7 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dic
         if sum(t.words for t in shard.values()) > shard_words:
             yield shard
             shard = defaultdict(Text)
-    if shard:
-        yield shard
+    yield shard
 
 
 def _table(lang: str, phrases: list[str | None], counts: np.ndarray, hidden: int | None = None) -> pa.RecordBatch:
@@ -128,7 +136,8 @@ def mined(texts: DataFrame, totals: dict[str, int], support: int, most_words: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_words):
-            for lang, text in shard.items():
+            while shard:
+                lang, text = shard.popitem()
                 # The shares of all shards add up to one: a phrase is at or above its share of the support somewhere.
                 own = max(1, -(-support * text.bytes // totals[lang])) if lang in totals else 1
                 yield _table(lang, [None], np.array([text.words]), own - 1)
@@ -184,7 +193,8 @@ def _counted(texts: DataFrame, bits: np.ndarray, most_words: int, shard_words: i
             return ok
 
         for shard in _shards(batches, shard_words):
-            for lang, text in shard.items():
+            while shard:
+                lang, text = shard.popitem()
                 for phrases, counts in text.phrases(most_words, 1, admits, _seed(lang)):
                     yield _table(lang, phrases, counts)
 
@@ -246,7 +256,8 @@ def collocations(docs: DataFrame, text_column: str = "text", lang_column: str =
 SQL = r"""
 WITH low AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
 ), pieces AS (SELECT lang, id, generate_subscripts(p, 1) AS piece, unnest(p) AS piece_text FROM (SELECT lang, id, regexp_split_to_array(text, '[.,;:!?
--]') AS p FROM low)
+-
+]') AS p FROM low)
 ), w AS (SELECT lang, id, piece, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM (SELECT lang, id, piece, regexp_extract_all(piece_text, '[^ 	]+') AS ws FROM pieces)
 ), g AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY id, piece ORDER BY i)
 ), said AS (
