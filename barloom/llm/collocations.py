@@ -27,9 +27,9 @@ from barloom.llm.storage import stored
 
 SUPPORT, MOST_WORDS, TOP, COVERED, SCALE, UNKNOWN = 30, 4, 2000, 80, 2_000_000, "und"
 #: Words that a task holds at a time, shards at least (for parallel work), bytes of text a shard is planned for.
-SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 4_000_000, 12, 24 << 20
-#: Characters split, and phrases given, at a time.
-SPLIT_CHARS, YIELDED = 1 << 22, 100_000
+SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 16_000_000, 12, 64 << 20
+#: Characters split, places sorted, and phrases given, at a time.
+SPLIT_CHARS, SORTED, YIELDED = 1 << 22, 1_000_000, 100_000
 #: Bits of the filter for a candidate, and its bounds (8 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 #: Languages whose size the driver keeps; texts of others are mined at a support of one, which is as exact.
@@ -84,21 +84,22 @@ class Text:
                 at = at[admits(known[at])]
             if not len(at):
                 return
-            # Equal phrases become neighbours; each group of enough gets the next number.
-            codes = phrase[at] * base + ids[at + size - 1]
-            order = np.argsort(codes, kind="stable")
-            at, codes = at[order], codes[order]
-            del order
-            starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            del codes
-            counts = np.diff(np.append(starts, len(at)))
-            often = counts >= support
-            for some in np.array_split(np.flatnonzero(often), 1 + int(often.sum()) // YIELDED):
-                yield [b" ".join([words[i] for i in ids[p : p + size]]).decode() for p in at[starts[some]].tolist()], counts[some]
-            phrase = np.full(n, -1, np.int32)
-            at = at[np.repeat(often, counts)]
-            phrase[at] = np.repeat(np.arange(often.sum(), dtype=np.int32), counts[often])
-            at.sort()
+            # Equal phrases become neighbours, a part of the places at a time; each group of enough gets the next number.
+            parts, grown, last = 1 + len(at) // SORTED, np.full(n, -1, np.int32), 0
+            for part in range(parts):
+                own = at[(phrase[at] + ids[at + size - 1]) % parts == part] if parts > 1 else at
+                codes = phrase[own] * base + ids[own + size - 1]
+                order = np.argsort(codes)
+                own, codes = own[order], codes[order]
+                starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(own)])
+                counts = np.diff(np.append(starts, len(own)))
+                often = counts >= support
+                for some in np.array_split(np.flatnonzero(often), 1 + int(often.sum()) // YIELDED):
+                    yield [b" ".join([words[i] for i in ids[p : p + size]]).decode() for p in own[starts[some]].tolist()], counts[some]
+                grown[own[np.repeat(often, counts)]] = np.repeat(np.arange(last, last + often.sum(), dtype=np.int32), counts[often])
+                last += int(often.sum())
+            phrase = grown
+            at = np.flatnonzero(phrase >= 0).astype(np.int32)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dict[str, Text]]:
