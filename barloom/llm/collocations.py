@@ -1,12 +1,15 @@
 """Phrase collocations by the partition method (SON).
 
-1. The text is cut into shards of a bounded number of words. A shard is mined completely, level by level, at its share
-   of the support: a phrase that occurs ``support`` times in all has that share in one shard at least. So the union of
-   what shards find holds every frequent phrase.
+1. The text is cut into shards of a bounded number of words. A shard is mined completely at its share of the support: a
+   phrase that occurs ``support`` times in all has that share in one shard at least. So the union of what shards find
+   holds every frequent phrase.
 2. A shard that is silent about a phrase holds it less often than its own support. These bounds drop candidates that
    can't get there, and tell which ones are counted already: those that no shard can hide.
-3. If any are left open, all candidates are counted in all shards. They are told from other phrases by a Bloom filter
-   of bounded size; what passes it by mistake is counted too, and falls with the support.
+3. Phrases of one word are mined first, then longer ones, of candidates only: beyond some thirty shards a share of the
+   support is a single occurrence, and then it is the candidates of all shards that keep a shard from telling of
+   everything it holds. They are told from other phrases by a Bloom filter of bounded size.
+4. If any candidate is left open, all are counted in all shards, by the same filter; what passes it by mistake is
+   counted too, and falls with the support.
 
 Phrases of up to four words and of one are counted alike, so the parts of every phrase are in the same table. Scores,
 containment and ranks are DataFrame work.
@@ -27,11 +30,11 @@ from barloom.llm.storage import stored
 
 SUPPORT, MOST_WORDS, TOP, COVERED, SCALE, UNKNOWN = 30, 4, 2000, 80, 2_000_000, "und"
 #: Words that a task holds at a time, shards at least (for parallel work), bytes of text a shard is planned for.
-SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 16_000_000, 12, 64 << 20
+SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 8_000_000, 12, 32 << 20
 #: Characters split, places sorted, and phrases given, at a time.
 SPLIT_CHARS, SORTED, YIELDED = 1 << 22, 1_000_000, 100_000
-#: Bits of the filter for a candidate, and its bounds (8 MB at most).
-BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
+#: Bits of the filter for a candidate, and its bounds (16 MB at most).
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Languages whose size the driver keeps; texts of others are mined at a support of one, which is as exact.
 MOST_LANGUAGES = 1000
 #: A-Z are lower-cased; . , ; : ! ? and line ends (0A-0D) end a piece. FF isn't a byte of any text.
@@ -66,9 +69,10 @@ class Text:
         self.words += int((ids > 0).sum())
         self.parts.append(ids)
 
-    def phrases(self, most_words: int, support: int, admits: Callable[[np.ndarray], np.ndarray] | None = None, seed: int = 0) -> Iterator[tuple[list[str], np.ndarray]]:
+    def phrases(self, most_words: int, support: int, admits: Callable[[np.ndarray], np.ndarray] | None = None, seed: int = 0, only: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
         """All phrases found ``support`` times or more, of one word up to ``most_words``, and their counts. With
-        ``admits`` only those whose hash it lets pass, as do those of all that they begin and end with."""
+        ``admits`` only those whose hash it lets pass, as do those of all that they begin and end with. With ``only``
+        those of this many words, which needn't pass themselves."""
         ids = np.concatenate(self.parts)
         words, n, base = list(self.number), len(ids), np.int64(len(self.number))
         hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) if admits else None
@@ -79,7 +83,7 @@ class Text:
             if size > 1:
                 at = at[at + 1 < n]
                 at = at[phrase[at + 1] >= 0]
-            if admits:
+            if admits and size != only:
                 known[at] = mixed(known[at], hashes[ids[at + size - 1]])
                 at = at[admits(known[at])]
             if not len(at):
@@ -94,7 +98,7 @@ class Text:
                 starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(own)])
                 counts = np.diff(np.append(starts, len(own)))
                 often = counts >= support
-                for some in np.array_split(np.flatnonzero(often), 1 + int(often.sum()) // YIELDED):
+                for some in np.array_split(np.flatnonzero(often), 1 + int(often.sum()) // YIELDED) if only in (None, size) else ():
                     yield [b" ".join([words[i] for i in ids[p : p + size]]).decode() for p in own[starts[some]].tolist()], counts[some]
                 grown[own[np.repeat(often, counts)]] = np.repeat(np.arange(last, last + often.sum(), dtype=np.int32), counts[often])
                 last += int(often.sum())
@@ -130,19 +134,22 @@ def _table(lang: str, phrases: list[str | None], counts: np.ndarray, hidden: int
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def mined(texts: DataFrame, totals: dict[str, int], support: int, most_words: int = MOST_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``lang, phrase, n, hidden``: what each shard finds at its share of the support, and how often it may hold a phrase
-    it doesn't tell of. One row a shard and language has no phrase and the number of words. ``totals`` are bytes of text
-    by language; a language without gets all its phrases."""
+def mined(texts: DataFrame, totals: dict[str, int], support: int, words: int, bits: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``lang, phrase, n, hidden``: what each shard finds of phrases of ``words`` words at its share of the support, and
+    how often it may hold a phrase it doesn't tell of. One row a shard and language has no phrase and the number of
+    words. ``totals`` are bytes of text by language; a language without gets all its phrases. ``bits`` filters what
+    phrases begin and end with."""
+    sent = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        admits = sent and passing(sent.value)
         for shard in _shards(batches, shard_words):
             while shard:
                 lang, text = shard.popitem()
                 # The shares of all shards add up to one: a phrase is at or above its share of the support somewhere.
                 own = max(1, -(-support * text.bytes // totals[lang])) if lang in totals else 1
                 yield _table(lang, [None], np.array([text.words]), own - 1)
-                for phrases, counts in text.phrases(most_words, own):
+                for phrases, counts in text.phrases(words, own, admits, _seed(lang), words):
                     yield _table(lang, phrases, counts, own - 1)
 
     return texts.mapInArrow(run, "lang string, phrase string, n long, hidden long")
@@ -180,19 +187,25 @@ def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)
 
 
+def passing(content: bytes) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether hashes pass a filter."""
+    table = np.frombuffer(content, np.uint64)
+
+    def admits(hashes: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(hashes), bool)
+        for place in _places(hashes, len(table) * 64):
+            ok &= (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return ok
+
+    return admits
+
+
 def _counted(texts: DataFrame, bits: np.ndarray, most_words: int, shard_words: int) -> DataFrame:
     """``lang, phrase, n`` of each shard for all phrases that pass the filter."""
     sent = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(sent.value, np.uint64)
-
-        def admits(hashes: np.ndarray) -> np.ndarray:
-            ok = np.ones(len(hashes), bool)
-            for place in _places(hashes, len(table) * 64):
-                ok &= (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-            return ok
-
+        admits = passing(sent.value)
         for shard in _shards(batches, shard_words):
             while shard:
                 lang, text = shard.popitem()
@@ -210,17 +223,26 @@ def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: st
     totals = {r.lang: r.bytes for r in sizes}
     # Fewer and larger shards have a larger share of the support; coalescing moves no rows.
     dealt = texts.coalesce(shards or max(LEAST_SHARDS, sum(totals.values()) // shard_bytes))
-    local = stored(mined(dealt, totals, support, most_words, shard_words), "mined")
-    words = local.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("hidden").alias("all_hidden"))
-    found = local.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.sum("hidden").alias("told"))
-    open_ = F.col("all_hidden") - F.col("told")
-    bounded = found.join(words.select("lang", "all_hidden"), "lang").where(F.col("f") + open_ >= support)
-    candidates = stored(bounded.select("lang", "phrase", "f", (open_ > 0).alias("open")), "candidates")
-    n = candidates.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
-    if n.open:
-        counts = _counted(dealt, phrase_filter(candidates, n.n), most_words, shard_words).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    words, candidates, bits, n, any_open = None, None, None, 0, 0
+    for size in range(1, most_words + 1):
+        local = stored(mined(dealt, totals, support, size, bits, shard_words), "mined")
+        shards_ = local.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("hidden").alias("all_hidden"))
+        found = local.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.sum("hidden").alias("told"))
+        open_ = F.col("all_hidden") - F.col("told")
+        bounded = found.join(shards_.select("lang", "all_hidden"), "lang").where(F.col("f") + open_ >= support)
+        level = stored(bounded.select("lang", "phrase", "f", (open_ > 0).alias("open")), "candidates")
+        words = words or shards_.select("lang", "n")
+        candidates = level if candidates is None else candidates.unionByName(level)
+        more = level.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
+        n, any_open = n + more.n, any_open + more.open
+        if not more.n:
+            break
+        if size < most_words or any_open:
+            bits = phrase_filter(candidates, n)
+    if any_open:
+        counts = _counted(dealt, bits, most_words, shard_words).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
         candidates = stored(counts.where(F.col("f") >= support), "counted")
-    return candidates.select("lang", "phrase", "f"), words.select("lang", "n")
+    return candidates.select("lang", "phrase", "f"), words
 
 
 def _big(column: Column) -> Column:
