@@ -32,7 +32,7 @@ SUPPORT, MOST_WORDS, TOP, COVERED, SCALE, UNKNOWN = 30, 4, 2000, 80, 2_000_000,
 #: Words that a task holds at a time, shards at least (for parallel work), bytes of text a shard is planned for.
 SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 8_000_000, 12, 32 << 20
 #: Characters split, places sorted, and phrases given, at a time.
-SPLIT_CHARS, SORTED, YIELDED = 1 << 22, 1_000_000, 100_000
+SPLIT_CHARS, SORTED, YIELDED = 1 << 20, 500_000, 50_000
 #: Bits of the filter for a candidate, and its bounds (16 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Languages whose size the driver keeps; texts of others are mined at a support of one, which is as exact.
@@ -84,8 +84,11 @@ class Text:
                 at = at[at + 1 < n]
                 at = at[phrase[at + 1] >= 0]
             if admits and size != only:
-                known[at] = mixed(known[at], hashes[ids[at + size - 1]])
-                at = at[admits(known[at])]
+                passed = []
+                for part in np.array_split(at, 1 + len(at) // SORTED):
+                    known[part] = h = mixed(known[part], hashes[ids[part + size - 1]])
+                    passed.append(part[admits(h)])
+                at = np.concatenate(passed)
             if not len(at):
                 return
             # Equal phrases become neighbours, a part of the places at a time; each group of enough gets the next number.
@@ -107,20 +110,21 @@ class Text:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dict[str, Text]]:
-    """The texts of a task by language; a new shard begins when one is full. A batch is cut at long texts."""
+    """The texts of a task by language; a new shard begins when one is full. A batch is split a part at a time."""
     shard: defaultdict[str, Text] = defaultdict(Text)
     for batch in batches:
         texts: defaultdict[str, list[str]] = defaultdict(list)
         size = 0
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            texts[lang].append(text)
-            if (size := size + len(text)) > SPLIT_CHARS:
-                for lang, some in texts.items():
-                    shard[lang].add(some)
-                texts.clear()
+        for start in range(0, batch.num_rows, 500):
+            some = batch.slice(start, 500)
+            for lang, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                texts[lang].append(text)
+                size += len(text)
+            if size > SPLIT_CHARS or start + 500 >= batch.num_rows:
+                while texts:
+                    lang, own = texts.popitem()
+                    shard[lang].add(own)
                 size = 0
-        for lang, some in texts.items():
-            shard[lang].add(some)
         if sum(t.words for t in shard.values()) > shard_words:
             yield shard
             shard = defaultdict(Text)
