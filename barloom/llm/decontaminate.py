@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.llm.byte_bpe import blocks
-from barloom.llm.storage import stored
+from barloom.llm.storage import own_columns, stored
 
 FOUND = T.StructType().add("n_words", T.LongType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("items", T.ArrayType(T.StringType()))
 #: Words of a phrase; text characters of a shard; words of items in one pass; distance of sampled suffixes.
@@ -124,7 +124,9 @@ class Phrases:
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words_of(text)]
             for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(str(item))
+                owners = found.setdefault(tuple(ids[at : at + window]), set())
+                if item is not None:
+                    owners.add(str(item))
         self.owners = [sorted(x) for x in found.values()]
         self.lengths = np.array([len(p) for p in found] or [0], np.int64)[: len(found)]
         self.symbols = np.array([(*p, *repeat(0, window - len(p))) for p in found], np.int64).reshape(len(found), window)
@@ -214,12 +216,12 @@ def find_phrases(
     named like the three are replaced): the merged spans of words (end exclusive) inside an
     occurrence of a window of an item, and the ids (as text, sorted) of the items with such windows.
 
-    A NULL or empty text has no words, an item without words no window; items without id are left out. Every row of
+    A NULL or empty text has no words, an item without words no window; items without id hit words, but aren't among ``items``. Every row of
     ``docs`` is judged alone, also where ids repeat or are NULL, however many passes there are: beyond one, the rows
     are written with a key of their own, and each pass is written before the next part of the benchmark is sent.
     Other columns aren't read. An empty benchmark hits nothing.
     """
-    items = benchmark.select(benchmark[item_column].cast("string").alias("item"), benchmark[item_text_column].cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = benchmark.select(benchmark[item_column].cast("string").alias("item"), benchmark[item_text_column].cast("string").alias("text")).where("text IS NOT NULL")
     # A word takes two bytes with its gap at least: half the text bounds the words, and decides the passes.
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first().n // 2
     passes = max(1, -(-size // phrase_words))
@@ -277,7 +279,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, **opt
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with their columns."""
-    found = find_phrases(docs, benchmark, carry=True, **options)
-    return found.where(~is_contaminated(one_in)).select(*docs.columns)
+    """The rows of ``docs`` that aren't contaminated, with their columns, whatever their names."""
+    text = options.pop("text_column", "text")
+    packed = docs.select(F.struct(*(c.alias(f"c{k}") for k, c in enumerate(own_columns(docs)) if docs.columns[k] != text), F.lit(0).alias("none")).alias("doc"), docs[text].alias("text"))
+    kept = find_phrases(packed, benchmark, carry=True, **options).where(~is_contaminated(one_in))
+    return kept.select(*(F.col("text").alias(name) if name == text else F.col(f"doc.c{k}").alias(name) for k, name in enumerate(docs.columns)))
 

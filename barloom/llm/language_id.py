@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.storage import fresh, own_columns
+
 DIMENSIONS, NGRAM, TRAIN_ROWS, MOST_LANGUAGES, UNKNOWN = 1024, 3, 20_000, 1000, "und"
 #: N-gram vectors that a worker keeps (64 MB at 1,024 dimensions), and n-grams added at a time.
 KEPT, STEP = 65_536, 8_192
@@ -137,24 +139,39 @@ def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col
     A NULL or empty text and one without a letter get ``und`` and 0, as does everything where no language was
     learned. Rows that repeat give rows that repeat. Columns named like the two results are replaced; others stay.
     """
+    return _scored(docs.drop("lang_pred", "score"), model, text_column, n, ["lang_pred", "score"])
+
+
+def drop_unreadable(docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", n: int = NGRAM) -> DataFrame:
+    """The rows of ``docs`` in whose text the operator finds letters to tell a language by, with their columns as they are,
+    whatever their names. NULL and empty texts and those without a letter go. No row goes by the name or cosine it gets,
+    also where nothing was learned or a language is called ``und``."""
+    names = fresh(docs, "lang_pred", "score", "letters")
+    return _scored(docs, model, text_column, n, names).where(F.col(names[2])).select(*own_columns(docs))
+
+
+def _scored(rows: DataFrame, model: tuple[list[str], np.ndarray], text_column: str, n: int, added: list[str]) -> DataFrame:
+    """``rows`` with the columns ``added``: language, cosine and, where named, whether there is a letter."""
     langs, prototypes = model
     if not langs:
         prototypes = np.zeros((0, DIMENSIONS))
-    rows = docs.drop("lang_pred", "score")
     place = rows.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, weights = Space(prototypes.shape[1], n), prototypes.astype(np.float32)
         for batch in batches:
-            names, scores = [], []
+            names, scores, letters = [], [], []
             for text in batch.column(place):
                 vector = space.bundle(text.as_py()) if langs else None
+                letters.append(vector is not None or (not langs and len(letters_of(text.as_py())) > 0))
                 cosines = [0.0] if vector is None else (weights @ vector).tolist()
                 scores.append(min(1.0, max(0.0, best := max(cosines))))
                 names.append(UNKNOWN if vector is None else langs[cosines.index(best)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            more = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(letters, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more[: len(added)]], names=[*batch.schema.names, *added])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(a, t) for a, t in zip(added, kinds, strict=False))]))
 
 
 def held_out(id_column: Column | str = "doc_id", fold: int = 1, folds: int = 3) -> Column:

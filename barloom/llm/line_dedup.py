@@ -1,6 +1,6 @@
 """Line dedup by distinct-site spread, with DataFrame functions only.
 
-Every line of ``min_words`` words or more is hashed. Per hash a HyperLogLog sketch of the sites it stands on is built
+Every line of ``min_words`` words or more (by default all but those of white space) is hashed. Per hash a HyperLogLog sketch of the sites it stands on is built
 by partial aggregation and merged, so one line on every page of the web is one small row per task. Lines whose
 estimate is within ``band`` standard errors of the threshold are counted exactly. A line on ``min_sites`` sites or more
 is boilerplate: its first occurrence (least document id, then line number) stays, so that nothing is lost from the
@@ -14,9 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.storage import stored
+from barloom.llm.storage import fresh, stored
 
-MIN_SITES, MIN_WORDS, LOG_REGISTERS, BAND = 10, 3, 10, 4.0
+MIN_SITES, MIN_WORDS, LOG_REGISTERS, BAND = 10, 1, 10, 4.0
 
 
 def lines_of(docs: DataFrame, id_column: str, text_column: str, site_column: str, min_words: int) -> DataFrame:
@@ -65,29 +65,30 @@ def dedup_lines(
     added here is replaced. An empty table gives an
     empty one.
     """
+    own_lines, own_id, own_drop = fresh(docs, "__lines", "__id", "__drop")
     lines = lines_of(docs, id_column, text_column, site_column, min_words)
     found = boilerplate(lines, min_sites, log_registers)
     marked = lines.where("id IS NOT NULL").join(found, ["a", "b"]).where(~(F.col("first_id").eqNullSafe(F.col("id")) & F.col("first_at").eqNullSafe(F.col("at"))))
-    drops = marked.groupBy("id").agg(F.collect_set("at").alias("drop")).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
+    drops = marked.groupBy("id").agg(F.collect_set("at").alias("drop")).select(F.col("id").alias(own_id), F.col("drop").alias(own_drop))
     # The lines are a column of the join's input: what is picked from them below isn't split again.
-    cut = docs.withColumn("__lines", F.split(docs[text_column].cast("string"), "\n")).drop(text_column)
-    joined = cut.join(drops, cut[id_column] == drops["__id"], "left")
-    return joined.select(*[_column(name, text_column) for name in docs.columns if name not in (n_lines, n_removed)], F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias(n_removed)).withColumns({n_lines: F.greatest(F.col(n_lines), F.lit(0)), n_removed: F.greatest(F.col(n_removed), F.lit(0))})
+    cut = docs.withColumn(own_lines, F.split(docs[text_column].cast("string"), "\n")).drop(text_column)
+    joined = cut.join(drops, cut[id_column] == drops[own_id], "left")
+    return joined.select(*[_column(name, text_column, own_lines, own_drop) for name in docs.columns if name not in (n_lines, n_removed)], F.coalesce(F.size(own_lines), F.lit(0)).cast("long").alias(n_lines), F.coalesce(F.size(own_drop), F.lit(0)).cast("long").alias(n_removed)).withColumns({n_lines: F.greatest(F.col(n_lines), F.lit(0)), n_removed: F.greatest(F.col(n_removed), F.lit(0))})
 
 
-def _column(name: str, text_column: str) -> Column:
+def _column(name: str, text_column: str, lines: str, drop: str) -> Column:
     if name != text_column:
         return F.col(f"`{name}`")
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    kept = F.transform(numbers, lambda at: F.get(F.col("__lines"), at))
-    return F.when(F.col("__drop").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(kept, "\n")).alias(name)
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
+    kept = F.transform(numbers, lambda at: F.get(F.col(lines), at))
+    return F.when(F.col(drop).isNull(), F.array_join(lines, "\n")).otherwise(F.array_join(kept, "\n")).alias(name)
 
 
 SQL = r"""
 WITH cut AS (
     SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents
 ), keyed AS (
-    SELECT *, trim(line, ' ') AS k, len(regexp_split_to_array(trim(line, ' '), '[ \t\n\x0B\f\r]+')) >= 3 AND trim(line, ' ') <> '' AS counts FROM cut
+    SELECT *, trim(line, ' ') AS k, regexp_matches(line, '[^ \t\n\x0B\f\r]') AS counts FROM cut
 ), spread AS (
     SELECT k FROM keyed WHERE counts GROUP BY k HAVING count(DISTINCT source) >= 10
 ), placed AS (

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.decontaminate import FOLD
-from barloom.llm.storage import stored
+from barloom.llm.storage import fresh, own_columns, stored
 
 WORDS, THRESHOLD, TOLERANCE, BANDS, ROWS, STEP, BLOCK = 5, 0.8, 1e-9, 32, 4, 16, 256
 _RNG = np.random.default_rng(17)
@@ -286,16 +286,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``id_column, class_id, kind_id, n_links`` per document: the least id of its class (documents that links connect),
-    the least id with the same shingles, and how many other documents reach the threshold with it.
-
-    Documents without a word are alone. See ``link_kinds`` for nulls and repeats. An empty table gives none.
-    """
-    members, found = link_kinds(docs, id_column, text_column, **options)
+def row_duplicates(rows: DataFrame, id_column: str = "row", text_column: str = "text", **options) -> DataFrame:
+    """``id_column, class_id, kind_id, n_links`` per row of ``rows``, whose ids differ: the least id of its class (rows that
+    links connect), the least id with the same shingles, and how many other rows reach the threshold with it. Rows
+    without a word are alone."""
+    members, found = link_kinds(rows, id_column, text_column, **options)
     sizes = members.where("rep IS NOT NULL").groupBy("rep").agg(F.count("*").alias("n"))
     linked = found.groupBy(F.col("id").alias("rep")).agg(F.sum("others").alias("others"))
     edges = found.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     facts = sizes.join(linked, "rep", "left").join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
     facts = facts.select("rep", F.coalesce("class", "rep").alias("class"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return members.join(facts, "rep", "left").select(F.col("id").alias(id_column), F.coalesce("class", "id").alias("class_id"), F.coalesce("rep", "id").alias("kind_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """``id_column, class_id, kind_id, n_links`` per row with an id: the least id of its class (documents that links
+    connect), the least id with the same shingles, and how many other documents reach the threshold with it.
+
+    Rows are compared by a stored number of their own, so every row of a repeated id is a document with its own text and
+    gets a row. Rows without id take no part; documents without a word are alone. Other columns aren't read. An empty
+    table gives none.
+    """
+    rows = docs.where(docs[id_column].isNotNull()).select(F.monotonically_increasing_id().alias("row"), docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
+    rows = stored(rows, "rows")
+    found = row_duplicates(rows.select("row", "text"), **options).join(rows.select("row", "id"), "row")
+    kinds = found.groupBy("class_id", "kind_id").agg(F.min("id").alias("kind"))
+    classes = kinds.groupBy("class_id").agg(F.min("kind").alias("class"))
+    named = found.join(kinds, ["class_id", "kind_id"]).join(classes, "class_id")
+    return named.select(F.col("id").alias(id_column), F.col("class").alias("class_id"), F.col("kind").alias("kind_id"), "n_links")
+
+
+def one_of_each(docs: DataFrame, text_column: str = "text", **options) -> DataFrame:
+    """Of each class of near duplicates one row of ``docs``, with all its columns; rows that repeat, and those without id,
+    are documents like others. Rows without a word all stay."""
+    (row,) = fresh(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    dropped = row_duplicates(rows.select(F.col(row).alias("row"), F.col(f"`{text_column}`").cast("string").alias("text")), **options).where("class_id <> row").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*own_columns(docs))

@@ -15,7 +15,8 @@ def test_the_pipeline_takes_short_lines_and_those_without_blanks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert got[0] == rows[0][1] and all(got[i] == f"\r\nonly {i} here\n\t" for i in range(1, 12))
-    assert {r.n_removed for r in ld.dedup_lines(docs).where("doc_id > 0").collect()} == {0}
+    assert {r.n_removed for r in ld.dedup_lines(docs).where("doc_id > 0").collect()} == {2}
+    assert {r.n_removed for r in ld.dedup_lines(docs, min_words=3).collect()} == {0}
 
 
 def test_names_made_from_titles_cut_nothing_of_an_article():

@@ -215,3 +215,38 @@ def test_the_filter_of_phrases_and_the_empty_table(spark):
     assert {"w1", "x1", "w1 x1"} <= set(found) and "x1 w2" not in found
     assert co.collocations(table(spark, [])).collect() == []
     assert co.collocations(table(spark, [(1, None, None, None), (2, " . ", "a", "en")])).collect() == []
+
+
+# --- the pipeline keeps rows and columns -------------------------------------------------------
+
+
+@pytest.mark.parametrize("langs", [None, "und", "en"])
+def test_the_pipeline_keeps_clean_documents_and_columns(spark, langs):
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ter") for b in ("ne", "sa", "r", "tup")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score string, lang_pred string, spans int, n_lines int, __drop int, __id int, row int, doc int, items int"
+    clean = [(k // 2, prose(rng, 40, words), langs, f"s{k}") for k in range(20)]
+    rows = clean + [clean[0], clean[0], (None, clean[1][1], None, None), (50, None, langs, "s"), (51, " 12 ", langs, None), (52, "x " * 50_000, None, "s")]
+    docs = spark.createDataFrame([(*r, 1, 777, "mine", "mine", 8, 9, 10, 11, 12, 13, 14) for r in rows], names)
+
+    def stage(name, df, folder=None):
+        return dict(cp.STAGES)[name](spark, df, folder)
+
+    read = stage("language_id", docs)
+    assert read.columns == docs.columns and read.count() == len(rows) - 2
+    cut = stage("line_dedup", read)
+    one = stage("ngram_jaccard_join", cut)
+    assert one.columns == docs.columns
+    got = one.collect()
+    assert sorted(r.text.strip() for r in got) == sorted({r[1].strip() for r in rows if r[1] and r[0] != 51})
+    assert {tuple(r)[5:] for r in got} == {(777, "mine", "mine", 8, 9, 10, 11, 12, 13, 14)}
+    from barloom.llm.decontaminate import drop_contaminated
+
+    bench = spark.createDataFrame([(None, clean[3][1]), (7, "none of it")], "item_id long, text string")
+    left = drop_contaminated(one, bench)
+    assert left.columns == docs.columns and {tuple(r) for r in left.collect()} == {tuple(r) for r in got if r.text != clean[3][1]}
+    empty = docs.where("FALSE")
+    for name in ("language_id", "line_dedup", "ngram_jaccard_join"):
+        assert stage(name, empty).count() == 0

@@ -81,7 +81,7 @@ def test_phrases_are_found_as_by_plain_search(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
     bench = spark.createDataFrame([(10, "a b c d", 0), (9, "b c d", 0), (None, "x", 0), (11, None, 0)], "item_id long, text string, doc_id int")
     got = {r.doc_id: r for r in dc.contamination(docs, bench).collect()}
-    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].items_sha256, got[1].contaminated) == (6, 4, 2, sha("10,9"), True)
+    assert (got[1].n_words, got[1].n_hit, got[1].n_items, got[1].items_sha256, got[1].contaminated) == (6, 5, 2, sha("10,9"), True)
     assert (got[2].n_words, got[3].n_words, got[2].items_sha256, got[None].n_hit) == (0, 0, sha(""), 4)
     assert (got[4].n_words, got[4].n_hit, got[4].contaminated) == (100_004, 4, False)
     twice = {r.doc_id: r for r in dc.contamination(docs.where("doc_id > 1"), bench, phrase_words=1).collect()}
@@ -192,13 +192,13 @@ def test_lines_of_many_sites_stay_once(spark):
     sites, seen = {}, set()
     for _, text, site, _ in rows:
         for line in (text or "").split("\n"):
-            if len(line.split()) >= 3 and site:
+            if line.strip() and site:
                 sites.setdefault(line.strip(" "), set()).add(site)
     for i, text, _, _ in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         kept = []
         for line in text.split("\n"):
             key = line.strip(" ")
-            if len(sites.get(key, ())) >= 10 and len(key.split()) >= 3:
+            if len(sites.get(key, ())) >= 10 and key.strip():
                 if key in seen:
                     continue
                 seen.add(key)
