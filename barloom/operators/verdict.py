@@ -508,15 +508,17 @@ def verdict(
     layout: Layout | None = None,
     replicates: int = REPLICATES,
     correlated: int = PARTICIPATION_REPLICATES,
+    target_of: Callable[[Series, Rule], Ref] = target,
 ) -> dict[str, DataFrame]:
     """The whole report as tables: summary, evidence, labels, effective_n, pbo, periods.
 
+    ``target_of`` gives the target of a rule; ``rule_functions.with_functions`` makes one of plain functions.
     ``seeds`` has one ``seed`` per series (see ``bootstrap_seed``); without it the key's hash is used.
     """
     layout = layout or plan_layout(df)
     keys, chosen = list(layout.keys), list(rules or strategy_grid())
     # The fills feed four reports; they are written once to the shared checkpoint folder.
-    wide = cut_lineage(fills_wide(df, costs, chosen, layout))
+    wide = cut_lineage(fills_wide(df, costs, chosen, layout, target_of))
     rows = _long(wide, chosen, layout)
     factor = periods_per_year(df, ppy, layout)
     summary = cut_lineage(rule_summary(rows, keys, min_trades))
@@ -544,19 +546,21 @@ def lookahead_probe(df: DataFrame, rules: Sequence[Rule] | None = None, target_o
     keys, order, chosen = list(layout.keys), layout.order, list(rules or strategy_grid())
     from barloom.operators.downsample import numbered
 
-    rows, _ = numbered(df, layout)
+    # Numbered bars and their targets are stored once; each cut is one wide join on them.
+    rows = cut_lineage(numbered(df, layout)[0])
 
-    def long(part: DataFrame) -> DataFrame:
+    def targets_of(part: DataFrame) -> DataFrame:
         s = Series(part, layout)
         for k, rule in enumerate(chosen):
             s.output(f"_t{k}", target_of(s, rule))
-        cells = F.array(*(F.struct(F.lit(r.id).alias("rule"), F.col(f"_t{k}").alias("target")) for k, r in enumerate(chosen)))
-        return s.build().select(*keys, order, F.explode(cells).alias("c")).select(*keys, order, "c.*")
+        return s.build().select(*keys, order, F.array(*(F.col(f"_t{k}") for k in range(len(chosen)))).alias("_targets"))
 
-    whole, found = long(rows), None
+    whole, found = cut_lineage(targets_of(rows).withColumnRenamed("_targets", "_whole")), None
+    names = F.array(*(F.lit(r.id) for r in chosen))
     for share in PROBE_FRACTIONS:
-        cut = long(rows.filter(F.col("_i") < F.greatest(F.lit(2), F.floor(F.col("_n") * share))))
-        differs = cut.join(whole.withColumnRenamed("target", "whole"), [*keys, order, "rule"]).filter(~F.col("target").eqNullSafe(F.col("whole")))
-        part = differs.select(*keys, order, "rule", F.lit(share).alias("cut"))
+        cut = targets_of(rows.filter(F.col("_i") < F.greatest(F.lit(2), F.floor(F.col("_n") * share))))
+        differs = cut.join(whole, [*keys, order]).filter(~F.col("_targets").eqNullSafe(F.col("_whole")))
+        moved = F.filter(F.sequence(F.lit(0), F.lit(len(chosen) - 1)), lambda k: ~F.get("_targets", k).eqNullSafe(F.get("_whole", k)))
+        part = differs.select(*keys, order, F.explode(F.transform(moved, lambda k: F.get(names, k))).alias("rule"), F.lit(share).alias("cut"))
         found = part if found is None else found.unionByName(part)
     return found
