@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.operators import json_shapes as shapes
 from barloom.operators import normalise as nm
 from oracle.checks import check, rounded, table
 from oracle.series import rounded as r
@@ -362,3 +363,34 @@ def _group(spark, d):
     c = table(spark, d, "customer")
     rows = nm.flat_rows(listed(c, "c_nationkey", js('{"sector":"%s","v":"%s"}', c.c_mktsegment, c.c_acctbal), "c_custkey"), {"c_mktsegment": "sector", "v": "v number"})
     return rows.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("members"), rounded(F.avg("v")).alias("value"))
+
+
+def _nested(spark, d):
+    """A payload for each customer with orders, seven levels deep."""
+    o = table(spark, d, "orders").select("o_custkey", F.struct("o_orderkey", F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.struct(F.floor(F.col("o_totalprice")).cast("long").alias("whole")).alias("price"), F.struct("o_orderstatus").alias("tags")).alias("x")).alias("o"))
+    rows = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("o")), lambda r: r["x"]).alias("orders"))
+    inner = F.struct(F.struct(F.struct(F.struct(F.col("o_custkey").alias("key"), F.lit("x").alias("text"), "orders").alias("d")).alias("c")).alias("b"))
+    return rows.select("o_custkey", F.to_json(F.struct(inner.alias("a"))).alias("payload"))
+
+
+ORDER_ROWS = "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)"
+
+
+@check("norm_json_facts", "SELECT DISTINCT o_custkey, '$.a.b.c.d' AS path, 'key' AS name, o_custkey::VARCHAR AS text FROM orders UNION ALL SELECT DISTINCT o_custkey, '$.a.b.c.d', 'text', 'x' FROM orders")
+def _json_facts(spark, d):
+    return shapes.json_facts(shapes.json_scalars(_nested(spark, d), keep=("o_custkey",)), ("o_custkey",))
+
+
+@check("norm_json_cells", f"""{ORDER_ROWS} SELECT o_custkey, '$.a.b.c.d.orders[]' AS "table", n AS row, 'day' AS "column", day AS text FROM o
+ UNION ALL SELECT o_custkey, '$.a.b.c.d.orders[]', n, 'price.whole', floor(o_totalprice)::BIGINT::VARCHAR FROM o UNION ALL SELECT o_custkey, '$.a.b.c.d.orders[]', n, 'tags.o_orderstatus', o_orderstatus FROM o""")
+def _json_cells(spark, d):
+    cells = shapes.json_cells(shapes.json_scalars(_nested(spark, d), keep=("o_custkey",)), ("o_custkey",))
+    return cells.select("o_custkey", "table", F.col("rows")[0].cast("long").alias("row"), "column", "text")
+
+
+@check("norm_json_series", f"""{ORDER_ROWS}, whole AS (SELECT o_custkey FROM o GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT day) = count(*))
+ SELECT o_custkey, '$.a.b.c.d.orders[]' AS "table", epoch(day::TIMESTAMP)::BIGINT AS time, 'price.whole' AS "column", floor(o_totalprice)::DOUBLE AS value FROM o SEMI JOIN whole USING (o_custkey)""")
+def _json_series(spark, d):
+    cells = shapes.json_cells(shapes.json_scalars(_nested(spark, d), keep=("o_custkey",)), ("o_custkey",))
+    series = shapes.json_series(cells, ("o_custkey",))
+    return series.withColumn("time", F.col("time").cast("long")).withColumn("value", F.col("value").cast("double"))
