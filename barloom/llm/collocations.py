@@ -8,8 +8,9 @@
 3. Phrases of one word are mined first, then longer ones, of candidates only: beyond some thirty shards a share of the
    support is a single occurrence, and then it is the candidates of all shards that keep a shard from telling of
    everything it holds. They are told from other phrases by a Bloom filter of bounded size.
-4. If any candidate is left open, all are counted in all shards, by the same filter; what passes it by mistake is
-   counted too, and falls with the support.
+4. If any candidate is left open, shards tell by the same filter what they had kept to themselves; what passes it by
+   mistake is told too, and falls with the support. That needs the same shards as before: each pass brings a mark of
+   them, and if these differ, shards are filtered by their own bounds and all candidates counted in all of them.
 
 Phrases of up to four words and of one are counted alike, so the parts of every phrase are in the same table. Scores,
 containment and ranks are DataFrame work.
@@ -35,6 +36,8 @@ SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 8_000_000, 12, 32 << 20
 SPLIT_CHARS, SORTED, YIELDED = 1 << 20, 500_000, 50_000
 #: Bits of the filter for a candidate, and its bounds (16 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
+#: Bits of a mark, so that the sum of some millions is a long.
+MARK = (1 << 40) - 1
 #: Languages whose size the driver keeps; texts of others are mined at a support of one, which is as exact.
 MOST_LANGUAGES = 1000
 #: A-Z are lower-cased; . , ; : ! ? and line ends (0A-0D) end a piece. FF isn't a byte of any text.
@@ -58,21 +61,22 @@ class Text:
         self.number: defaultdict[bytes, int] = defaultdict(lambda: len(self.number))
         self.number[END] = 0
         self.parts: list[np.ndarray] = []
-        self.words = self.bytes = 0
+        self.words = self.bytes = self.mark = 0
 
     def add(self, texts: list[str]) -> None:
         data = "\n".join(texts).encode()
         self.bytes += len(data) - len(texts) + 1
+        self.mark = xxh3_64_intdigest(data, self.mark)
         words = data.translate(FOLD).replace(END, b" \xff ").split()
         words.append(END)
         ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
         self.words += int((ids > 0).sum())
         self.parts.append(ids)
 
-    def phrases(self, most_words: int, support: int, admits: Callable[[np.ndarray], np.ndarray] | None = None, seed: int = 0, only: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
+    def phrases(self, most_words: int, support: int, admits: Callable[[np.ndarray], np.ndarray] | None = None, seed: int = 0, only: int | None = None, below: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
         """All phrases found ``support`` times or more, of one word up to ``most_words``, and their counts. With
         ``admits`` only those whose hash it lets pass, as do those of all that they begin and end with. With ``only``
-        those of this many words, which needn't pass themselves."""
+        those of this many words, which needn't pass themselves; with ``below`` those found less often than that."""
         ids = np.concatenate(self.parts)
         words, n, base = list(self.number), len(ids), np.int64(len(self.number))
         hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) if admits else None
@@ -101,7 +105,8 @@ class Text:
                 starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(own)])
                 counts = np.diff(np.append(starts, len(own)))
                 often = counts >= support
-                for some in np.array_split(np.flatnonzero(often), 1 + int(often.sum()) // YIELDED) if only in (None, size) else ():
+                given = np.flatnonzero(often if below is None else often & (counts < below))
+                for some in np.array_split(given, 1 + len(given) // YIELDED) if only in (None, size) else ():
                     yield [b" ".join([words[i] for i in ids[p : p + size]]).decode() for p in own[starts[some]].tolist()], counts[some]
                 grown[own[np.repeat(often, counts)]] = np.repeat(np.arange(last, last + often.sum(), dtype=np.int32), counts[often])
                 last += int(often.sum())
@@ -141,8 +146,8 @@ def _table(lang: str, phrases: list[str | None], counts: np.ndarray, hidden: int
 def mined(texts: DataFrame, totals: dict[str, int], support: int, words: int, bits: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``lang, phrase, n, hidden``: what each shard finds of phrases of ``words`` words at its share of the support, and
     how often it may hold a phrase it doesn't tell of. One row a shard and language has no phrase and the number of
-    words. ``totals`` are bytes of text by language; a language without gets all its phrases. ``bits`` filters what
-    phrases begin and end with."""
+    words, one an empty phrase and the mark of the texts. ``totals`` are bytes of text by language; a language without
+    gets all its phrases. ``bits`` filters what phrases begin and end with."""
     sent = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,15 +155,19 @@ def mined(texts: DataFrame, totals: dict[str, int], support: int, words: int, bi
         for shard in _shards(batches, shard_words):
             while shard:
                 lang, text = shard.popitem()
-                # The shares of all shards add up to one: a phrase is at or above its share of the support somewhere.
-                own = max(1, -(-support * text.bytes // totals[lang])) if lang in totals else 1
-                yield _table(lang, [None], np.array([text.words]), own - 1)
+                own = _share(lang, text, totals, support)
+                yield _table(lang, [None, ""], np.array([text.words, text.mark & MARK]), own - 1)
                 for phrases, counts in text.phrases(words, own, admits, _seed(lang), words):
                     yield _table(lang, phrases, counts, own - 1)
 
     return texts.mapInArrow(run, "lang string, phrase string, n long, hidden long")
 
 
+def _share(lang: str, text: Text, totals: dict[str, int], support: int) -> int:
+    """The shares of all shards add up to one: a phrase is at or above its share of the support somewhere."""
+    return max(1, -(-support * text.bytes // totals[lang])) if lang in totals else 1
+
+
 def _seed(lang: str) -> int:
     return xxh3_64_intdigest(lang.encode())
 
@@ -204,8 +213,9 @@ def passing(content: bytes) -> Callable[[np.ndarray], np.ndarray]:
     return admits
 
 
-def _counted(texts: DataFrame, bits: np.ndarray, most_words: int, shard_words: int) -> DataFrame:
-    """``lang, phrase, n`` of each shard for all phrases that pass the filter."""
+def _counted(texts: DataFrame, totals: dict[str, int], support: int, bits: np.ndarray, most_words: int, shard_words: int, hidden: bool) -> DataFrame:
+    """``lang, phrase, n`` of each shard for all phrases that pass the filter; with ``hidden`` only those below its share
+    of the support, which ``mined`` doesn't tell of. Words and marks as there."""
     sent = texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,12 +223,20 @@ def _counted(texts: DataFrame, bits: np.ndarray, most_words: int, shard_words: i
         for shard in _shards(batches, shard_words):
             while shard:
                 lang, text = shard.popitem()
-                for phrases, counts in text.phrases(most_words, 1, admits, _seed(lang)):
+                own = _share(lang, text, totals, support) if hidden else None
+                yield _table(lang, [None, ""], np.array([text.words, text.mark & MARK]))
+                for phrases, counts in text.phrases(most_words, 1, admits, _seed(lang), below=own) if own != 1 else ():
                     yield _table(lang, phrases, counts)
 
     return texts.mapInArrow(run, "lang string, phrase string, n long")
 
 
+def _same(one: DataFrame, other: DataFrame) -> bool:
+    """Whether two tables hold the same rows."""
+    both = one.withColumn("_sign", F.lit(1)).unionByName(other.withColumn("_sign", F.lit(-1)))
+    return both.groupBy(*one.columns).agg(F.sum("_sign").alias("_sign")).where(F.col("_sign") != 0).isEmpty()
+
+
 def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", support: int = SUPPORT, most_words: int = MOST_WORDS, shard_words: int = SHARD_WORDS, shard_bytes: int = SHARD_BYTES, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, f`` of all phrases of one to ``most_words`` words that occur ``support`` times in a language, and
     ``lang, n``, its words in all. ``shards``, where given, is the number of tasks that read the texts."""
@@ -227,15 +245,32 @@ def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: st
     totals = {r.lang: r.bytes for r in sizes}
     # Fewer and larger shards have a larger share of the support; coalescing moves no rows.
     dealt = texts.coalesce(shards or max(LEAST_SHARDS, sum(totals.values()) // shard_bytes))
-    words, candidates, bits, n, any_open = None, None, None, 0, 0
+    about, real = F.coalesce("phrase", F.lit("")) == "", F.coalesce("phrase", F.lit("")) != ""
+    untold = F.col("all_hidden") - F.col("told")
+
+    def found(size: int) -> DataFrame:
+        local = mined(dealt, totals, support, size, bits, shard_words)
+        return local.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.sum("hidden").alias("told"))
+
+    def bounds(marks: DataFrame) -> DataFrame:
+        return marks.where("phrase IS NULL").select("lang", F.col("told").alias("all_hidden"))
+
+    def possible(rows: DataFrame, marks: DataFrame) -> DataFrame:
+        return rows.join(bounds(marks), "lang").where(about | (F.col("f") + untold >= support)).select("lang", "phrase", "f", "told", (real & (untold > 0)).alias("open"))
+
+    first, candidates, bits, n, any_open, repeated = None, None, None, 0, 0, True
     for size in range(1, most_words + 1):
-        local = stored(mined(dealt, totals, support, size, bits, shard_words), "mined")
-        shards_ = local.where("phrase IS NULL").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("hidden").alias("all_hidden"))
-        found = local.where("phrase IS NOT NULL").groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.sum("hidden").alias("told"))
-        open_ = F.col("all_hidden") - F.col("told")
-        bounded = found.join(shards_.select("lang", "all_hidden"), "lang").where(F.col("f") + open_ >= support)
-        level = stored(bounded.select("lang", "phrase", "f", (open_ > 0).alias("open")), "candidates")
-        words = words or shards_.select("lang", "n")
+        if first is None:
+            level = stored(found(size), "words")
+            first = stored(level.where(about), "marks")
+            level = stored(possible(level, first), "candidates")
+        else:
+            # What can't be frequent is never written: the bounds are those of the first pass, if it had these shards.
+            level = stored(possible(found(size), first), "candidates")
+            if not _same(first, level.where(about).select(*first.columns)):
+                repeated, level = False, stored(found(size), "mined")
+                level = stored(possible(level, level.where(about)), "candidates")
+        level = level.where(real)
         candidates = level if candidates is None else candidates.unionByName(level)
         more = level.agg(F.count("*").alias("n"), F.count_if("open").alias("open")).first()
         n, any_open = n + more.n, any_open + more.open
@@ -243,10 +278,24 @@ def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: st
             break
         if size < most_words or any_open:
             bits = phrase_filter(candidates, n)
+    candidates, words = candidates.select("lang", "phrase", "f"), first.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     if any_open:
-        counts = _counted(dealt, bits, most_words, shard_words).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-        candidates = stored(counts.where(F.col("f") >= support), "counted")
-    return candidates.select("lang", "phrase", "f"), words
+        candidates = _completed(candidates, first, dealt, totals, support, bits, most_words, shard_words, repeated)
+    return candidates, words
+
+
+def _completed(candidates: DataFrame, first: DataFrame, dealt: DataFrame, totals: dict[str, int], support: int, bits: np.ndarray, most_words: int, shard_words: int, repeated: bool) -> DataFrame:
+    """``lang, phrase, f`` of the candidates that have the support, with what shards hadn't told of them."""
+    enough, real = F.col("f") >= support, F.coalesce("phrase", F.lit("")) != ""
+
+    def counted(hidden: bool) -> DataFrame:
+        return _counted(dealt, totals, support, bits, most_words, shard_words, hidden).withColumnRenamed("n", "f")
+
+    if repeated:
+        rows = stored(candidates.unionByName(counted(True)).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(~real | enough), "counted")
+        if _same(first.select("lang", "phrase", "f"), rows.where(~real)):
+            return rows.where(real)
+    return stored(counted(False).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(real & enough), "counted")
 
 
 def _big(column: Column) -> Column:

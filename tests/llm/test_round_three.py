@@ -205,6 +205,26 @@ def test_collocations_agree_with_a_plain_count(spark, options):
         assert sorted(map(tuple, got)) == plain_collocations(rows, support, top)
 
 
+@pytest.mark.parametrize("answer", [None, False, "last"])
+def test_passes_over_the_same_shards_and_over_others(spark, monkeypatch, tmp_path, answer):
+    rows, same, told = phrase_rows(), co._same, []
+    table(spark, rows).repartition(6).write.parquet(f"{tmp_path}/docs")
+
+    def judge(one, other):
+        told.append(same(one, other))
+        return told[-1] if answer is None else answer == "last" and len(told) < 4
+
+    monkeypatch.setattr(co, "_same", judge)
+    got = co.collocations(spark.read.parquet(f"{tmp_path}/docs"), support=12, shards=5).collect()
+    assert sorted(map(tuple, got)) == plain_collocations(rows, 12, 2000)
+    assert told == [True] * (3 if answer is False else 4)
+
+
+def test_marks_tell_shards_apart(spark):
+    one = spark.createDataFrame([("en", "", 5), ("en", None, 5)], "lang string, phrase string, n long")
+    assert co._same(one, one) and not co._same(one, one.limit(1)) and not co._same(one, one.withColumn("n", one.n + 1))
+
+
 def test_the_filter_of_phrases_and_the_empty_table(spark):
     phrases = [("en", f"w{k} x{k % 7}") for k in range(5000)]
     bits = co.phrase_filter(spark.createDataFrame(phrases, "lang string, phrase string").repartition(3), len(phrases))
