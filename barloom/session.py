@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Settings every job relies on: UTC session time, AQE, Arrow transfer."""
+    """Settings every job relies on: UTC session time, AQE, Arrow transfer, state maps of streams."""
     return (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
@@ -17,6 +17,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )
 
 
