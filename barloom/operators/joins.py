@@ -11,35 +11,48 @@ from barloom.operators.ranking import global_rank
 from barloom.session import cut_lineage
 
 
-def nearest(points: DataFrame, bars: DataFrame, keys: Sequence[str], order: str, value: str, slice_seconds: int = 30 * 86_400) -> DataFrame:
-    """The bar nearest in time to each point, ties to the earlier one.
-
-    Points and bars are merged on one time line per key and slice; the nearest bars outside a slice come
-    from a table with one row per key and slice, so a busy key is spread over its slices.
-    """
-    keys = list(keys)
+def time_slices(points: DataFrame, bars: DataFrame, keys: Sequence[str], order: str, value: str, slices: int | None = None) -> DataFrame:
+    """Points and bars on one time line per key, cut into slices of about equal numbers of rows by range partitioning, so
+    that a dense day is as many slices as it has rows for. Written once: a slice is what its number says in every pass."""
     second = F.col(order).cast("timestamp").cast("double")
     bar = F.struct(second.alias("t"), F.col(value).cast("double").alias("v"))
-    line = bars.select(*keys, second.alias("_t"), bar.alias("_bar"), F.lit(1).alias("_kind"), F.lit(None).cast(points.schema[order].dataType).alias(order)).unionByName(
+    line = bars.select(*keys, second.alias("_t"), bar.alias("_bar"), F.lit(1).alias("_kind"), F.lit(None).cast(points.schema[order].dataType).alias(order)).where("_t IS NOT NULL").unionByName(
         points.select(*keys, second.alias("_t"), F.lit(None).cast("struct<t: double, v: double>").alias("_bar"), F.lit(2).alias("_kind"), order)
-    ).withColumn("_slice", F.floor(F.col("_t") / slice_seconds))
-    edges = line.groupBy(*keys, "_slice").agg(F.min("_bar").alias("_first"), F.max("_bar").alias("_last"))
+    )
+    by = [*keys, "_t", "_kind"]
+    ranged = line.repartitionByRange(slices, *by) if slices else line.repartitionByRange(*by)
+    return cut_lineage(ranged.withColumn("_slice", F.spark_partition_id()))
+
+
+def nearest(points: DataFrame, bars: DataFrame, keys: Sequence[str], order: str, value: str, slices: int | None = None) -> DataFrame:
+    """The bar nearest in time to each point, ties to the earlier one; of bars of one time that with the greatest value.
+
+    The nearest bars outside a slice come from a table with one row per key and slice, so a busy key, or a busy day of
+    one, is spread over its slices. NULL is a key like others; bars without a time take no part, points without one and
+    keys without bars get none.
+    """
+    keys = list(keys)
+    line = time_slices(points, bars, keys, order, value, slices)
+    earliest = F.when(F.col("_bar").isNotNull(), F.struct(-F.col("_t"), F.col("_bar.v")))
+    edges = line.groupBy(*keys, "_slice").agg(F.max_by("_bar", earliest).alias("_first"), F.max("_bar").alias("_last"))
     by_slice = Window.partitionBy(*keys).orderBy("_slice")
+    own = [f"_e{i}" for i in range(len(keys) + 1)]
     edges = edges.select(
-        *keys, "_slice", F.last("_last", ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        *(F.col(k).alias(e) for k, e in zip([*keys, "_slice"], own, strict=True)),
+        F.last("_last", ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.first("_first", ignorenulls=True).over(by_slice.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
     )
-    forward = Window.partitionBy(*keys, "_slice").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    forward = Window.partitionBy(*keys, "_slice").orderBy("_t", "_kind", "_bar.v").rowsBetween(Window.unboundedPreceding, 0)
     # The same window in reverse order, so both directions are running aggregates.
-    backward = Window.partitionBy(*keys, "_slice").orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(*keys, "_slice").orderBy(F.col("_t").desc(), F.col("_kind").desc(), "_bar.v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
         line.withColumn("_l", F.last("_bar", ignorenulls=True).over(forward))
         .withColumn("_r", F.last("_bar", ignorenulls=True).over(backward))
         .filter(F.col("_kind") == 2)
-        .join(edges, [*keys, "_slice"], "left")
+        .join(edges, [F.col(k).eqNullSafe(F.col(e)) for k, e in zip([*keys, "_slice"], own, strict=True)], "left")
     )
     left, right = F.coalesce("_l", "_before"), F.coalesce("_r", "_after")
-    best = F.when(left.isNull(), right).when(right.isNull(), left).when(F.col("_t") - left["t"] <= right["t"] - F.col("_t"), left).otherwise(right)
+    best = F.when(F.col("_t").isNull(), None).when(left.isNull(), right).when(right.isNull(), left).when(F.col("_t") - left["t"] <= right["t"] - F.col("_t"), left).otherwise(right)
     return found.select(*keys, order, best.alias("_b")).select(*keys, order, F.col("_b.t").cast("long").alias("nearest_time"), F.col("_b.v").alias(value))
 
 
