@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ranking import global_rank
@@ -41,7 +41,7 @@ def nearest(points: DataFrame, bars: DataFrame, keys: Sequence[str], order: str,
         *(F.col(k).alias(e) for k, e in zip([*keys, "_slice"], own, strict=True)),
         F.last("_last", ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
         F.first("_first", ignorenulls=True).over(by_slice.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-    )
+    ).where("_before IS NOT NULL OR _after IS NOT NULL")
     forward = Window.partitionBy(*keys, "_slice").orderBy("_t", "_kind", "_bar.v").rowsBetween(Window.unboundedPreceding, 0)
     # The same window in reverse order, so both directions are running aggregates.
     backward = Window.partitionBy(*keys, "_slice").orderBy(F.col("_t").desc(), F.col("_kind").desc(), "_bar.v").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,17 +67,33 @@ def ranked_search(assets: DataFrame, query: str, symbol: str, name: str) -> Data
 def unique_labels(df: DataFrame, label: str, order: str, name: str = "unique_label") -> DataFrame:
     """``x, x-2, x-3`` for repeated labels; a made-up label that exists as a literal moves on to a free number.
 
-    Repeats are numbered by one distributed sort, so that a label which most rows share is no single task.
+    Repeats are numbered by one distributed sort, so that a label which most rows share is no single task. Literals of a
+    stem are numbered likewise and reduced to runs of taken numbers; repeats and runs meet on one line per label, cut
+    into slices by rows, each with what the slices before it had taken.
     """
-    placed = cut_lineage(global_rank(df, [F.col(label), F.col(order)], "_rank"))
+    numbered = _numbered(df, label, [F.col(label), F.col(order)], "_k")
+    literal = F.regexp_extract(label, TAKEN, 2).try_cast("long")
+    taken = df.select(F.regexp_extract(label, TAKEN, 1).alias(label), literal.alias("_no")).where("_no >= 2").distinct()
+    # Before the i-th taken number u lie u - i free ones, as many for all numbers of a run: what comes after them moves on by i.
+    runs = _numbered(taken, label, [F.col(label), F.col("_no")], "_i").groupBy(label, (F.col("_no") - F.col("_i") + 1).alias("_at")).agg(F.max("_i").alias("_i"))
+    line = numbered.withColumn("_at", F.col("_k")).unionByName(runs, allowMissingColumns=True).withColumn("_copy", F.col("_i").isNull())
+    line = cut_lineage(line.repartitionByRange(label, "_at", "_copy").withColumn("_slice", F.spark_partition_id()))
+    before = Window.partitionBy("_stem").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = line.groupBy(F.col(label).alias("_stem"), F.col("_slice").alias("_part")).agg(F.max("_i").alias("_last")).withColumn("_before", F.max("_last").over(before))
+    edges = edges.where("_before IS NOT NULL").drop("_last")
+    upto = Window.partitionBy(label, "_slice").orderBy("_at", "_copy").rowsBetween(Window.unboundedPreceding, 0)
+    placed = line.withColumn("_own", F.max("_i").over(upto)).where("_copy").join(edges, (F.col(label) == F.col("_stem")) & (F.col("_slice") == F.col("_part")), "left")
+    number = F.col("_k") + F.coalesce("_own", "_before", F.lit(0))
+    labelled = placed.withColumn(name, F.when(F.col("_k") == 1, F.col(label)).otherwise(F.concat_ws("-", F.col(label), number.cast("string"))))
+    return labelled.drop("_k", "_i", "_at", "_copy", "_slice", "_own", "_before", "_stem", "_part")
+
+
+#: A label that ends in a number as this module writes it.
+TAKEN = r"(?s)^(.*)-([1-9]\d*)\z"
+
+
+def _numbered(df: DataFrame, label: str, order: Sequence[Column], name: str) -> DataFrame:
+    """The place of each row, from 1, among the rows of its label."""
+    placed = cut_lineage(global_rank(df, order, "_rank"))
     first = placed.groupBy(F.col(label).alias("_label")).agg(F.min("_rank").alias("_first"))
-    numbered = placed.join(first, F.col(label).eqNullSafe(F.col("_label"))).withColumn("_k", (F.col("_rank") - F.col("_first") + 1).cast("int")).drop("_rank", "_first", "_label")
-    taken = df.select(F.col(label).alias("_have")).distinct().withColumn("_stem", F.regexp_extract("_have", r"^(.*)-(\d+)$", 1)).withColumn(
-        "_no", F.regexp_extract("_have", r"^(.*)-(\d+)$", 2).try_cast("int")
-    )
-    used = taken.filter(F.col("_no") >= 2).groupBy(F.col("_stem").alias(label)).agg(F.array_sort(F.collect_set("_no")).alias("_used"))
-    joined = numbered.join(used, label, "left")
-    used_numbers = F.coalesce("_used", F.array().cast("array<int>"))
-    # The k-th copy takes the k-th free number from 2 on.
-    number = F.aggregate(used_numbers, F.col("_k"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
-    return joined.withColumn(name, F.when(F.col("_k") == 1, F.col(label)).otherwise(F.concat_ws("-", F.col(label), number.cast("string")))).drop("_k", "_used")
+    return placed.join(first, F.col(label).eqNullSafe(F.col("_label"))).withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", "_label")
