@@ -7,65 +7,87 @@ screen are not applied; ``top_by`` and ``newest`` are there for reports that wan
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.functions.scalars import DATE, DATETIME, MISSING, moment, occ_contract, percent_value, to_number
 from barloom.sources.payloads import MAPPING, RECORDS, records_by_symbol
 
-# Wording of provider notices, and error names of one provider.
-PREMIUM_NOTICE, PREMIUM_ERROR = r"(?i)premium endpoint|ARTIFICIAL", r"(?i)restricted endpoint|premium|subscription|upgrade|exclusive|special (endpoint|parameter)"
-LIMIT_NOTICE = r"(?i)rate limit|limit reach|too many requests|requests? per (day|minute|second)|per day|per minute|call frequency|spreading out|bandwidth"
-KEY_NOTICE = r"(?i)(api ?key).*(invalid|missing|required|demo)|demo.*api key|(invalid|missing) api ?key"
-ERROR_NAMES = {"invalid_key": r"(invalid|missing|inactive)_(access|api)_key|inactive_user", "rate_limited": r"(usage|rate|request)s?_limit|too_many_requests", "premium_required": r"access_restricted|subscription"}
+# What the wording of a provider says about an answer. The parts of a phrase stand in this order in the text.
+PLACEHOLDER_WORDING = (("premium endpoint",), ("artificial",))
+KEY_WORDING = tuple((form, word) for form in ("api key", "apikey") for word in ("invalid", "missing", "required", "demo")) + (
+    ("demo", "api key"), ("demo", "apikey"), ("invalid api key",), ("missing api key",), ("invalid apikey",), ("missing apikey",),
+)
+LIMIT_WORDING = tuple((w,) for w in ("rate limit", "limit reach", "too many requests", "per day", "per minute", "request per second", "requests per second", "call frequency", "spreading out", "bandwidth"))
+PLAN_WORDING = tuple((w,) for w in ("premium", "restricted endpoint", "subscription", "upgrade", "exclusive", "special endpoint", "special parameter"))
+# Error names of one provider.
+KEY_NAMES = ("invalid_access_key", "missing_access_key", "inactive_access_key", "invalid_api_key", "missing_api_key", "inactive_api_key", "inactive_user")
+LIMIT_NAMES = ("usage_limit", "usages_limit", "rate_limit", "rates_limit", "request_limit", "requests_limit", "too_many_requests")
+PLAN_NAMES = ("access_restricted", "subscription")
 NOTICES = ("Error Message", "Information", "Note")
 
 
-def _get(json: Column, path: str) -> Column:
-    return F.get_json_object(json, f"$.{path}")
+def _get(record: Column, path: str) -> Column:
+    return F.get_json_object(record, f"$.{path}")
 
 
-def _num(json: Column, path: str) -> Column:
-    return to_number(_get(json, path))
+def _num(record: Column, path: str) -> Column:
+    return to_number(_get(record, path))
 
 
 # --- N34: status first -------------------------------------------------------------------------
 
 
+def _says(text: Column, phrases: Sequence[Sequence[str]]) -> Column:
+    """Whether the text holds one of the phrases, in any case."""
+    low, found = F.lower(text), F.lit(False)
+    for phrase in phrases:
+        at = F.lit(1)
+        for part in phrase:
+            at = F.when(at > 0, F.position(F.lit(part), low, at)).otherwise(0)
+        found = found | (at > 0)
+    return F.coalesce(found, F.lit(False))
+
+
 def payload_status(payload: Column) -> Column:
     """ok, empty, premium_required, rate_limited, invalid_key, invalid_request or upstream_error; only ok is data.
 
-    A notice counts when nothing stands beside it, an error message always. A message beside data is data, unless it says
-    that the data are made up.
+    Every carrier of bad news in a mapping (an error message, a notice with nothing beside it, a named error, a code, a
+    plain message) gives findings, each with a weight; the lightest finding is the status, and without one it is ok. A
+    message beside data is data, unless it says that the data are made up.
     """
-    text = F.trim(payload)
     fields = F.from_json(payload, MAPPING)
-    notice = F.coalesce(*(fields[k] for k in NOTICES))
-    alone = F.array_size(F.array_except(F.map_keys(fields), F.array(*map(F.lit, NOTICES)))) == 0
-    message, code, error = fields["message"], fields["code"], fields["error"]
-    by_error = F.when(fields["Error Message"].rlike(KEY_NOTICE), "invalid_key").when(fields["Error Message"].rlike(LIMIT_NOTICE), "rate_limited").when(fields["Error Message"].rlike(PREMIUM_ERROR), "premium_required").otherwise("invalid_request")
-    by_notice = F.when(notice.rlike(PREMIUM_NOTICE), "premium_required").when(notice.rlike(LIMIT_NOTICE), "rate_limited").when(notice.rlike(KEY_NOTICE), "invalid_key").otherwise("upstream_error")
-    named = F.lit("invalid_request")
-    for status, form in ERROR_NAMES.items():
-        named = F.when(error.rlike(form), status).otherwise(named)
-    # Eight digits whose first three are the status of the answer.
-    http = F.when(code.rlike("^[45][0-9]{7}$"), F.substring(code, 1, 3).cast("int"))
-    coded = F.when(F.contains(F.lower(message), F.lit("subscription")), "premium_required").when(http.isin(401, 403), "invalid_key").when(http == 429, "rate_limited").when(http >= 500, "upstream_error").otherwise("invalid_request")
-    data = F.map_filter(fields, lambda k, v: ~k.isin("endpoint", "message") & F.coalesce(~F.trim(v).isin("", "[]", "{}", "null"), F.lit(False)))
-    is_map = text.startswith("{")
+    blank = lambda v: F.coalesce(F.trim(v).isin("", "[]", "{}", "null"), F.lit(True))
+    filled = lambda *besides: F.size(F.map_filter(fields, lambda k, v: ~k.isin(*besides) & ~blank(v))) > 0
+    named = lambda text, names: _says(text, [(n,) for n in names])
+    message, failure, cause = fields["message"], fields["Error Message"], fields["error"]
+    notice = F.coalesce(fields["Information"], fields["Note"])
+    alone = notice.isNotNull() & F.forall(F.map_keys(fields), lambda k: k.isin(*NOTICES))
+    caused = cause.isNotNull() & ~F.trim(cause).isin("null", "false", "")
+    # A code of eight digits begins with the status of the answer.
+    http = F.when(message.isNotNull() & fields["code"].rlike("^[45][0-9]{7}$"), F.substring(fields["code"], 1, 3).cast("int"))
+    carriers = (
+        # present, what it may tell, and what it is when it tells none of it
+        (failure.isNotNull(), {"invalid_key": _says(failure, KEY_WORDING), "rate_limited": _says(failure, LIMIT_WORDING), "premium_required": _says(failure, PLAN_WORDING)}, "invalid_request"),
+        (alone, {"premium_required": _says(notice, PLACEHOLDER_WORDING), "rate_limited": _says(notice, LIMIT_WORDING), "invalid_key": _says(notice, KEY_WORDING)}, "upstream_error"),
+        (caused, {"premium_required": named(cause, PLAN_NAMES), "rate_limited": named(cause, LIMIT_NAMES), "invalid_key": named(cause, KEY_NAMES)}, "invalid_request"),
+        (http.isNotNull(), {"premium_required": _says(message, (("subscription",),)), "invalid_key": http.isin(401, 403), "rate_limited": http == 429, "upstream_error": http >= 500}, "invalid_request"),
+        (_says(message, PLACEHOLDER_WORDING), {}, "premium_required"),
+        (~filled("endpoint", "message"), {}, "empty"),
+    )
+    findings = []
+    for present, tells, otherwise in carriers:
+        for status, told in (*tells.items(), (otherwise, F.lit(True))):
+            findings.append(F.when(present & told, F.struct(F.lit(len(findings)).alias("weight"), F.lit(status).alias("status"))))
+    worst = F.array_min(F.array(*findings))["status"]
     return (
-        F.when(payload.isNull() | text.isin("", "{}", "[]", "null"), "empty")
-        .when(F.try_parse_json(payload).isNull(), "upstream_error")
-        .when(~is_map, "ok")
-        .when(fields["Error Message"].isNotNull(), by_error)
-        .when(notice.isNotNull() & alone, by_notice)
-        .when(error.isNotNull() & ~F.trim(error).isin("null", "false", ""), named)
-        .when(http.isNotNull() & message.isNotNull(), coded)
-        .when(message.rlike(PREMIUM_NOTICE), "premium_required")
-        .when(F.size(data) == 0, "empty")
-        .otherwise("ok")
+        F.when(blank(payload), "empty").when(F.try_parse_json(payload).isNull(), "upstream_error")
+        .when(F.trim(payload).startswith("{"), F.coalesce(worst, F.lit("ok"))).otherwise("ok")
     )
 
 
@@ -362,15 +384,26 @@ def key_facts(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return rows.filter(F.col("text").isNotNull() & present).select(*keep, "key", "text", value_type(F.col("text")).alias("type"), number.alias("number"), tone.alias("tone"))
 
 
+#: Last words of names whose numbers are labels, not amounts.
+LABEL_WORDS = ("id", "code", "symbol", "zip", "year", "quarter")
+
+
 def column_types(cells: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Type of each named column from all its present values: one type at 90%, names of codes stay text."""
-    kind = value_type(F.col("text"))
-    codes = r"(?i)(^|_)(id|cik|symbol|ticker|code|zip|district|quarter|year|figi|isin|cusip|contractid|bioguide)"
+    """Type of each named column from all its present values: dates, addresses and percentages need every value, numbers 90%.
+
+    Numbers that label something stay text: a value with a leading zero, or a name that ends in one of ``LABEL_WORDS``.
+    """
+    text = F.col("text")
+    kind = value_type(text)
     shares = cells.groupBy(*keep, "name").agg(
-        F.count("text").alias("_n"), *((F.avg((kind == k).cast("double"))).alias(k) for k in ("date", "datetime", "url", "percent", "number"))
+        *(F.avg((kind == k).cast("double")).alias(k) for k in ("date", "datetime", "url", "percent", "number")),
+        F.max(text.rlike("^0[0-9]+$")).alias("_padded"),
     )
-    whole = F.when(F.col("date") == 1, "date").when(F.col("datetime") == 1, "datetime").when(F.col("url") == 1, "url").when(F.col("percent") == 1, "percent")
-    return shares.select(*keep, "name", F.coalesce(whole, F.when(F.col("name").rlike(codes), "text"), F.when(F.col("number") >= 0.9, "number"), F.lit("text")).alias("type"))
+    words = F.split(F.lower(F.regexp_replace("name", "([a-z0-9])([A-Z])", "$1_$2")), "[^a-z0-9]+")
+    labels = F.element_at(words, -1).isin(*LABEL_WORDS) | F.col("_padded")
+    whole = F.coalesce(*(F.when(F.col(k) == 1, F.lit(k)) for k in ("date", "datetime", "url", "percent")))
+    number = F.when((F.col("number") >= 0.9) & ~F.coalesce(labels, F.lit(False)), "number")
+    return shares.select(*keep, "name", F.coalesce(whole, number, F.lit("text")).alias("type"))
 
 
 def json_leaves(df: DataFrame, depth: int = 3, keep: Sequence[str] = ()) -> DataFrame:
@@ -407,21 +440,39 @@ OPEN_STATES = (
 CANCELABLE = tuple(state for state in OPEN_STATES if state != "pending_cancel")
 
 
+LEG = T.StructType().add("r", T.StringType()).add("parent", T.StringType())
+
+
+@F.pandas_udf(T.ArrayType(LEG))
+def _legs(payload: pd.Series) -> pd.Series:
+    """Each order of a list and each leg below it, as JSON without its own legs, beside the id of the order above."""
+
+    def one(text):
+        try:
+            orders = json.loads(text or "null", parse_int=str, parse_float=str)
+        except (ValueError, RecursionError):
+            return []
+        out, open_ = [], [(orders, None)]
+        while open_:
+            level, parent = open_.pop()
+            for order in level if isinstance(level, list) else ():
+                if isinstance(order, dict):
+                    out.append({"r": json.dumps({k: v for k, v in order.items() if k != "legs"}), "parent": parent})
+                    open_.append((order.get("legs"), order.get("id")))
+        return out
+
+    return payload.map(one)
+
+
 def order_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Orders and their legs, of any depth, with prices, times, and open and cancelable flags."""
-    level = df.select(*keep, F.explode(F.from_json("payload", RECORDS)).alias("r"), F.lit(None).cast("string").alias("parent"))
-    found = None
-    while found is None or not level.isEmpty():
-        r = F.col("r")
-        status = F.lower(_get(r, "status"))
-        rows = level.select(
-            *keep, _get(r, "id").alias("id"), "parent", _get(r, "client_order_id").alias("client_order_id"), _get(r, "symbol").alias("symbol"), _get(r, "side").alias("side"),
-            F.coalesce(_get(r, "type"), _get(r, "order_type")).alias("type"), *(_num(r, n).alias(n) for n in ("qty", "filled_qty", "filled_avg_price", "limit_price", "stop_price", "trail_price", "trail_percent")),
-            *(moment(_get(r, n)).alias(n) for n in ("submitted_at", "filled_at")), status.alias("status"), status.isin(*OPEN_STATES).alias("open"), status.isin(*CANCELABLE).alias("cancelable"),
-        )
-        found = rows if found is None else found.unionByName(rows)
-        level = level.select(*keep, F.explode(F.from_json(_get(r, "legs"), RECORDS)).alias("leg"), _get(r, "id").alias("parent")).select(*keep, F.col("leg").alias("r"), "parent")
-    return found
+    """Orders and their legs, of any depth, with prices, times, and open and cancelable flags; one pass over the payloads."""
+    r = F.col("l.r")
+    status = F.lower(_get(r, "status"))
+    return df.select(*keep, F.explode(_legs("payload")).alias("l")).select(
+        *keep, _get(r, "id").alias("id"), F.col("l.parent").alias("parent"), _get(r, "client_order_id").alias("client_order_id"), _get(r, "symbol").alias("symbol"), _get(r, "side").alias("side"),
+        F.coalesce(_get(r, "type"), _get(r, "order_type")).alias("type"), *(_num(r, n).alias(n) for n in ("qty", "filled_qty", "filled_avg_price", "limit_price", "stop_price", "trail_price", "trail_percent")),
+        *(moment(_get(r, n)).alias(n) for n in ("submitted_at", "filled_at")), status.alias("status"), status.isin(*OPEN_STATES).alias("open"), status.isin(*CANCELABLE).alias("cancelable"),
+    )
 
 
 def position_rows(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
