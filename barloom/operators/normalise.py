@@ -27,7 +27,7 @@ LIMIT_WORDING = tuple((w,) for w in ("rate limit", "limit reach", "too many requ
 PLAN_WORDING = tuple((w,) for w in ("premium", "restricted endpoint", "subscription", "upgrade", "exclusive", "special endpoint", "special parameter"))
 # Error names of one provider.
 KEY_NAMES = ("invalid_access_key", "missing_access_key", "inactive_access_key", "invalid_api_key", "missing_api_key", "inactive_api_key", "inactive_user")
-LIMIT_NAMES = ("usage_limit", "usages_limit", "rate_limit", "rates_limit", "request_limit", "requests_limit", "too_many_requests")
+LIMIT_NAMES = ("usage_limit", "rate_limit", "request_limit", "requests_limit", "too_many_requests")
 PLAN_NAMES = ("access_restricted", "subscription")
 NOTICES = ("Error Message", "Information", "Note")
 
@@ -458,7 +458,8 @@ def _legs(payload: pd.Series) -> pd.Series:
             for order in level if isinstance(level, list) else ():
                 if isinstance(order, dict):
                     out.append({"r": json.dumps({k: v for k, v in order.items() if k != "legs"}), "parent": parent})
-                    open_.append((order.get("legs"), order.get("id")))
+                    own = order.get("id")
+                    open_.append((order.get("legs"), own if isinstance(own, str) else None))
         return out
 
     return payload.map(one)

@@ -9,6 +9,7 @@ from barloom.operators import ledger as lg
 from barloom.operators import sentiment as st
 from barloom.operators import verdict as vd
 from barloom.operators.backtest import strategy_grid
+from barloom.session import cut_lineage
 from barloom.sources import payloads as pl
 from barloom.sources.ticks import order_bars
 from oracle.checks import check, rounded, seconds, table
@@ -145,3 +146,47 @@ def _state(spark, d):
 @check("ledger_view", "SELECT c_custkey AS seq, 'Run r' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN ' completed' ELSE ' failed' END AS summary FROM customer WHERE c_custkey % 10 <> 9 ORDER BY c_custkey DESC LIMIT 50")
 def _view(spark, d):
     return lg.ledger_view(lg.read_ledger(ledger_lines(spark, d))).select("seq", "summary")
+
+
+def chained_lines(spark, d):
+    """A ledger per customer with one run per order, each entry chained to the one before it; then every fiftieth order is
+    damaged in one of four ways. An order's place in its ledger is its number among the customer's orders."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    # A customer's orders are few; the chain is a fold over them.
+    own = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("rows"))
+    tail = lambda key, n, status: F.format_string(CHAIN_TAIL, key, n, status)
+    ends = own.select("o_custkey", F.transform("rows", lambda r, i: F.struct((i + 1).alias("line_no"), r["o_orderkey"].alias("key"), r["o_orderstatus"].alias("status"), tail(r["o_orderkey"], i + 1, r["o_orderstatus"]).alias("tail"))).alias("rows"))
+    last = lambda hashes: F.element_at(hashes, -1)
+    hashes = F.aggregate("rows", F.array(F.lit(lg.GENESIS)), lambda done, r: F.concat(done, F.array(F.sha2(F.concat(last(done), F.lit(CHAIN_HEAD), last(done), r["tail"]), 256))))
+    rows = ends.select("o_custkey", "rows", hashes.alias("hashes")).select("o_custkey", "hashes", F.explode("rows").alias("e"))
+    rows = rows.select("o_custkey", "e.*", F.element_at("hashes", F.col("e.line_no")).alias("prev"), F.element_at("hashes", F.col("e.line_no") + 1).alias("hash"))
+    damage = F.col("key") % 50
+    text = F.concat(
+        F.lit(CHAIN_HEAD), F.when(damage == 11, lg.GENESIS).otherwise(F.col("prev")),
+        tail(F.col("key"), F.when(damage == 13, F.col("line_no") + 5).otherwise(F.col("line_no")), F.when(damage == 7, "X").otherwise(F.col("status"))),
+    )
+    whole = F.concat(F.left(text, F.length(text) - 1), F.lit(',"hash":"'), F.col("hash"), F.lit('"}'))
+    return cut_lineage(rows.select("o_custkey", "line_no", F.when(damage == 17, F.left(whole, F.lit(40))).otherwise(whole).alias("value")))
+
+
+CHAIN_HEAD = '{"at":"2024-01-01T00:00:00Z","dataset":"d","prev":"'
+CHAIN_TAIL = '","run_id":"r%d","seq":%d,"settings":{"costs":{}},"status":"%s","trials":[],"type":"run"}'
+_BODY_SQL = """'{"at":"2024-01-01T00:00:00Z","dataset":"d","prev":"' || %s || '","run_id":"r' || key || '","seq":' || %s || ',"settings":{"costs":{}},"status":"' || %s || '","trials":[],"type":"run"}'"""
+CHAIN_SQL = f"""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey AS key, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+    c AS (SELECT o_custkey, key, status, n, repeat('0', 64) AS prev, sha256(repeat('0', 64) || {_BODY_SQL % ("repeat('0', 64)", "n", "status")}) AS hash FROM o WHERE n = 1
+        UNION ALL SELECT o.o_custkey, o.key, o.status, o.n, c.hash, sha256(c.hash || {_BODY_SQL.replace("key", "o.key") % ("c.hash", "o.n", "o.status")}) FROM c JOIN o ON o.o_custkey = c.o_custkey AND o.n = c.n + 1),
+    kept AS (SELECT o_custkey, n, key, hash, CASE WHEN key % 50 = 11 THEN repeat('0', 64) ELSE prev END AS prev, CASE WHEN key % 50 = 13 THEN n + 5 ELSE n END AS seq, CASE WHEN key % 50 = 7 THEN 'X' ELSE status END AS status,
+        row_number() OVER w AS place, coalesce(lag(hash) OVER w, repeat('0', 64)) AS previous FROM c WHERE key % 50 <> 17 WINDOW w AS (PARTITION BY o_custkey ORDER BY n)),
+    found AS (SELECT o_custkey, n::INT AS line_no, TRUE AS ok, seq::BIGINT AS seq, CASE WHEN seq <> place THEN 'has sequence ' || seq || ', expected ' || place WHEN prev <> previous THEN 'does not follow the previous entry'
+        WHEN hash <> sha256(previous || {_BODY_SQL % ("prev", "seq", "status")}) THEN 'does not match its hash' END AS problem FROM kept
+        UNION ALL SELECT o_custkey, n::INT, FALSE, NULL, 'is not valid JSON' FROM o WHERE key % 50 = 17)"""
+
+
+@check("ledger_chain", f"{CHAIN_SQL} SELECT o_custkey, line_no, ok, seq, problem FROM found")
+def _chain(spark, d):
+    return lg.read_ledger(chained_lines(spark, d), ("o_custkey",)).select("o_custkey", "line_no", "ok", "seq", "problem")
+
+
+@check("ledger_verify", f"{CHAIN_SQL} SELECT o_custkey, count(problem) = 0 AS intact, 'line ' || min(line_no) FILTER (WHERE problem IS NOT NULL) || ' ' || arg_min(problem, line_no) FILTER (WHERE problem IS NOT NULL) AS problem FROM found GROUP BY 1")
+def _verify(spark, d):
+    return lg.verify_ledger(lg.read_ledger(chained_lines(spark, d), ("o_custkey",)), ("o_custkey",))
