@@ -19,8 +19,10 @@ from barloom.operators.binning import bin_of, edge, price_bounds
 from barloom.operators.indicators import references
 from barloom.operators.layout import Layout, plan_layout
 from barloom.operators.quantiles import key_quantiles
+from barloom.operators.ranking import global_rank
 from barloom.operators.series import Series
 from barloom.schema import ORDER
+from barloom.session import cut_lineage
 
 DAY = 86_400
 MIN_RETURNS = 30
@@ -379,12 +381,25 @@ def shared_timestamps(df: DataFrame, labels: Sequence[str], order: str = ORDER)
     return wanted.groupBy(order).agg(F.count_distinct("symbol").alias("_n")).filter(F.col("_n") == len(set(labels))).select(order)
 
 
-def correlation_matrix(df: DataFrame, labels: Sequence[str], layout: Layout | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, labels: Sequence[str] | DataFrame, layout: Layout | None = None, tile: int = 128, rows: int = 2048) -> DataFrame:
     """Pearson correlation of returns over the timestamps all labelled series share, as (a, b, corr).
 
-    Each task reduces its rows to one matrix of cross products; only those matrices are shuffled, so
-    the work does not emit a row per pair and timestamp.
+    ``labels`` may be a table with a column ``symbol``, for thousands of series. Up to ``tile`` listed labels are one block;
+    more of them, and those of a table, are numbered and cut into blocks of ``tile``.
     """
+    if not isinstance(labels, DataFrame):
+        listed = list(dict.fromkeys(labels))
+        if len(listed) <= tile:
+            return _correlation_one_block(df, listed, layout)
+        names = df.sparkSession.createDataFrame(list(zip(listed, range(len(listed)))), "symbol string, _i int")
+        return _correlation_tiles(df, names, len(listed), layout, tile, rows)
+    named = labels.select("symbol").filter(F.col("symbol").isNotNull()).distinct()
+    names = global_rank(named, [F.col("symbol")], "_i").withColumn("_i", (F.col("_i") - 1).cast("int"))
+    return _correlation_tiles(df, names, names.count(), layout, tile, rows)
+
+
+def _correlation_one_block(df: DataFrame, labels: Sequence[str], layout: Layout | None) -> DataFrame:
+    """The matrix of few series: each task reduces its rows to one matrix of cross products, and only those are shuffled."""
     names = list(dict.fromkeys(labels))
     common = df.join(shared_timestamps(df, names), ORDER).filter(F.col("symbol").isin(names))
     s = Series(common, layout)
@@ -429,6 +444,52 @@ def correlation_matrix(df: DataFrame, labels: Sequence[str], layout: Layout | No
     )
 
 
+def _correlation_tiles(df: DataFrame, names: DataFrame, width: int, layout: Layout | None, tile: int, rows: int) -> DataFrame:
+    """The matrix of many series. The shared timestamps are cut into runs of ``rows``; a task multiplies two blocks of labels
+    over one run, so it holds two matrices of ``rows`` by ``tile`` at most, and what is shuffled afterwards is one partial
+    sum per pair and run."""
+    shape = layout or Layout()
+    order = shape.order
+    source = df.select(*dict.fromkeys((*shape.keys, "symbol", order, "close")))
+    bars = cut_lineage(source.filter(F.col("close").isNotNull()).join(names, "symbol"))
+    shared = bars.groupBy(order).agg(F.count_distinct("_i").alias("_n")).filter(F.col("_n") == width).select(order)
+    returns = Series(bars.drop("_i").join(shared, order), layout)
+    returns.output("ret", returns.change(returns.close))
+    found = cut_lineage(returns.build().filter(F.col("ret").isNotNull()).select("symbol", order, "ret").join(names, "symbol"))
+    kept = found.groupBy(order).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == width).select(order)
+    times = global_rank(kept, [F.col(order)], "_t").withColumn("_t", (F.col("_t") - 1).cast("long"))
+    span = times.agg(F.count(F.lit(1)).alias("observations"), F.min(order).alias("start"), F.max(order).alias("end")).filter(F.col("observations") >= 3)
+    center = found.join(kept, order).groupBy("_i").agg(F.avg("ret").alias("_m"))
+    blocks = (
+        found.join(times, order).join(center, "_i")
+        .groupBy(F.floor(F.col("_t") / rows).alias("run"), F.floor(F.col("_i") / tile).cast("int").alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct("_i", "_t", (F.col("ret") - F.col("_m")).alias("x")))).alias("x"))
+        .select("run", "block", F.col("x._i")[0].alias("first"), F.array_size(F.array_distinct("x._i")).alias("height"), F.col("x.x").alias("x"))
+    )
+    left = blocks.withColumn("other", F.explode(F.sequence("block", F.lit((width - 1) // tile if width else 0))))
+    right = blocks.select("run", F.col("block").alias("other"), F.col("first").alias("first_b"), F.col("height").alias("height_b"), F.col("x").alias("y"))
+
+    def cross_products(one: pd.DataFrame) -> pd.DataFrame:
+        r = one.iloc[0]
+        p = np.asarray(r["x"]).reshape(r["height"], -1) @ np.asarray(r["y"]).reshape(r["height_b"], -1).T
+        i, j = np.indices(p.shape)
+        return pd.DataFrame({"i": r["first"] + i.ravel(), "j": r["first_b"] + j.ravel(), "twin": r["block"] != r["other"], "p": p.ravel()})
+
+    sums = left.join(right, ["run", "other"]).groupBy("run", "block", "other").applyInPandas(cross_products, "i int, j int, twin boolean, p double").groupBy("i", "j").agg(F.sum("p").alias("p"), F.max("twin").alias("twin"))
+    diagonal = sums.filter(F.col("i") == F.col("j"))
+    # Each block meets those after it; the pairs the other way round are the same figures.
+    pair = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
+    both = (
+        sums.join(diagonal.select("i", F.col("p").alias("_pi")), "i").join(diagonal.select("j", F.col("p").alias("_pj")), "j")
+        .select(F.explode(F.when(F.col("twin"), F.array(pair("i", "j"), pair("j", "i"))).otherwise(F.array(pair("i", "j")))).alias("k"), F.try_divide(F.col("p"), F.sqrt(F.col("_pi") * F.col("_pj"))).alias("corr"))
+    )
+    return (
+        both.join(names.select(F.col("_i").alias("_a"), F.col("symbol").alias("a")), F.col("k.i") == F.col("_a"))
+        .join(names.select(F.col("_i").alias("_b"), F.col("symbol").alias("b")), F.col("k.j") == F.col("_b"))
+        .crossJoin(F.broadcast(span)).select("a", "b", "corr", "observations", "start", "end")
+    )
+
+
 def gap_statistics(df: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Close-to-open gaps in basis points: mean, 99th percentile and largest."""
     s = Series(df, layout)

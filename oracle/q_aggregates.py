@@ -226,6 +226,20 @@ def _correlation(spark, d):
     return df.select("a", "b", *rnd("corr"), "observations", seconds("start").alias("start"), seconds("end").alias("end"))
 
 
+@check("correlation_all", f"""WITH bars AS (SELECT l_suppkey::VARCHAR AS symbol, date_trunc('quarter', l_shipdate) AS ts, arg_max(l_extendedprice, l_orderkey * 10 + l_linenumber) AS close FROM lineitem GROUP BY 1, 2),
+ k AS (SELECT ts FROM bars GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars)),
+ x AS (SELECT symbol, ts, close / lag(close) OVER ({BY}) - 1 AS ret FROM bars SEMI JOIN k USING (ts)), y AS (SELECT * FROM x WHERE ret IS NOT NULL)
+ SELECT a.symbol AS a, b.symbol AS b, {r('corr(a.ret, b.ret)')} AS corr, count(*) AS observations, epoch(min(ts))::BIGINT AS start, epoch(max(ts))::BIGINT AS "end"
+ FROM y a JOIN y b USING (ts) GROUP BY 1, 2 HAVING count(*) >= 3""")
+def _correlation_all(spark, d):
+    """Every supplier's quarterly series against every other."""
+    bars = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("symbol"), F.date_trunc("quarter", "l_shipdate").alias("ts")).agg(
+        F.max_by("l_extendedprice", F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("double").alias("close")
+    )
+    df = ag.correlation_matrix(bars.withColumn("timeframe", F.lit("quarter")), bars.select("symbol"))
+    return df.select("a", "b", *rnd("corr"), "observations", seconds("start").alias("start"), seconds("end").alias("end"))
+
+
 @check("shared_timestamps", f"WITH {ORDER_BARS.strip()} SELECT epoch(ts)::BIGINT AS ts FROM bars GROUP BY ts HAVING count(DISTINCT symbol) = 5")
 def _shared(spark, d):
     return ag.shared_timestamps(obars(spark, d), LABELS).select(seconds("ts").alias("ts"))
