@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.operators.layout import Layout
 from barloom.operators.series import Ref, Series
@@ -119,9 +120,21 @@ def decimate_m4(df: DataFrame, value: str, width: int, layout: Layout | None = N
     return found.unionByName(gaps)
 
 
-def sort_rows(df: DataFrame, column: str, descending: bool = False, row_id: str | None = None) -> DataFrame:
-    """Sort with missing values last in both directions; ``row_id`` makes ties stable."""
-    key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+#: Readers' order of text: letters before their case and accents.
+TEXT_ORDER = "UNICODE"
+
+
+def sort_key(df: DataFrame, column: str, descending: bool = False, collation: str | None = TEXT_ORDER) -> Column:
+    """Order of one column with missing values last in both directions; text goes by ``collation``, or by bytes without one."""
+    key = F.col(column)
+    if collation and isinstance(df.schema[column].dataType, T.StringType):
+        key = F.collate(key, collation)
+    return key.desc_nulls_last() if descending else key.asc_nulls_last()
+
+
+def sort_rows(df: DataFrame, column: str, descending: bool = False, row_id: str | None = None, collation: str | None = TEXT_ORDER) -> DataFrame:
+    """Sort by ``sort_key``; ``row_id`` makes ties stable."""
+    key = sort_key(df, column, descending, collation)
     return df.orderBy(key, F.col(row_id)) if row_id else df.orderBy(key)
 
 

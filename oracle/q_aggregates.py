@@ -341,6 +341,18 @@ def _newest(spark, d):
     return newest(ebars(spark, d), 7).select("symbol", seconds("ts").alias("ts"), "close")
 
 
+@check("sort_text", """WITH x AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN p_type ELSE replace(p_type, 'E', 'É') END AS name FROM part)
+ SELECT p_partkey, name, row_number() OVER (ORDER BY name COLLATE NOCASE.NOACCENT, p_partkey) AS place FROM x""")
+def _sorted_text(spark, d):
+    """Part types in mixed case and with accents, by letters alone."""
+    from barloom.operators.ranking import global_rank
+
+    p = table(spark, d, "part")
+    name = F.when(F.col("p_partkey") % 3 == 0, F.lower("p_type")).when(F.col("p_partkey") % 3 == 1, F.col("p_type")).otherwise(F.replace("p_type", F.lit("E"), F.lit("É")))
+    named = p.select("p_partkey", name.alias("name"))
+    return global_rank(named, [ds.sort_key(named, "name", collation="UNICODE_CI_AI"), F.col("p_partkey")], "place").select("p_partkey", "name", "place")
+
+
 @check("sort_rows", f"{EV} SELECT symbol, epoch(ts)::BIGINT AS ts, {r('ret')} AS ret, row_number() OVER (ORDER BY e.ret ASC NULLS LAST, symbol, ts) AS place FROM e")
 def _sorted(spark, d):
     """Places are numbered from the global sort by adding per-partition offsets."""
