@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ REQUIRED = {
     "freeze": ("freeze_id", "run_id", "rules", "rules_hash", "frozen_at_bar"),
     "holdout_read": ("freeze_id", "result"),
 }
+ENVELOPE = ("seq", "type", "dataset", "hash", "prev", "at")
+FIELDS = tuple(dict.fromkeys((*ENVELOPE, *(item for required in REQUIRED.values() for item in required))))
 TIME_FORM = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
 
 
@@ -35,21 +37,25 @@ def entry_hash(prev: Column, line: Column) -> Column:
     return F.sha2(F.concat(prev, body_without_hash(line)), 256)
 
 
-def well_formed(line: Column) -> Column:
-    """Envelope and per-type fields are present."""
-    has = lambda name: F.get_json_object(line, f"$.{name}").isNotNull()
-    kind = F.get_json_object(line, "$.type")
-    ok = F.get_json_object(line, "$.seq").rlike(r"^\d+$")
-    for name in ("type", "dataset", "hash", "prev", "at"):
-        ok = ok & has(name)
+def well_formed(field: Callable[[str], Column]) -> Column:
+    """Envelope and per-type fields are present. ``field`` gives a top field of the line as text."""
+    kind = field("type")
+    ok = field("seq").rlike(r"^\d+$")
+    for name in ENVELOPE[1:]:
+        ok = ok & field(name).isNotNull()
     fields = F.lit(False)
     for name, required in REQUIRED.items():
         need = kind == name
         for item in required:
-            need = need & has(item)
+            need = need & field(item).isNotNull()
         fields = fields | need
-    runs = (kind != "run") | (F.get_json_object(line, "$.settings.costs").startswith("{") & F.get_json_object(line, "$.trials").startswith("["))
-    return F.coalesce(ok & fields & runs & F.get_json_object(line, "$.at").rlike(TIME_FORM), F.lit(False))
+    runs = (kind != "run") | (F.get_json_object(field("settings"), "$.costs").startswith("{") & field("trials").startswith("["))
+    return F.coalesce(ok & fields & runs & field("at").rlike(TIME_FORM), F.lit(False))
+
+
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """``df`` with further columns, each worked out once a row: a projection would be merged into every later use of them."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -65,18 +71,22 @@ def read_ledger(lines: DataFrame, keys: Sequence[str] = (), after: tuple[int, st
     that the lines follow, for the tail of a ledger whose beginning is verified.
     """
     keys, (start, start_hash) = list(keys), after
-    ok = well_formed(F.col("value"))
-    field = lambda name: F.when(F.col("ok"), F.get_json_object("value", f"$.{name}"))
-    parsed = lines.withColumn("json", F.try_parse_json("value").isNotNull()).withColumn("ok", ok & F.col("json"))
-    entries = parsed.select(
+    # Lines are spread out and read in one go each; few long ones may lie in one split of a file.
+    spread = lines.select(*keys, "line_no", "value").repartition(*keys, "line_no", "value")
+    read = spread.select("*", F.json_tuple("value", *FIELDS).alias(*(f"_{name}" for name in FIELDS)))
+    read = _once(read, F.try_parse_json("value").isNotNull().alias("_json"))
+    read = _once(read, (F.col("_json") & well_formed(lambda name: F.col(f"_{name}"))).alias("ok"))
+    field = lambda name: F.when(F.col("ok"), F.col(f"_{name}"))
+    # Written once: numbering, its sample of the rows and the join below would each read every line again.
+    entries = cut_lineage(read.select(
         *keys, "line_no", "value", "ok", field("seq").try_cast("long").alias("seq"), field("type").alias("type"), field("at").alias("at"),
         field("dataset").alias("dataset"), field("prev").alias("prev"), field("hash").alias("hash"),
-        F.when(~F.col("json"), "is not valid JSON").when(~F.col("ok"), "is not a valid ledger entry").alias("shape"),
-    )
+        F.when(~F.col("_json"), "is not valid JSON").when(~F.col("ok"), "is not a valid ledger entry").alias("shape"),
+    ))
     # Good entries are numbered by a distributed sort; each then meets the one before it by its number.
     numbered = global_rank(entries.where("ok").select(*keys, "line_no", "hash"), [F.col(c) for c in (*keys, "line_no")], "_place")
     earlier = numbered.select(*keys, (F.col("_place") + 1).alias("_place"), F.col("hash").alias("_previous"))
-    chain = numbered.drop("hash").join(earlier, [*keys, "_place"], "left")
+    chain = numbered.drop("hash").join(earlier.hint("merge"), [*keys, "_place"], "left")
     if keys:
         first = numbered.groupBy(*keys).agg((F.min("_place") - 1).alias("_before"))
         chain = chain.join(first, keys).withColumn("_place", F.col("_place") - F.col("_before")).drop("_before")

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
 @F.pandas_udf(T.StringType())
 def body_without_hash(line: pd.Series) -> pd.Series:
     def one(text):
         try:
             entry = json.loads(text)
             entry.pop("hash", None)
-            return json.dumps(entry, sort_keys=True, separators=(",", ":"), allow_nan=False)
+            return CANONICAL.encode(entry)
         except (AttributeError, TypeError, ValueError):
             return None
 
