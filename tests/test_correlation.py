@@ -35,3 +35,21 @@ def test_edges(spark):
     assert correlation_matrix(df, ["s00", "absent"]).count() == 0
     flat = spark.createDataFrame([(s, "1h", dt.datetime(2024, 1, 1, k), c) for s, c in (("a", 1.0), ("b", 2.0)) for k in range(6)], "symbol string, timeframe string, ts timestamp, close double")
     assert {r["corr"] for r in correlation_matrix(flat, ["a", "b"]).collect()} == {None}
+
+
+def test_single_pairs_are_not_shuffled(spark):
+    """What exchanges move stays far below the pairs of labels."""
+    frame = _frame(160, 12)
+    frame.loc[frame["symbol"] == "s150", "close"] = 5.0
+    wide = frame.pivot(index="ts", columns="symbol", values="close").dropna().pct_change().dropna()
+    want = wide.corr()
+    df = spark.createDataFrame(frame)
+    found = correlation_matrix(df, df.select("symbol"), tile=40)
+    got = found.toPandas()
+    assert len(got) == 160 * 160 == len(set(zip(got["a"], got["b"])))
+    for r in got.itertuples():
+        flat = "s150" in (r.a, r.b)
+        assert np.isnan(r.corr) if flat else r.corr == pytest.approx(want.loc[r.a, r.b], abs=1e-9)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert "Exchange" not in top.replace("BroadcastExchange", "") and "SortMergeJoin" not in top
