@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +42,17 @@ def _dated(value: dict) -> bool:
 def scalars_of(payload: str | None) -> list[dict]:
     """Every scalar of a payload in the order of the text. Text that isn't JSON, or nests deeper than the JSON parser can
     go, is one fact."""
+    return [dict(zip(SCALAR.names, scalar)) for scalar in _walk(payload)]
+
+
+def _walk(payload: str | None) -> Iterator[tuple]:
     if payload is None:
-        return []
+        return
     try:
         top = json.loads(payload, parse_int=_Written, parse_float=_Written, parse_constant=_Written)
     except (ValueError, RecursionError):
-        return [{"table": None, "rows": [], "path": ROOT, "name": VALUE, "place": 0, "text": payload}]
-    out: list[dict] = []
+        yield None, [], ROOT, VALUE, 0, payload
+        return
     # (value, innermost table, row numbers, path inside it, name, place)
     stack: list[tuple] = [(top, None, (), ROOT, VALUE, 0)]
     while stack:
@@ -65,19 +70,31 @@ def scalars_of(payload: str | None) -> list[dict]:
                 grown.append((item, own, (*rows, n), own, None if isinstance(item, (dict, list)) else VALUE, 0))
             stack += reversed(grown)
         elif not isinstance(value, (dict, list)):
-            out.append({"table": table, "rows": list(rows), "path": path, "name": name, "place": place, "text": _text(value)})
-    return out
+            yield table, list(rows), path, name, place, _text(value)
+
+
+#: Scalars of one output batch: what a task holds doesn't grow with its payloads.
+BATCH = 4096
+SCALAR_ARROW = pa.schema([("table", pa.string()), ("rows", pa.list_(pa.int32())), ("path", pa.string()), ("name", pa.string()), ("place", pa.int32()), ("text", pa.string())])
 
 
-@F.pandas_udf(T.ArrayType(SCALAR))
-def _scalars(payload: pd.Series) -> pd.Series:
-    return payload.map(scalars_of)
+def _scalar_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The scalars of the last column, beside the columns before it."""
+    for batch in batches:
+        kept = batch.select(range(batch.num_columns - 1))
+        found = ((n, *scalar) for n, payload in enumerate(batch.column(batch.num_columns - 1)) for scalar in _walk(payload.as_py()))
+        while some := list(islice(found, BATCH)):
+            places, *columns = zip(*some)
+            beside = kept.take(pa.array(places, pa.int32())).columns if kept.num_columns else []
+            values = [pa.array([None if v is None else str(v) for v in c] if pa.types.is_string(f.type) else c, f.type) for c, f in zip(columns, SCALAR_ARROW)]
+            yield pa.RecordBatch.from_arrays([*beside, *values], names=[*kept.schema.names, *SCALAR_ARROW.names])
 
 
 def json_scalars(df: DataFrame, payload: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
     """``keep, table, rows, path, name, place, text``: ``table`` is the shape of the innermost list, ``rows`` the places in all
     lists around, ``path`` the shape of what holds the scalar. Empty lists and mappings and NULL payloads give nothing."""
-    return df.select(*keep, F.explode(_scalars(payload)).alias("s")).select(*keep, "s.*")
+    schema = T.StructType([*df.select(*keep).schema.fields, *SCALAR.fields])
+    return df.select(*keep, F.col(payload).alias("_payload")).mapInArrow(_scalar_batches, schema)
 
 
 def json_facts(scalars: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 
+import pyarrow as pa
+
 from barloom.operators import json_shapes as js
 
 
@@ -36,3 +38,15 @@ def test_tables_and_series(spark):
     assert types[1, "day"] == "date" and types[1, "v.close"] == "number" and types[1, "note"] == "text"
     series = sorted((r.id, r.table, r.time, r.column, r.value) for r in js.json_series(cells, ("id",)).collect())
     assert [s[0] for s in series] == [1, 1, 1, 5, 5] and series[0] == (1, "$.x.rows[]", 1704067200, "v.close", 1.0) and series[-1][2:] == (1704240000, "p", 2.0)
+
+
+def test_scalars_come_in_small_batches():
+    """A task held the scalars of all payloads of a batch as mappings."""
+    payloads = [json.dumps({"k": n, "rows": [{"day": "2024-01-01", "v": i} for i in range(3000)]}) for n in range(3)] + [None, "{}", "no"]
+    batch = pa.RecordBatch.from_pydict({"id": [7, 8, 9, 10, 11, None], "payload": payloads})
+    got = list(js._scalar_batches([batch]))
+    assert max(b.num_rows for b in got) <= js.BATCH and sum(b.num_rows for b in got) == 3 * 6001 + 1
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    want = [(i, *s.values()) for i, p in zip(batch["id"].to_pylist(), payloads) for s in js.scalars_of(p)]
+    assert rows == want
+    assert sum(b.num_rows for b in js._scalar_batches([batch.select(["payload"])])) == len(want)
