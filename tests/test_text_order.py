@@ -21,4 +21,4 @@ def test_labels_are_worked_out_once(spark):
     labels = spark.createDataFrame([(t,) for t in texts], "t string").select(humanize(F.col("t")).alias("label"))
     plan = labels._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(") == 3 and plan.count("split(") == 1
-    assert [r.label for r in labels.collect()] == ["Open PE Ratio", "X y", "3 z", "A1 B", " _ ", "", None, "3.", "HTML Page of x", "Plain", ".b", "C"]
+    assert [r.label for r in labels.collect()] == ["Open PE Ratio", "X y", "3 z", "A1 B", " _ ", "", None, "3.", "HTML Page of x", "Plain", ".b", "8:c"]
