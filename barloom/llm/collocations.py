@@ -5,9 +5,10 @@
    holds every frequent phrase.
 2. A shard that is silent about a phrase holds it less often than its own support. These bounds drop candidates that
    can't get there, and tell which ones are counted already: those that no shard can hide.
-3. Phrases of one word are mined first, then longer ones, of candidates only: beyond some thirty shards a share of the
-   support is a single occurrence, and then it is the candidates of all shards that keep a shard from telling of
-   everything it holds. They are told from other phrases by a Bloom filter of bounded size.
+3. Phrases of one word are mined first, then all longer ones in one pass, of candidate words only. From as many shards
+   as the support on, a share of it is a single occurrence, and then it is the candidates of all shards that keep a shard
+   from telling of everything it holds: there each length has a pass, filtered by the candidates of those before. They
+   are told from other phrases by a Bloom filter of bounded size.
 4. If any candidate is left open, shards tell by the same filter what they had kept to themselves; what passes it by
    mistake is told too, and falls with the support. That needs the same shards as before: each pass brings a mark of
    them, and if these differ, shards are filtered by their own bounds and all candidates counted in all of them.
@@ -18,11 +19,13 @@ containment and ranks are DataFrame work.
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -31,9 +34,11 @@ from barloom.llm.storage import stored
 
 SUPPORT, MOST_WORDS, TOP, COVERED, SCALE, UNKNOWN = 30, 4, 2000, 80, 2_000_000, "und"
 #: Words that a task holds at a time, shards at least (for parallel work), bytes of text a shard is planned for.
-SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 8_000_000, 12, 32 << 20
+SHARD_WORDS, LEAST_SHARDS, SHARD_BYTES = 16_000_000, 12, 64 << 20
 #: Characters split, places sorted, and phrases given, at a time.
-SPLIT_CHARS, SORTED, YIELDED = 1 << 20, 500_000, 50_000
+SPLIT_CHARS, SORTED, YIELDED = 1 << 20, 300_000, 50_000
+#: Stands for no part of the places; parts are fewer.
+NO_PART = (1 << 16) - 1
 #: Bits of the filter for a candidate, and its bounds (16 MB at most).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 #: Bits of a mark, so that the sum of some millions is a long.
@@ -60,7 +65,7 @@ class Text:
     def __init__(self):
         self.number: defaultdict[bytes, int] = defaultdict(lambda: len(self.number))
         self.number[END] = 0
-        self.parts: list[np.ndarray] = []
+        self.ids = array("i")
         self.words = self.bytes = self.mark = 0
 
     def add(self, texts: list[str]) -> None:
@@ -71,47 +76,68 @@ class Text:
         words.append(END)
         ids = np.fromiter(map(self.number.__getitem__, words), np.int32, len(words))
         self.words += int((ids > 0).sum())
-        self.parts.append(ids)
+        self.ids.frombytes(ids.tobytes())
 
-    def phrases(self, most_words: int, support: int, admits: Callable[[np.ndarray], np.ndarray] | None = None, seed: int = 0, only: int | None = None, below: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
+    def phrases(self, most_words: int, support: int, admits: Callable[[np.ndarray], np.ndarray] | None = None, seed: int = 0, least: int | None = None, below: int | None = None) -> Iterator[tuple[list[str], np.ndarray]]:
         """All phrases found ``support`` times or more, of one word up to ``most_words``, and their counts. With
-        ``admits`` only those whose hash it lets pass, as do those of all that they begin and end with. With ``only``
-        those of this many words, which needn't pass themselves; with ``below`` those found less often than that."""
-        ids = np.concatenate(self.parts)
-        words, n, base = list(self.number), len(ids), np.int64(len(self.number))
-        hashes = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)) if admits else None
-        known = np.full(n if admits else 0, seed, np.uint64)
-        phrase = np.zeros(n, np.int32)  # number of the phrase, one word shorter, that starts at each place
-        at = np.flatnonzero(ids).astype(np.int32)
+        ``admits`` only those whose hash it lets pass, as do those of all that they begin and end with. With ``least``
+        those of so many words or more, which needn't pass themselves; with ``below`` those found less often than that."""
+        ids, words = np.frombuffer(self.ids, np.int32), pa.array(list(self.number), pa.binary())
+        hashes = np.fromiter(map(xxh3_64_intdigest, self.number), np.uint64, len(words))
+
+        def hashed(at: np.ndarray, size: int) -> np.ndarray:
+            """Hashes of the phrases at these places; those of all places would take more room than the words."""
+            h = np.full(len(at), seed, np.uint64)
+            for k in range(size):
+                h = mixed(h, hashes[ids[at + k]])
+            return h
+
+        alive = ids > 0  # the phrases that start at each place
         for size in range(1, most_words + 1):
             if size > 1:
-                at = at[at + 1 < n]
-                at = at[phrase[at + 1] >= 0]
-            if admits and size != only:
-                passed = []
-                for part in np.array_split(at, 1 + len(at) // SORTED):
-                    known[part] = h = mixed(known[part], hashes[ids[part + size - 1]])
-                    passed.append(part[admits(h)])
-                at = np.concatenate(passed)
-            if not len(at):
-                return
-            # Equal phrases become neighbours, a part of the places at a time; each group of enough gets the next number.
-            parts, grown, last = 1 + len(at) // SORTED, np.full(n, -1, np.int32), 0
+                alive[:-1] &= alive[1:]
+                alive[-1] = False
+            # Equal phrases become neighbours, a part of the places at a time, dealt out by their hashes.
+            parts = min(NO_PART, 1 + int(np.count_nonzero(alive)) // SORTED)
+            dealt = np.full(len(ids), NO_PART, np.uint16)
+            for start in range(0, len(ids), SORTED):
+                at = start + np.flatnonzero(alive[start : start + SORTED])
+                h = hashed(at, size)
+                if admits and (least is None or size < least):
+                    alive[at] = passed = admits(h)
+                    at, h = at[passed], h[passed]
+                dealt[at] = (h >> np.uint64(40)) % np.uint64(parts)
+            if least is not None and size < least:
+                continue
             for part in range(parts):
-                own = at[(phrase[at] + ids[at + size - 1]) % parts == part] if parts > 1 else at
-                codes = phrase[own] * base + ids[own + size - 1]
-                order = np.argsort(codes)
-                own, codes = own[order], codes[order]
-                starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])[: len(own)])
+                own = np.flatnonzero(dealt == part)
+                own, starts = _neighbours(ids, own, hashed(own, size), size)
                 counts = np.diff(np.append(starts, len(own)))
                 often = counts >= support
                 given = np.flatnonzero(often if below is None else often & (counts < below))
-                for some in np.array_split(given, 1 + len(given) // YIELDED) if only in (None, size) else ():
-                    yield [b" ".join([words[i] for i in ids[p : p + size]]).decode() for p in own[starts[some]].tolist()], counts[some]
-                grown[own[np.repeat(often, counts)]] = np.repeat(np.arange(last, last + often.sum(), dtype=np.int32), counts[often])
-                last += int(often.sum())
-            phrase = grown
-            at = np.flatnonzero(phrase >= 0).astype(np.int32)
+                for some in np.array_split(given, 1 + len(given) // YIELDED):
+                    first = own[starts[some]]
+                    yield pc.binary_join_element_wise(*[words.take(pa.array(ids[first + k])) for k in range(size)], b" ").cast(pa.string()).to_pylist(), counts[some]
+                alive[own[np.repeat(~often, counts)]] = False
+
+
+def _neighbours(ids: np.ndarray, at: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places sorted by their phrases, and where each phrase begins among them."""
+
+    def others() -> np.ndarray:
+        differ = np.zeros(max(0, len(at) - 1), bool)
+        for k in range(size):
+            word = ids[at + k]
+            differ |= word[1:] != word[:-1]
+        return differ
+
+    order = np.argsort(hashes)
+    at, hashes = at[order], hashes[order]
+    differ = others()
+    if (differ & (hashes[1:] == hashes[:-1])).any():  # two phrases of one hash
+        at = at[np.lexsort([ids[at + k] for k in range(size)])]
+        differ = others()
+    return at, np.flatnonzero(np.concatenate([[True], differ])[: len(at)])
 
 
 def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dict[str, Text]]:
@@ -133,21 +159,21 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterator[dic
         if sum(t.words for t in shard.values()) > shard_words:
             yield shard
             shard = defaultdict(Text)
+    batch = some = None  # room for what comes
     yield shard
 
 
-def _table(lang: str, phrases: list[str | None], counts: np.ndarray, hidden: int | None = None) -> pa.RecordBatch:
-    columns, names = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], ["lang", "phrase", "n"]
-    if hidden is not None:
-        columns, names = [*columns, pa.array(np.full(len(phrases), hidden), pa.int64())], [*names, "hidden"]
-    return pa.RecordBatch.from_arrays(columns, names=names)
+def _table(lang: str, phrases: list[str | None], counts: np.ndarray, **more: int) -> pa.RecordBatch:
+    columns = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(np.full(len(phrases), x), pa.int64()) for x in more.values())], names=["lang", "phrase", "n", *more])
 
 
-def mined(texts: DataFrame, totals: dict[str, int], support: int, words: int, bits: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``lang, phrase, n, hidden``: what each shard finds of phrases of ``words`` words at its share of the support, and
-    how often it may hold a phrase it doesn't tell of. One row a shard and language has no phrase and the number of
-    words, one an empty phrase and the mark of the texts. ``totals`` are bytes of text by language; a language without
-    gets all its phrases. ``bits`` filters what phrases begin and end with."""
+def mined(texts: DataFrame, totals: dict[str, int], support: int, least: int, most: int, bits: np.ndarray | None = None, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``lang, phrase, n, hidden, size``: what each shard finds of phrases of ``least`` to ``most`` words at its share of
+    the support, how often it may hold a phrase it doesn't tell of, and the phrase's words. For each number of words a
+    shard and language has a row without phrase, with the number of words in all, and one with an empty phrase, with the
+    mark of the texts. ``totals`` are bytes of text by language; a language without gets all its phrases. ``bits``
+    filters what phrases begin and end with that is shorter than ``least``."""
     sent = None if bits is None else texts.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +182,13 @@ def mined(texts: DataFrame, totals: dict[str, int], support: int, words: int, bi
             while shard:
                 lang, text = shard.popitem()
                 own = _share(lang, text, totals, support)
-                yield _table(lang, [None, ""], np.array([text.words, text.mark & MARK]), own - 1)
-                for phrases, counts in text.phrases(words, own, admits, _seed(lang), words):
-                    yield _table(lang, phrases, counts, own - 1)
+                for size in range(least, most + 1):
+                    yield _table(lang, [None, ""], np.array([text.words, text.mark & MARK]), hidden=own - 1, size=size)
+                for phrases, counts in text.phrases(most, own, admits, _seed(lang), least):
+                    if phrases:
+                        yield _table(lang, phrases, counts, hidden=own - 1, size=1 + phrases[0].count(" "))
 
-    return texts.mapInArrow(run, "lang string, phrase string, n long, hidden long")
+    return texts.mapInArrow(run, "lang string, phrase string, n long, hidden long, size long")
 
 
 def _share(lang: str, text: Text, totals: dict[str, int], support: int) -> int:
@@ -244,31 +272,37 @@ def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: st
     sizes = texts.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(MOST_LANGUAGES).collect()
     totals = {r.lang: r.bytes for r in sizes}
     # Fewer and larger shards have a larger share of the support; coalescing moves no rows.
-    dealt = texts.coalesce(shards or max(LEAST_SHARDS, sum(totals.values()) // shard_bytes))
+    tasks = shards or max(LEAST_SHARDS, sum(totals.values()) // shard_bytes)
+    dealt = texts.coalesce(tasks)
+    # With a share of two or more a shard knows enough by itself to leave out what is rare: one pass for all lengths.
+    at_once = tasks < support
     about, real = F.coalesce("phrase", F.lit("")) == "", F.coalesce("phrase", F.lit("")) != ""
     untold = F.col("all_hidden") - F.col("told")
 
-    def found(size: int) -> DataFrame:
-        local = mined(dealt, totals, support, size, bits, shard_words)
-        return local.groupBy("lang", "phrase").agg(F.sum("n").alias("f"), F.sum("hidden").alias("told"))
+    def found(least: int, most: int) -> DataFrame:
+        bits = phrase_filter(candidates, n) if least > 1 else None
+        local = mined(dealt, totals, support, least, most, bits, shard_words)
+        return local.groupBy("size", "lang", "phrase").agg(F.sum("n").alias("f"), F.sum("hidden").alias("told"))
 
     def bounds(marks: DataFrame) -> DataFrame:
         return marks.where("phrase IS NULL").select("lang", F.col("told").alias("all_hidden"))
 
     def possible(rows: DataFrame, marks: DataFrame) -> DataFrame:
-        return rows.join(bounds(marks), "lang").where(about | (F.col("f") + untold >= support)).select("lang", "phrase", "f", "told", (real & (untold > 0)).alias("open"))
+        return rows.join(bounds(marks), "lang").where(about | (F.col("f") + untold >= support)).select("size", "lang", "phrase", "f", "told", (real & (untold > 0)).alias("open"))
 
-    first, candidates, bits, n, any_open, repeated = None, None, None, 0, 0, True
+    first, candidates, ahead, n, any_open, repeated = None, None, None, 0, 0, True
     for size in range(1, most_words + 1):
         if first is None:
-            level = stored(found(size), "words")
-            first = stored(level.where(about), "marks")
+            level = stored(found(1, 1), "words")
+            first = stored(level.where(about).drop("size"), "marks")
             level = stored(possible(level, first), "candidates")
         else:
             # What can't be frequent is never written: the bounds are those of the first pass, if it had these shards.
-            level = stored(possible(found(size), first), "candidates")
+            if size == 2 or not at_once:
+                ahead = stored(possible(found(size, most_words if at_once else size), first), "candidates")
+            level = ahead.where(F.col("size") == size)
             if not _same(first, level.where(about).select(*first.columns)):
-                repeated, level = False, stored(found(size), "mined")
+                repeated, level = False, stored(found(size, size), "mined")
                 level = stored(possible(level, level.where(about)), "candidates")
         level = level.where(real)
         candidates = level if candidates is None else candidates.unionByName(level)
@@ -276,12 +310,10 @@ def frequent_phrases(docs: DataFrame, text_column: str = "text", lang_column: st
         n, any_open = n + more.n, any_open + more.open
         if not more.n:
             break
-        if size < most_words or any_open:
-            bits = phrase_filter(candidates, n)
-    candidates, words = candidates.select("lang", "phrase", "f"), first.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
+    words = first.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     if any_open:
-        candidates = _completed(candidates, first, dealt, totals, support, bits, most_words, shard_words, repeated)
-    return candidates, words
+        return _completed(candidates.select("lang", "phrase", "f"), first, dealt, totals, support, phrase_filter(candidates, n), most_words, shard_words, repeated), words
+    return candidates.select("lang", "phrase", "f"), words
 
 
 def _completed(candidates: DataFrame, first: DataFrame, dealt: DataFrame, totals: dict[str, int], support: int, bits: np.ndarray, most_words: int, shard_words: int, repeated: bool) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from barloom.llm import collocations as co
@@ -220,6 +221,31 @@ def test_passes_over_the_same_shards_and_over_others(spark, monkeypatch, tmp_pat
     assert told == [True] * (3 if answer is False else 4)
 
 
+@pytest.mark.parametrize("shards, passes", [(5, 2), (12, 4)])
+def test_longer_phrases_take_one_pass_while_shares_are_two(spark, monkeypatch, shards, passes):
+    rows, mined, calls = phrase_rows(), co.mined, []
+    monkeypatch.setattr(co, "mined", lambda *args: calls.append(args) or mined(*args))
+    got = co.collocations(table(spark, rows).repartition(20), support=12, shards=shards).collect()
+    assert sorted(map(tuple, got)) == plain_collocations(rows, 12, 2000)
+    assert len(calls) == passes
+
+
+@pytest.mark.parametrize("most", [0, 3, (1 << 64) - 1])
+def test_phrases_of_one_hash_are_told_apart(monkeypatch, most):
+    mixed, plain, text = co.mixed, Counter(), co.Text()
+    monkeypatch.setattr(co, "mixed", lambda *args: mixed(*args) & np.uint64(most))
+    monkeypatch.setattr(co, "SORTED", 100)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    for t in texts:
+        words = t.split()
+        plain.update(" ".join(words[k : k + n]) for n in range(1, 5) for k in range(len(words) - n + 1))
+    text.add(texts)
+    for support, least, below in ((1, None, None), (4, None, None), (4, 2, None), (1, None, 3)):
+        found = [(p, int(n)) for some, counts in text.phrases(4, support, least=least, below=below) for p, n in zip(some, counts, strict=True)]
+        assert sorted(found) == sorted((p, n) for p, n in plain.items() if n >= support and (below is None or n < below) and p.count(" ") + 1 >= (least or 1))
+
+
 def test_marks_tell_shards_apart(spark):
     one = spark.createDataFrame([("en", "", 5), ("en", None, 5)], "lang string, phrase string, n long")
     assert co._same(one, one) and not co._same(one, one.limit(1)) and not co._same(one, one.withColumn("n", one.n + 1))
