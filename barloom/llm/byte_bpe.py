@@ -20,9 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from barloom.llm.storage import lean
+
 WIDE = 64
-#: Words and pieces whose results a worker keeps (some 200 MB), and characters split at a time.
-CACHED, BLOCK_CHARS = 600_000, 2_000_000
+#: Words and pieces whose results a worker keeps (some 100 MB), characters split and pieces merged at a time.
+CACHED, BLOCK_CHARS, TOGETHER = 300_000, 2_000_000, 8_192
 #: The vocabulary goes to the workers by broadcast; a larger file is refused.
 MOST_VOCABULARY_BYTES = 64 << 20
 NONE = np.int32(2**31 - 1)
@@ -79,8 +81,8 @@ class ByteBpe:
             else:
                 by_size.setdefault(1 << max(1, (len(piece) - 1).bit_length()), []).append(k)
         for size, rows in by_size.items():
-            for at in range(0, len(rows), 16_384):
-                for k, ids in zip(part := rows[at : at + 16_384], self._merge_many([pieces[k] for k in part], size), strict=True):
+            for at in range(0, len(rows), TOGETHER):
+                for k, ids in zip(part := rows[at : at + TOGETHER], self._merge_many([pieces[k] for k in part], size), strict=True):
                     out[k] = ids
         return out
 
@@ -224,6 +226,20 @@ def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+def text_blocks(column: pa.Array, most: int = BLOCK_CHARS) -> Iterator[tuple[int, list[str | None]]]:
+    """The same ranges of a column, one after the other: the place of the first text, and the texts."""
+    start, texts, size = 0, [], 0
+    for k, value in enumerate(column):
+        text = value.as_py()
+        if size and size + len(text or "") > most:
+            yield start, texts
+            start, texts, size = k, [], 0
+        texts.append(text)
+        size += len(text or "")
+    if texts:
+        yield start, texts
+
+
 def _vocabulary(docs: DataFrame, path: str):
     with open(path, "rb") as file:
         content = file.read(MOST_VOCABULARY_BYTES + 1)
@@ -244,13 +260,12 @@ def token_digests(docs: DataFrame, path: str, pattern: str, id_column: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests = Digests(ByteBpe(read_ranks(vocabulary.value), pattern))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                n, ids, decoded = zip(*digests(texts[a:b]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at, texts in text_blocks(batch.column(1)):
+                n, ids, decoded = zip(*digests(texts), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, {RESULT}").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, {RESULT}").withColumnRenamed("id", id_column)
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -260,12 +275,11 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_column: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(read_ranks(vocabulary.value), pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(map(bpe.encode, texts[a:b])), pa.list_(pa.int32()))], names=["id", "ids"])
+            for at, texts in text_blocks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(list(map(bpe.encode, texts)), pa.list_(pa.int32()))], names=["id", "ids"])
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_column)
 
 
 def decode_ids(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -279,4 +293,4 @@ def decode_ids(encoded: DataFrame, path: str, id_column: str = "doc_id", ids_col
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], names=["id", "bytes"])
 
     rows = encoded.select(encoded[id_column].alias("id"), encoded[ids_column].alias("ids"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, bytes binary").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(lean(run), f"id {rows.schema['id'].dataType.simpleString()}, bytes binary").withColumnRenamed("id", id_column)

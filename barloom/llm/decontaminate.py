@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.byte_bpe import blocks
-from barloom.llm.storage import own_columns, stored
+from barloom.llm.byte_bpe import text_blocks
+from barloom.llm.storage import lean, own_columns, stored
 
 FOUND = T.StructType().add("n_words", T.LongType()).add("spans", T.ArrayType(T.StructType().add("start", T.LongType()).add("end", T.LongType()))).add("items", T.ArrayType(T.StringType()))
 #: Words of a phrase; text characters of a shard; words of items in one pass; distance of sampled suffixes.
-WINDOW, SHARD_CHARS, PHRASE_WORDS, SAMPLED = 13, 16_000_000, 2_000_000, 8
+WINDOW, SHARD_CHARS, PHRASE_WORDS, SAMPLED = 13, 4_000_000, 2_000_000, 8
 ROW = "__row"
 #: Fixed value: bytes 0-9, A-Z, a-z and those of characters beyond ASCII make words; A-Z are lower-cased.
 FOLD = bytes((b | 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -134,24 +134,30 @@ class Phrases:
         self.bits = (len(self.vocabulary) + 1).bit_length()
 
 
+def _runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends (exclusive) of the runs of places that are inside."""
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 def shard_hits(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
     """For each text its number of words, the merged spans of hit words (end exclusive), and the items found."""
-    cut = [words_of(t) for t in texts]
-    counts = np.fromiter(map(len, cut), np.int64, len(cut))
+    # All words in one row as numbers, with an unknown one after each text; a text's words are let go with it.
+    numbers = [np.fromiter(map(phrases.vocabulary.get, [*words_of(t), b""], repeat(0)), np.int32) for t in texts]
+    counts = np.fromiter(map(len, numbers), np.int64, len(numbers)) - 1
     out: list[tuple[int, list[tuple[int, int]], list[str]]] = [(n, [], []) for n in counts.tolist()]
     if not phrases.owners or not counts.sum():
         return out
-    # All words in one row, with an unknown one after each text.
-    known = np.fromiter(map(phrases.vocabulary.get, chain.from_iterable(chain(own, (b"",)) for own in cut), repeat(0)), np.int64, int(counts.sum()) + len(cut))
-    edge = np.diff(np.concatenate([[0], (known > 0).view(np.int8), [0]]))
-    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    known = np.concatenate(numbers)
+    del numbers
+    begin, end = _runs(known > 0)
     long = end - begin >= phrases.shortest
     begin, end = begin[long], end[long]
     if not len(begin):
         return out
     sizes = end - begin + 1  # the separator too
     at = np.concatenate([[0], np.cumsum(sizes)])
-    text = known[np.arange(at[-1]) + np.repeat(begin - at[:-1], sizes)]
+    text = known[np.arange(at[-1]) + np.repeat(begin - at[:-1], sizes)].astype(np.int64)
     text[at[1:] - 1] = 1
     index = FmIndex(text, phrases.bits)
     low, high = index.search(phrases.symbols, phrases.lengths)
@@ -166,11 +172,10 @@ def shard_hits(texts: list[str | None], phrases: Phrases) -> list[tuple[int, lis
     word = begin[run] + place - at[run]  # in the row of all words
     first = np.concatenate([[0], np.cumsum(counts + 1)])
     owner = np.searchsorted(first, word, "right") - 1
-    change = np.zeros(len(known) + 1, np.int64)
+    change = np.zeros(len(known) + 1, np.int32)
     np.add.at(change, word, 1)
     np.add.at(change, word + phrases.lengths[which], -1)
-    edge = np.diff(np.concatenate([[0], (np.cumsum(change) > 0).view(np.int8), [0]]))
-    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+    for a, b in zip(*(x.tolist() for x in _runs(np.cumsum(change, out=change) > 0)), strict=True):
         k = int(np.searchsorted(first, a, "right")) - 1  # spans end before the unknown word between texts
         out[k][1].append((a - int(first[k]), b - int(first[k])))
     items: dict[int, set[str]] = {}
@@ -190,15 +195,14 @@ def _pass(docs: DataFrame, items: list, window: int, text_column: str) -> tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = Phrases(sent.value, window)
         for batch in batches:
-            texts = batch.column(place).to_pylist()
-            for a, b in blocks(texts, SHARD_CHARS):
-                n, spans, ids = zip(*shard_hits(texts[a:b], phrases), strict=True)
+            for at, texts in text_blocks(batch.column(place), SHARD_CHARS):
+                n, spans, ids = zip(*shard_hits(texts, phrases), strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(a, b - a).columns, pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in own] for own in spans], span), pa.array(ids, pa.list_(pa.string()))],
+                    [*batch.slice(at, len(texts)).columns, pa.array(n, pa.int64()), pa.array([[{"start": x, "end": y} for x, y in own] for own in spans], span), pa.array(ids, pa.list_(pa.string()))],
                     names=[*batch.schema.names, "n_words", "spans", "items"],
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND.fields])), sent
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *FOUND.fields])), sent
 
 
 def find_phrases(

@@ -7,7 +7,7 @@ cosine with.
 
 Texts are lower-cased; every run of other characters than letters counts as one gap, also at both ends. Bundling
 counts the distinct n-grams of a text first, so that each vector is added once, weighted. Vectors of n-grams are kept
-in a bounded matrix per worker.
+in a bounded matrix of bits per worker.
 
 Learning reads a bounded sample of the labelled rows (``train_rows`` of them are expected, chosen by a hash of the id)
 and adds bundles by language in Spark; the driver receives one prototype per language and dimension.
@@ -24,11 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.storage import fresh, own_columns
+from barloom.llm.storage import fresh, lean, own_columns
 
 DIMENSIONS, NGRAM, TRAIN_ROWS, MOST_LANGUAGES, UNKNOWN = 1024, 3, 20_000, 1000, "und"
-#: N-gram vectors that a worker keeps (64 MB at 1,024 dimensions), and n-grams added at a time.
-KEPT, STEP = 65_536, 8_192
+#: N-gram vectors that a worker keeps (8 MB at 1,024 dimensions), and n-grams added at a time.
+KEPT, STEP = 65_536, 2_048
 GAP = 0x20
 
 
@@ -57,7 +57,7 @@ class Space:
         self.dimensions, self.n = dimensions, n
         self.letter: dict[int, np.ndarray] = {}
         self.row: dict[int, int] = {}
-        self.matrix = np.empty((KEPT, dimensions), np.int8)
+        self.matrix = np.empty((KEPT, -(-dimensions // 8)), np.uint8)
 
     def _letter(self, point: int) -> np.ndarray:
         if (vector := self.letter.get(point)) is None:
@@ -90,10 +90,12 @@ class Space:
                 self.row.clear()
             for gram in some:
                 if gram not in self.row:
-                    self.matrix[len(self.row)] = self._vector(gram)
+                    self.matrix[len(self.row)] = np.packbits(self._vector(gram) > 0)
                     self.row[gram] = len(self.row)
-            rows = self.matrix[list(map(self.row.__getitem__, some))]
-            total += counts[at : at + STEP].astype(np.float32) @ rows.astype(np.float32)
+            # A bit b stands for 2 * b - 1.
+            rows = np.unpackbits(self.matrix[list(map(self.row.__getitem__, some))], axis=1, count=self.dimensions)
+            own = counts[at : at + STEP].astype(np.float32)
+            total += 2 * (own @ rows.astype(np.float32)) - own.sum()
         length = float(np.sqrt(total @ total))
         return total / length if length else total
 
@@ -113,7 +115,7 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()])], names=["lang", "bundle"])
 
-    parts = rows.mapInArrow(bundles, "lang string, bundle array<double>").select("lang", F.posexplode("bundle").alias("place", "value"))
+    parts = rows.mapInArrow(lean(bundles), "lang string, bundle array<double>").select("lang", F.posexplode("bundle").alias("place", "value"))
     # Values are rounded so that the order of addition can't decide a tie; the digits dropped are noise.
     sums = parts.groupBy("lang", "place").agg(F.round(F.sum("value"), 6).alias("value")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("bundle"))
     found = sorted((r.lang, [x.value for x in r.bundle]) for r in sums.limit(MOST_LANGUAGES + 1).collect())
@@ -171,7 +173,7 @@ def _scored(rows: DataFrame, model: tuple[list[str], np.ndarray], text_column: s
             yield pa.RecordBatch.from_arrays([*batch.columns, *more[: len(added)]], names=[*batch.schema.names, *added])
 
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(a, t) for a, t in zip(added, kinds, strict=False))]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, *(T.StructField(a, t) for a, t in zip(added, kinds, strict=False))]))
 
 
 def held_out(id_column: Column | str = "doc_id", fold: int = 1, folds: int = 3) -> Column:

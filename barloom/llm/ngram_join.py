@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.decontaminate import FOLD
-from barloom.llm.storage import fresh, own_columns, stored
+from barloom.llm.storage import fresh, lean, own_columns, stored
 
 WORDS, THRESHOLD, TOLERANCE, BANDS, ROWS, STEP, BLOCK = 5, 0.8, 1e-9, 32, 4, 16, 256
 _RNG = np.random.default_rng(17)
@@ -111,7 +111,7 @@ def _kinds(docs: DataFrame, words: int) -> DataFrame:
                 signatures.append(minhashes(values) if len(values) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.binary()), pa.array(signatures, pa.binary())], names=["id", "kind", "signature"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, kind binary, signature binary")
+    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, kind binary, signature binary")
 
 
 def _survivors(blocks: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -165,7 +165,7 @@ def _survivors(blocks: DataFrame, threshold: float, tolerance: float) -> DataFra
 
     kind = blocks.schema["id"].dataType.simpleString()
     rows = blocks.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id").select("band", "key", "left", "right", "side", "id", "signature")
-    return rows.mapInArrow(run, f"key long, left int, right int, id {kind}, partners array<{kind}>")
+    return rows.mapInArrow(lean(run), f"key long, left int, right int, id {kind}, partners array<{kind}>")
 
 
 def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
@@ -176,7 +176,7 @@ def _sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 
     kind = docs.schema["id"].dataType.simpleString()
     # The ids asked for grow with the documents: the join is a sort-merge at every size, never a broadcast.
-    return docs.join(asked.hint("merge"), "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary").dropDuplicates(["id"])
+    return docs.join(asked.hint("merge"), "id", "left_semi").mapInArrow(lean(sets), f"id {kind}, shingles binary").dropDuplicates(["id"])
 
 
 def similarity(p: np.ndarray, q: np.ndarray) -> float:
@@ -242,7 +242,7 @@ def _verified(hits: DataFrame, held: DataFrame, threshold: float, explicit: bool
 
     kind = hits.schema["id"].dataType.simpleString()
     rows = hits.join(held, "id").select("key", "left", "right", "id", "partners", "n", "shingles").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "id")
-    return rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double" if explicit else f"id {kind}, others long, low {kind}")
+    return rows.mapInArrow(lean(run), f"a {kind}, b {kind}, similarity double" if explicit else f"id {kind}, others long, low {kind}")
 
 
 def link_kinds(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, words: int = WORDS, block: int = BLOCK, explicit: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,13 @@
-"""Tables written in the shared folder of the cluster and read again."""
+"""Tables written in the shared folder of the cluster and read again; memory that workers give back."""
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +34,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def own_columns(df: DataFrame) -> list[Column]:
     """The columns of ``df`` by their names, whatever these hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def give_back() -> None:
+    """Memory that this process has freed, but still holds, goes to the system: Arrow's and, where the C library can, its own."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow. Workers wait for later tasks, also of other stages: what a task held is given back at its end."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
