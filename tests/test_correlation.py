@@ -1,11 +1,14 @@
 """Correlation by tiles against pandas, at tiles and runs far smaller than the data."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
+from barloom.operators import aggregates
 from barloom.operators.aggregates import correlation_matrix
 
 
@@ -53,3 +56,44 @@ def test_single_pairs_are_not_shuffled(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     top = plan[: plan.index("FlatMapGroupsInArrow")]
     assert "Exchange" not in top.replace("BroadcastExchange", "") and "SortMergeJoin" not in top
+
+
+def test_blocks_of_many_series_go_to_few_tasks(spark):
+    """With few timestamps each block goes to 25 tasks at most, however many series there are."""
+    series = 30_000
+    bars = spark.range(series * 4).selectExpr(
+        f"concat('s', id % {series}) AS symbol", "'1h' AS timeframe", f"timestamp_seconds(3600 * (id div {series})) AS ts", "100 + hash(id) % 50 + 0.5D AS close"
+    )
+    plan = correlation_matrix(bars, bars.select("symbol"))._jdf.queryExecution().optimizedPlan().toString()
+    last = re.search(r"explode\(sequence\(block#\d+, (\d+)", plan)
+    assert int(last.group(1)) <= 24
+
+
+@pytest.mark.parametrize("other", [0, 1])
+def test_products_are_held_in_strips(other):
+    """Two high blocks of one run are never multiplied as a whole; each strip gives its pairs in both directions, or once within a block."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(2_500, 4))
+    x[7] = 0
+    y = draw.normal(size=(3_000, 4)) if other else x
+    sides = {"label": [f"a{i}" for i in range(len(x))], "square": (x * x).sum(axis=1), "x": x.ravel()}, {"label_b": [f"{'b' if other else 'a'}{i}" for i in range(len(y))], "square_b": (y * y).sum(axis=1), "y": y.ravel()}
+    batch = pa.RecordBatch.from_pylist([{"block": 0, "other": other, **sides[0], **sides[1]}])
+    strips = list(aggregates._correlated(iter([batch])))
+    assert max(s.nbytes for s in strips) < len(x) * len(y) * 4
+    got = {}
+    for s in strips:
+        for k in range(s.num_rows):
+            row = {c: s.column(c)[k].values for c in ("a", "b", "corr")}
+            assert len(row["a"]) * len(row["b"]) <= 1 << 16
+            for i, a in enumerate(row["a"].to_pylist()):
+                if a in ("a0", "a7", "a2499", "b11"):
+                    pairs = [(a, b) for b in row["b"].to_pylist()]
+                    assert not got.keys() & pairs
+                    got |= zip(pairs, row["corr"][i].as_py(), strict=True)
+    assert len(got) == (3 * 3_000 + 2_500 if other else 3 * 2_500)
+    names = {n: v for n, v in zip(sides[0]["label"] + sides[1]["label_b"], [*x, *y])}
+    for (a, b), v in got.items():
+        if "a7" in (a, b):
+            assert v is None
+        else:
+            assert v == pytest.approx(names[a] @ names[b] / np.sqrt((names[a] @ names[a]) * (names[b] @ names[b])), abs=1e-9)
